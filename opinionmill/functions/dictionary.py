@@ -1,4 +1,4 @@
-"""Constant and data-derived dictionaries that are probed inside a row.
+"""Small dictionaries that are probed inside a row.
 
 Spark's map lookup walks the entries one by one.  A dictionary column here is an
 ``array<map>`` addressed by ``crc32(key) % size``, so a probe touches about one
@@ -12,7 +12,7 @@ import json
 import zlib
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -32,7 +32,11 @@ class Dictionary:
 
     @classmethod
     def of(cls, entries: Mapping[str, object], value_type: str = "string") -> "Dictionary":
-        """A constant dictionary; the literal is parsed once when Spark folds constants."""
+        """A dictionary of known size; its literal is parsed once, when Spark folds constants.
+
+        Entries derived from data must come from a size-checked collection: they
+        travel inside the tasks.
+        """
         slots = _slots(len(entries))
         table: list[dict[str, object]] = [{} for _ in range(slots)]
         for key, value in entries.items():
@@ -40,32 +44,6 @@ class Dictionary:
         literal = F.lit(json.dumps(table, ensure_ascii=False))
         return cls(F.from_json(literal, f"array<map<string,{value_type}>>"), slots)
 
-    @classmethod
-    def from_frame(cls, df: DataFrame, key: str, value: str, slots: int) -> "Dictionary":
-        """A dictionary read from ``df`` by a scalar subquery.
-
-        The caller must have checked that ``df`` is small: its rows become one
-        value that is shipped to every task.
-        """
-        spark = df.sparkSession
-        filled = df.where(F.col(key).isNotNull()).groupBy(
-            F.pmod(F.crc32(F.col(key).cast("binary")), F.lit(slots)).alias("slot")
-        ).agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(value)))).alias("entries"))
-        value_type = df.schema[value].dataType.simpleString()
-        empty = F.from_json(F.lit("{}"), f"map<string,{value_type}>")
-        packed = (
-            spark.range(slots)
-            .withColumnRenamed("id", "slot")
-            .join(filled, "slot", "left")
-            .agg(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("slot", F.coalesce("entries", empty).alias("entries")))),
-                    lambda s: s["entries"],
-                ).alias("table")
-            )
-        )
-        return cls(packed.scalar(), slots)
-
     def get(self, key: Column) -> Column:
         """The value stored for ``key``, or NULL."""
         slot = F.pmod(F.crc32(key.cast("binary")), F.lit(self._slots)).cast("int") + 1

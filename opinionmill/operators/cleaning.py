@@ -23,9 +23,9 @@ def require_columns(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def drop_sentinel(df: DataFrame, text_col: str) -> DataFrame:
+def drop_sentinel(df: DataFrame, text_col: str, sentinel: str = NO_CONTENT) -> DataFrame:
     """Drop NULL texts and the no-content marker (exact match, before cleaning)."""
-    return df.where(F.col(text_col).isNotNull() & (F.col(text_col) != NO_CONTENT))
+    return df.where(F.col(text_col).isNotNull() & (F.col(text_col) != sentinel))
 
 
 def detect_language(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dictionary import Dictionary
 from ..functions.patterns import WORD
 from ..functions.prompts import serialise_quad
-from ..session import fits
+from ..session import collect_if_small
 
 ASPECT, OPINION = "aspect", "opinion"
 IMPLICIT = "NULL"
@@ -22,7 +22,7 @@ LONGEST_PHRASE = 4
 
 # A lexicon up to this size is looked up inside the rows; a larger one is joined.
 IN_ROW_PHRASES = 100_000
-IN_ROW_BYTES = 16 * 1024 * 1024
+IN_ROW_BYTES = 8 * 1024 * 1024
 
 
 def _words(text: Column) -> Column:
@@ -106,13 +106,16 @@ def predict_with_lexicon(
     A lexicon of checked size is looked up inside each row: components are not
     shuffled.  A larger one is joined, which needs ``key_cols``, a unique row key.
     """
-    if not fits(lexicon, in_row_phrases, IN_ROW_BYTES, "phrase", "label"):
+    small = collect_if_small(
+        lexicon.select("kind", "phrase", "label"), in_row_phrases, IN_ROW_BYTES, "phrase", "label"
+    )
+    if small is None:
         if not key_cols:
             raise ValueError("a lexicon of this size needs key_cols, the row key to join and collect by")
         return predict_by_join(df, lexicon, component_col, key_cols)
 
     def matches(kind: str) -> Column:
-        lookup = Dictionary.from_frame(lexicon.where(F.col("kind") == kind), "phrase", "label", slots=4096)
+        lookup = Dictionary.of({row["phrase"]: row["label"] for row in small if row["kind"] == kind})
         found = F.transform(
             F.col("_phrases"), lambda p: F.struct(p.alias("phrase"), lookup.get(p).alias("label"))
         )

@@ -49,18 +49,18 @@ def rouge_ngrams(
     by ``id_col`` already, as after a sort-merge join on it.  A row without
     n-grams keeps a score of 0.
     """
-    def side(tokens: str, is_prediction: int) -> list[Column]:
-        return [
-            F.transform(
-                _grams(F.col(tokens), n),
-                lambda gram, n=n: F.struct(
-                    F.lit(n).alias("n"), gram.alias("gram"), F.lit(is_prediction).alias("is_prediction")
-                ),
-            )
-            for n in sizes
-        ]
-
     empty = F.array().cast("array<struct<n:int,gram:string,is_prediction:int>>")
+
+    def side(tokens: str, is_prediction: int, n: int) -> Column:
+        marked = F.transform(
+            _grams(F.col(tokens), n),
+            lambda gram: F.struct(
+                F.lit(n).alias("n"), gram.alias("gram"), F.lit(is_prediction).alias("is_prediction")
+            ),
+        )
+        return F.coalesce(marked, empty)
+
+    sides = [side(tokens, mark, n) for tokens, mark in (("_reference", 0), ("_prediction", 1)) for n in sizes]
     texts = pairs.select(id_col, reference_col, prediction_col)
     exploded = (
         (texts if placed else texts.repartition(id_col))
@@ -71,9 +71,7 @@ def rouge_ngrams(
         )
         .select(
             id_col,
-            F.explode_outer(
-                F.concat(*[F.coalesce(part, empty) for part in side("_reference", 0) + side("_prediction", 1)])
-            ).alias("g"),
+            F.explode_outer(F.concat(*sides)).alias("g"),
         )
     )
     is_prediction = F.col("g.is_prediction")

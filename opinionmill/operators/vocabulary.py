@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.binding import let
 from ..functions.dictionary import Dictionary
 from ..functions.tokens import attention_mask, mask_labels, pad_to, words_and_marks
-from ..session import fits
+from ..session import collect_if_small
 
 PAD_ID = 0
 UNKNOWN_ID = 1
@@ -16,7 +16,7 @@ FIRST_ID = 2
 
 # A vocabulary up to this size travels inside the tasks; a larger one is joined.
 IN_ROW_TOKENS = 100_000
-IN_ROW_BYTES = 16 * 1024 * 1024
+IN_ROW_BYTES = 8 * 1024 * 1024
 
 
 def build_vocabulary(df: DataFrame, *text_cols: str, vocab_size: int = 32_000) -> DataFrame:
@@ -55,8 +55,9 @@ def encode(
     A vocabulary of checked size is looked up inside each row, without a shuffle.
     Beyond that the tokens are joined and collected per ``id_col``.
     """
-    if fits(vocabulary, in_row_tokens, IN_ROW_BYTES, "token"):
-        lookup = Dictionary.from_frame(vocabulary, "token", "token_id", slots=4096)
+    small = collect_if_small(vocabulary.select("token", "token_id"), in_row_tokens, IN_ROW_BYTES, "token")
+    if small is not None:
+        lookup = Dictionary.of({row["token"]: row["token_id"] for row in small}, "int")
         tokens = words_and_marks(F.coalesce(F.col(text_col), F.lit("")))
         kept = F.slice(tokens, 1, max_length) if max_length else tokens
         return df.withColumn(out, F.transform(kept, lambda t: F.coalesce(lookup.get(t), F.lit(UNKNOWN_ID))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,10 +33,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, max_rows: int, max_bytes: int, *text_columns: str) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes of text.
+def collect_if_small(df: DataFrame, max_rows: int, max_bytes: int, *text_columns: str) -> list[Row] | None:
+    """The rows of ``df`` if there are at most ``max_rows`` with ``max_bytes`` of text, else None.
 
-    Runs one small job that reads at most ``max_rows + 1`` rows past the limit.
+    The size is measured on the executors first, so nothing larger than the
+    limits reaches the driver.
     """
     size = F.lit(0).cast("long")
     for column in text_columns:
@@ -47,7 +48,9 @@ def fits(df: DataFrame, max_rows: int, max_bytes: int, *text_columns: str) -> bo
         .agg(F.count("*").alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
         .first()
     )
-    return measured["rows"] <= max_rows and measured["bytes"] <= max_bytes
+    if measured["rows"] > max_rows or measured["bytes"] > max_bytes:
+        return None
+    return df.collect()
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

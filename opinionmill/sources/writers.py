@@ -11,8 +11,8 @@ OPINION_COLUMNS = (
 
 
 def _csv(df: DataFrame, path: str) -> None:
-    # An empty text stays apart from a missing one: "" is quoted, NULL is not.
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+    # An empty text stays apart from a missing one: "" is written quoted, NULL is not.
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
