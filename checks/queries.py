@@ -499,12 +499,12 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 @query
 def rouge1(spark, sf_dir):
-    return _rounded(rouge.rouge_ngrams(turn_pairs(spark, sf_dir), (1,)), "rouge1")
+    return _rounded(rouge.rouge_ngrams(turn_pairs(spark, sf_dir), (1,), placed=True), "rouge1")
 
 
 @query
 def rouge2(spark, sf_dir):
-    return _rounded(rouge.rouge_ngrams(turn_pairs(spark, sf_dir), (2,)), "rouge2")
+    return _rounded(rouge.rouge_ngrams(turn_pairs(spark, sf_dir), (2,), placed=True), "rouge2")
 
 
 @query
@@ -519,7 +519,7 @@ def rouge_lsum(spark, sf_dir):
 
 @query
 def rouge_mean(spark, sf_dir):
-    scores = rouge.rouge_ngrams(turn_pairs(spark, sf_dir))
+    scores = rouge.rouge_ngrams(turn_pairs(spark, sf_dir), placed=True)
     return _rounded(rouge.mean_metrics(scores, "rouge1", "rouge2"), "value")
 
 
@@ -530,7 +530,7 @@ def rouge_all(spark, sf_dir):
 
 @query
 def rouge_bootstrap(spark, sf_dir):
-    scores = rouge.rouge_ngrams(turn_pairs(spark, sf_dir), (1,))
+    scores = rouge.rouge_ngrams(turn_pairs(spark, sf_dir), (1,), placed=True)
     return rouge.bootstrap_means(scores, "rouge1", samples=200)
 
 

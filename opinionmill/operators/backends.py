@@ -69,6 +69,12 @@ def predict_quads(
 
 
 def explode_components(df: DataFrame, components_col: str = "components") -> DataFrame:
-    """One row per component with its position; a review without components gives no row."""
+    """One row per component with its position; a review without components gives no row.
+
+    The array is passed as an expression: for a plain column Spark would infer a
+    filter on its size, push it below the projection that splits the review, and
+    split every review twice.
+    """
     others = [F.col(f"`{c}`") for c in df.columns if c != components_col]
-    return df.select(*others, F.posexplode(components_col).alias("pos", "component"))
+    components = F.filter(components_col, lambda c: c.isNotNull())
+    return df.select(*others, F.posexplode(components).alias("pos", "component"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
@@ -28,13 +28,17 @@ def drop_sentinel(df: DataFrame, text_col: str, sentinel: str = NO_CONTENT) -> D
     return df.where(F.col(text_col).isNotNull() & (F.col(text_col) != sentinel))
 
 
+def language_of(text: Column, profiles: Mapping[str, Sequence[str]] = PROFILES) -> Column:
+    """The language of a text; ``unknown`` if it is blank or undecided."""
+    detected = let(language_scores(text, profiles), language_from_scores)
+    return F.when(is_blank(text), F.lit(UNKNOWN)).otherwise(detected)
+
+
 def detect_language(
     df: DataFrame, text_col: str, out: str = "language", profiles: Mapping[str, Sequence[str]] = PROFILES
 ) -> DataFrame:
-    """Add the language of each text; blank or undecided texts are ``unknown``."""
-    text = F.col(text_col)
-    detected = let(language_scores(text, profiles), language_from_scores)
-    return df.withColumn(out, F.when(is_blank(text), F.lit(UNKNOWN)).otherwise(detected))
+    """Add the language of each text."""
+    return df.withColumn(out, language_of(F.col(text_col), profiles))
 
 
 def keep_language(df: DataFrame, language: str = "en", language_col: str = "language") -> DataFrame:
@@ -42,15 +46,21 @@ def keep_language(df: DataFrame, language: str = "en", language_col: str = "lang
     return df.where(F.col(language_col) == language).drop(language_col)
 
 
-def drop_blank(df: DataFrame, text_col: str) -> DataFrame:
-    """Drop rows whose text is empty or white space.
+def keep_texts(df: DataFrame, text_col: str, wanted: Callable[[Column], Column]) -> DataFrame:
+    """Keep the rows whose text is ``wanted``, for conditions that are costly to compute.
 
     A generator is used in place of a filter: Spark pushes a filter below the
-    projections that made the text and would then clean every text twice.
+    projections (and exchanges) that made the text, and would compute it twice.
     """
-    kept = F.filter(F.array(F.col(text_col)), lambda text: strip_space(text) != "")
+    kept = F.filter(F.array(F.col(text_col)), wanted)
+    columns = [F.col(f"`{c}`") for c in df.columns]
     others = [F.col(f"`{c}`") for c in df.columns if c != text_col]
-    return df.select(*others, F.explode(kept).alias(text_col)).select(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(*others, F.explode(kept).alias(text_col)).select(*columns)
+
+
+def drop_blank(df: DataFrame, text_col: str) -> DataFrame:
+    """Drop rows whose text is empty or white space."""
+    return keep_texts(df, text_col, lambda text: strip_space(text) != "")
 
 
 def keep_first(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -84,6 +94,6 @@ def clean_reviews(
     """
     require_columns(df, text_col, id_col)
     df = drop_sentinel(df, text_col)
-    df = keep_language(detect_language(df, text_col, "language", profiles), language)
+    df = keep_texts(df, text_col, lambda text: language_of(text, profiles) == language)
     df = drop_blank(clean_text(df, text_col), text_col)
     return keep_first(df, text_col, id_col)

@@ -87,13 +87,9 @@ def assign_split(df: DataFrame, key_col: str = "review_key", seed: int = 42, mod
         bucket = F.conv(F.substring(_hash(key, seed), 1, 8), 16, 10).cast("long") % 10
         label = F.when(bucket < 8, TRAIN).when(bucket == 8, VALIDATION).otherwise(TEST)
     elif mode == "exact":
-        cuts = split_cuts(df, key_col, seed)
+        cuts = split_cuts(df, key_col, seed).scalar()
         rank = _rank_key(key, seed)
-        label = (
-            F.when(rank <= cuts.scalar()[TRAIN], TRAIN)
-            .when(rank <= cuts.scalar()[VALIDATION], VALIDATION)
-            .otherwise(TEST)
-        )
+        label = F.when(rank <= cuts[TRAIN], TRAIN).when(rank <= cuts[VALIDATION], VALIDATION).otherwise(TEST)
     else:
         raise ValueError(f"unknown split mode: {mode}")
     return df.where(key.isNotNull()).withColumn("split", label)
