@@ -298,7 +298,7 @@ def quad_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("p_size") < 12, F.lit(""))
         .otherwise(complete)
     )
-    return table(spark, sf_dir, "part").select("p_partkey", text.alias("quad_text"))
+    return table(spark, sf_dir, "part", "p_partkey").select("p_partkey", text.alias("quad_text"))
 
 
 def _parse(name: str, parser: Callable[[Column], Column]) -> None:
@@ -558,7 +558,7 @@ def order_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.when(price < 10000, F.lit("aspect: none")).otherwise(
         text(guess, F.col("o_custkey").cast("string"), mood)
     )
-    return table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders", "o_orderkey").select(
         "o_orderkey",
         text(F.col("o_orderpriority"), F.col("o_custkey").cast("string"), F.col("o_orderstatus")).alias("reference"),
         broken.alias("prediction"),

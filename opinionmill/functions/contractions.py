@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .dictionary import Dictionary
 from .patterns import WORD, prefix_tree
 
@@ -103,12 +104,12 @@ _PATTERN = f"(?<!{WORD})(?=[{''.join(sorted({k[0] for k in EXPANSIONS}))}]){pref
 def expand_contractions(text: Column) -> Column:
     """Expand whole-word contractions; the text between them is untouched."""
     expansions = Dictionary.of(EXPANSIONS)
-    expanded = F.array_join(
-        F.zip_with(
-            F.split(text, _PATTERN, -1),
-            F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0)),
-            lambda gap, word: F.concat(gap, F.coalesce(expansions.get(word), F.lit(""))),
-        ),
-        "",
-    )
-    return F.when(text.rlike(_PATTERN), expanded).otherwise(text)
+
+    def rejoined(gaps: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0))
+        filled = F.zip_with(
+            gaps, found, lambda gap, word: F.concat(gap, F.coalesce(expansions.get(word), F.lit("")))
+        )
+        return F.when(F.size(gaps) == 1, text).otherwise(F.array_join(filled, ""))
+
+    return let(F.split(text, _PATTERN, -1), rejoined)

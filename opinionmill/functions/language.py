@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .dictionary import Dictionary
 from .text import strip_space
 
@@ -41,20 +42,26 @@ def language_scores(text: Column, profiles: Mapping[str, Sequence[str]] = PROFIL
     words = F.split(F.lower(text), r"[^\p{L}]+", -1)
     votes = F.flatten(F.array_compact(F.transform(words, lookup.get)))
     names = F.array(*[F.lit(language) for language in sorted(profiles)])
-    # One pass over the votes per language: the number of profiles is fixed and small.
-    return F.transform(
-        names,
-        lambda name: F.struct(
-            F.size(F.filter(votes, lambda vote: vote == name)).alias("hits"), name.alias("language")
-        ),
-    )
+
+    def tally(votes: Column) -> Column:
+        return F.transform(
+            names,
+            lambda name: F.struct(
+                F.size(F.filter(votes, lambda vote: vote == name)).alias("hits"), name.alias("language")
+            ),
+        )
+
+    return let(votes, tally)
 
 
 def language_from_scores(scores: Column) -> Column:
     """The language with most hits; ``unknown`` without hits or on a tie."""
-    best = F.array_max(scores)
-    rivals = F.size(F.filter(scores, lambda s: s["hits"] == F.array_max(F.transform(scores, lambda t: t["hits"]))))
-    return F.when((best["hits"] > 0) & (rivals == 1), best["language"]).otherwise(F.lit(UNKNOWN))
+    most = F.array_max(F.transform(scores, lambda s: s["hits"]))
+    winners = let(most, lambda n: F.filter(scores, lambda s: (s["hits"] == n) & (n > 0)))
+    return let(
+        winners,
+        lambda w: F.when(F.size(w) == 1, F.get(w, F.lit(0))["language"]).otherwise(F.lit(UNKNOWN)),
+    )
 
 
 def is_blank(text: Column) -> Column:

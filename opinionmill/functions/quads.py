@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .patterns import SPACE, WORD
 from .text import strip_space
 
@@ -25,15 +26,30 @@ def _after(text: Column, marker: str) -> Column:
     return F.get(F.split(text, marker, -1), F.lit(1))
 
 
+def _all_or_none(values: list[Column], missing: Column) -> Column:
+    """The quadruple if every value was found, else ``missing``; each value is computed once."""
+    return let(
+        F.array(*values),
+        lambda v: F.when(
+            F.forall(v, lambda x: x.isNotNull()), _quad([strip_space(F.get(v, F.lit(i))) for i in range(len(FIELDS))])
+        ).otherwise(missing),
+    )
+
+
+def _cut_at(text: Column, ends: tuple[str, ...]) -> Column:
+    values = [F.get(F.split(_after(text, marker), end, -1), F.lit(0)) for marker, end in zip(MARKERS, ends)]
+    nothing = _quad([F.lit(None).cast("string")] * len(FIELDS))
+    return _all_or_none([*values, _after(text, MARKERS[3])], nothing)
+
+
 def parse_lenient(text: Column) -> Column:
     """Cut at markers and commas; all four fields NULL if any marker is missing."""
-    pieces = [_after(text, marker) for marker in MARKERS]
-    values = [strip_space(F.split_part(piece, F.lit(","), F.lit(1))) for piece in pieces[:3]]
-    values.append(strip_space(pieces[3]))
-    complete = F.lit(True)
-    for marker in MARKERS:
-        complete = complete & text.contains(marker)
-    return _quad([F.when(complete, value) for value in values])
+    return _cut_at(text, (",", ",", ","))
+
+
+def parse_safe(text: Column) -> Column:
+    """Like :func:`parse_lenient`, but a term may hold commas: it ends at the next field."""
+    return _cut_at(text, (", aspect term:", ", opinion term:", ", sentiment:"))
 
 
 def parse_strict(text: Column) -> Column:
@@ -41,24 +57,8 @@ def parse_strict(text: Column) -> Column:
     # The gap before a value may span lines, the value itself may not.
     patterns = [rf"{marker}{SPACE}*([^\n]*?)," for marker in MARKERS[:3]]
     patterns.append(rf"{MARKERS[3]}{SPACE}*({WORD}+)")
-    found = F.lit(True)
-    for pattern in patterns:
-        found = found & text.rlike(pattern)
-    return F.when(found, _quad([strip_space(F.regexp_extract(text, p, 1)) for p in patterns]))
-
-
-def parse_safe(text: Column) -> Column:
-    """Like :func:`parse_lenient`, but a term may hold commas: it ends at the next field."""
-    following = (", aspect term:", ", opinion term:", ", sentiment:")
-    values = [
-        strip_space(F.get(F.split(_after(text, marker), end, -1), F.lit(0)))
-        for marker, end in zip(MARKERS, following)
-    ]
-    values.append(strip_space(_after(text, MARKERS[3])))
-    complete = F.lit(True)
-    for marker in MARKERS:
-        complete = complete & text.contains(marker)
-    return _quad([F.when(complete, value) for value in values])
+    values = [F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0)) for pattern in patterns]
+    return _all_or_none(values, F.lit(None))
 
 
 def strip_wrappers(pieces: Column) -> Column:

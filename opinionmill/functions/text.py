@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .binding import let
 from .contractions import expand_contractions
 from .entities import decode_entities
 from .patterns import DIGIT, SPACE, SPACE_CHARS, WORD_CHARS
@@ -75,16 +76,17 @@ def separate_sentences(text: Column) -> Column:
 def capitalise_sentences(text: Column) -> Column:
     """An upper-case letter after each sentence end; the first letter of the text stays."""
     starts = rf"(?<=[.!?]){SPACE}++(?=[a-z])"
-    capitalised = F.array_join(
-        F.transform(
-            F.split(text, starts, -1),
+
+    def rejoined(parts: Column) -> Column:
+        raised = F.transform(
+            parts,
             lambda part, i: F.when(i == 0, part).otherwise(
                 F.concat(F.upper(F.substring(part, 1, 1)), part.substr(F.lit(2), F.length(part)))
             ),
-        ),
-        " ",
-    )
-    return F.when(text.rlike(starts), capitalised).otherwise(text)
+        )
+        return F.when(F.size(parts) == 1, text).otherwise(F.array_join(raised, " "))
+
+    return let(F.split(text, starts, -1), rejoined)
 
 
 def remove_symbols(text: Column) -> Column:

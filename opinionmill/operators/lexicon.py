@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.dictionary import Dictionary
 from ..functions.patterns import WORD
 from ..functions.prompts import serialise_quad
@@ -66,21 +67,23 @@ def train_lexicon(
     )
 
 
-def phrases(text: Column, longest: int = LONGEST_PHRASE) -> Column:
-    """Word sequences of ``text`` up to ``longest`` words: longer first, then from left to right."""
+def phrases(words: Column, reach: Column | None = None, longest: int = LONGEST_PHRASE) -> Column:
+    """Word sequences up to ``longest`` words: longer first, then from left to right.
 
-    def of_length(words: Column, n: int) -> Column:
+    ``reach`` holds, per word, the length of the longest phrase worth building
+    from there, or NULL.
+    """
+
+    def of_length(n: int) -> Column:
+        if n == 1:
+            return words if reach is None else F.filter(words, lambda w, i: F.get(reach, i) >= 1)
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - F.lit(n - 1)))
+        if reach is not None:
+            starts = F.filter(starts, lambda at: F.get(reach, at - 1) >= n)
         none = F.array().cast("array<string>")
         return F.coalesce(F.transform(starts, lambda at: F.array_join(F.slice(words, at, n), " ")), none)
 
-    return F.get(
-        F.transform(
-            F.array(_words(text)),
-            lambda words: F.concat(*[of_length(words, n) for n in range(longest, 0, -1)]),
-        ),
-        F.lit(0),
-    )
+    return F.concat(*[of_length(n) for n in range(longest, 0, -1)])
 
 
 def _with_defaults(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -114,18 +117,37 @@ def predict_with_lexicon(
             raise ValueError("a lexicon of this size needs key_cols, the row key to join and collect by")
         return predict_by_join(df, lexicon, component_col, key_cols)
 
-    def matches(kind: str) -> Column:
-        lookup = Dictionary.of({row["phrase"]: row["label"] for row in small if row["kind"] == kind})
-        found = F.transform(
-            F.col("_phrases"), lambda p: F.struct(p.alias("phrase"), lookup.get(p).alias("label"))
-        )
-        return F.get(F.filter(found, lambda hit: hit["label"].isNotNull()), F.lit(0))
-
-    matched = (
-        df.withColumn("_phrases", phrases(F.col(component_col)))
-        .withColumn("_aspect", matches(ASPECT))
-        .withColumn("_opinion", matches(OPINION))
-    )
+    labels: dict[str, dict[str, str]] = {}
+    # Only word sequences that begin like a known phrase are built.
+    reach: dict[str, int] = {}
+    for row in small:
+        labels.setdefault(row["phrase"], {})[row["kind"]] = row["label"]
+        first, n_words = row["phrase"].split(" ")[0], row["phrase"].count(" ") + 1
+        reach[first] = max(n_words, reach.get(first, 0))
+    longest = min(LONGEST_PHRASE, max(reach.values(), default=1))
+    lookup = Dictionary.of(labels, f"struct<{ASPECT}:string,{OPINION}:string>")
+    reached = Dictionary.of(reach, "int")
+
+    def hits(words: Column) -> Column:
+        found = let(F.transform(words, reached.get), lambda far: F.transform(
+            phrases(words, far, longest), lambda p: F.struct(p.alias("phrase"), lookup.get(p).alias("labels"))
+        ))
+        return F.filter(found, lambda h: h["labels"].isNotNull())
+
+    def first_hit(found: Column, kind: str) -> Column:
+        hit = F.get(F.filter(found, lambda h: h["labels"][kind].isNotNull()), F.lit(0))
+        return F.struct(hit["phrase"].alias("phrase"), hit["labels"][kind].alias("label"))
+
+    # One nested expression: the word and phrase arrays never become columns.
+    matched = df.withColumn(
+        "_match",
+        let(
+            let(_words(F.col(component_col)), hits),
+            lambda found: F.struct(
+                first_hit(found, ASPECT).alias("_aspect"), first_hit(found, OPINION).alias("_opinion")
+            ),
+        ),
+    ).select(*df.columns, "_match._aspect", "_match._opinion")
     return _with_defaults(matched, df.columns)
 
 
@@ -135,7 +157,8 @@ def predict_by_join(
     """The same result as :func:`predict_with_lexicon` for a lexicon of any size."""
     keys = list(key_cols)
     found = (
-        df.select(*keys, F.posexplode(phrases(F.col(component_col))).alias("at", "phrase"))
+        df.select(*keys, _words(F.col(component_col)).alias("_words"))
+        .select(*keys, F.posexplode(phrases(F.col("_words"))).alias("at", "phrase"))
         .join(lexicon.select("kind", "phrase", "label"), "phrase")
         .groupBy(*keys)
         .agg(

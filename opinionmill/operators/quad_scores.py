@@ -13,10 +13,12 @@ SUMMARIES = ("accuracy", "macro avg", "weighted avg")
 
 def parsed_pairs(pairs: DataFrame, reference_col: str = "reference", prediction_col: str = "prediction") -> DataFrame:
     """``truth`` and ``guess`` structs of the pairs that parse on both sides."""
-    parsed = pairs.select(
+    both = F.struct(
         parse_strict(F.col(reference_col)).alias("truth"), parse_strict(F.col(prediction_col)).alias("guess")
     )
-    return parsed.where(F.col("truth").isNotNull() & F.col("guess").isNotNull())
+    # A generator keeps the pairs: a filter would be pushed down and parse every text twice.
+    kept = F.filter(F.array(both), lambda b: b["truth"].isNotNull() & b["guess"].isNotNull())
+    return pairs.select(F.explode(kept).alias("both")).select("both.truth", "both.guess")
 
 
 def dropped_pairs(pairs: DataFrame, reference_col: str = "reference", prediction_col: str = "prediction") -> DataFrame:
