@@ -657,7 +657,7 @@ def io_predictions(spark, sf_dir):
         F.lit("a \"quoted\", text").alias("prediction"),
     )
     writers.write_predictions(parts, path)
-    return readers.read_predictions(spark, path)
+    return readers.read_predictions(spark, path).withColumn("row_id", F.col("row_id").cast("long"))
 
 
 @query

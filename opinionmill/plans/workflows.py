@@ -85,16 +85,27 @@ def quad_predictions(pairs: DataFrame, factory: BackendFactory, batch_size: int
     ).select("row_id", "input", "reference", strip_wrappers(split_components(F.col("answer"))).alias("prediction"))
 
 
-def score_components(predictions: DataFrame, target: str) -> None:
-    """Write ROUGE and sentence-level scores under ``target``."""
-    writers.write_metrics(rouge(predictions), f"{target}/component_scores")
-    writers.write_metrics(sentence_scores(predictions), f"{target}/component_sentence_scores")
+def evaluate_components(
+    spark: SparkSession, pairs: DataFrame, factory: BackendFactory, target: str, batch_size: int = 8
+) -> None:
+    """Predict, store and score component pairs under ``target``.
+
+    The scores read the stored table, so the model runs once.
+    """
+    writers.write_predictions(component_predictions(pairs, factory, batch_size), f"{target}/predictions")
+    predictions = readers.read_predictions(spark, f"{target}/predictions")
+    writers.write_metrics(rouge(predictions), f"{target}/scores")
+    writers.write_metrics(sentence_scores(predictions), f"{target}/sentence_scores")
 
 
-def score_quads(predictions: DataFrame, target: str) -> None:
-    """Write micro-F1 and the per-class report under ``target``."""
-    writers.write_metrics(field_micro_f1(predictions), f"{target}/quad_scores")
-    writers.write_metrics(class_report(predictions), f"{target}/quad_class_report")
+def evaluate_quads(
+    spark: SparkSession, pairs: DataFrame, factory: BackendFactory, target: str, batch_size: int = 8
+) -> None:
+    """Predict, store and score quadruple pairs under ``target``."""
+    writers.write_predictions(quad_predictions(pairs, factory, batch_size), f"{target}/predictions")
+    predictions = readers.read_predictions(spark, f"{target}/predictions")
+    writers.write_metrics(field_micro_f1(predictions), f"{target}/scores")
+    writers.write_metrics(class_report(predictions), f"{target}/class_report")
 
 
 def opinions_file(

@@ -116,13 +116,12 @@ def read_quad_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """A stored prediction table ``(row_id, input, reference, prediction)``."""
+    """A stored prediction table ``(row_id, input, reference, prediction)``, all strings."""
     columns = ("row_id", "input", "reference", "prediction")
     schema = StructType([StructField(c, StringType()) for c in columns])
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     # With a null token that no cell holds, a quoted empty cell stays an empty text.
-    df = reader.option("nullValue", "\0").schema(schema).csv(path)
-    return df.withColumn("row_id", F.col("row_id").cast("long"))
+    return reader.option("nullValue", "\0").schema(schema).csv(path)
 
 
 def read_or_build(
