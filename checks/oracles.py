@@ -7,8 +7,6 @@ lookups, recursion for the subsequence table.
 
 from __future__ import annotations
 
-from html.entities import html5  # noqa: F401  (the full table is checked in the tests)
-
 from opinionmill.functions.contractions import CONTRACTIONS
 from opinionmill.functions.language import PROFILES
 from opinionmill.functions.prompts import COMPONENT_PROMPT, QUAD_PROMPT
@@ -263,6 +261,57 @@ def rouge_ctes(n: int) -> str:
         from pairs left join o{n} using (row_id) left join pn{n} using (row_id) left join rn{n} using (row_id))"""
 
 
+# The level of a match (i, j) is the length of the longest chain of matches that ends there.
+LCS = """
+    words as materialized (select row_id, regexp_extract_all(lower(reference), '[a-z0-9]+') as a,
+                                  regexp_extract_all(lower(prediction), '[a-z0-9]+') as b from pairs),
+    aw as (select row_id, unnest(range(len(a))) as i, unnest(a) as t from words),
+    bw as (select row_id, unnest(range(len(b))) as j, unnest(b) as t from words),
+    levels as (
+        select row_id, i, j, 1 as k from aw join bw using (row_id, t)
+        union all
+        select row_id, i, j, k + 1 from (
+            select *, min(j) over (partition by row_id order by i range between unbounded preceding and 1 preceding) as m
+            from levels) where m < j),
+    lcs as (select row_id, max(k) as o from levels group by row_id),
+    "rougeL" as (select row_id, (case when coalesce(o, 0) > 0 then 2.0 * o / (len(a) + len(b)) else 0.0 end)::double as "rougeL"
+                 from words left join lcs using (row_id))"""
+
+# The same per pair of lines, with the whole table so that one subsequence can be traced back.
+LINE_LCS = """
+    la as (select row_id, al, regexp_extract_all(lower(line), '[a-z0-9]+') as a from (
+        select row_id, unnest(range(len(l))) as al, unnest(l) as line from (select row_id, string_split(reference, chr(10)) as l from pairs))),
+    lb as (select row_id, bl, regexp_extract_all(lower(line), '[a-z0-9]+') as b from (
+        select row_id, unnest(range(len(l))) as bl, unnest(l) as line from (select row_id, string_split(prediction, chr(10)) as l from pairs))),
+    line_pairs as materialized (select row_id, al, bl, a, b from la join lb using (row_id) where len(a) > 0 and len(b) > 0),
+    ai as materialized (select row_id, al, unnest(range(1, len(a) + 1)) as i, unnest(a) as t from la),
+    bj as materialized (select row_id, bl, unnest(range(1, len(b) + 1)) as j, unnest(b) as t from lb),
+    line_levels as (
+        select row_id, al, bl, i, j, 1 as k from ai join bj using (row_id, t)
+        union all
+        select row_id, al, bl, i, j, k + 1 from (
+            select *, min(j) over (partition by row_id, al, bl order by i range between unbounded preceding and 1 preceding) as m
+            from line_levels) where m < j),
+    grid as (select row_id, al, bl, i, j, ai.t = bj.t as same, coalesce(k, 0) as k from ai join bj using (row_id)
+             left join (select row_id, al, bl, i, j, max(k) as k from line_levels group by all) using (row_id, al, bl, i, j)),
+    along as (select *, max(k) over (partition by row_id, al, bl, i order by j) as r from grid),
+    filled as (select row_id, al, bl, i, j, same, max(r) over (partition by row_id, al, bl, j order by i) as v from along),
+    cells as materialized (select row_id, al, bl, i, j, case when same then 'd'
+            when coalesce(lag(v) over (partition by row_id, al, bl, i order by j), 0)
+               > coalesce(lag(v) over (partition by row_id, al, bl, j order by i), 0) then 'l' else 'u' end as step from filled),
+    walk as (
+        select row_id, al, bl, len(a) as i, len(b) as j, '' as step, 0 as spot from line_pairs
+        union all
+        select w.row_id, w.al, w.bl, w.i - (c.step <> 'l')::int, w.j - (c.step <> 'u')::int, c.step, w.i
+        from walk w join cells c on w.row_id = c.row_id and w.al = c.al and w.bl = c.bl and w.i = c.i and w.j = c.j),
+    covered as (select distinct row_id, al, spot as i from walk where step = 'd'),
+    taken as (select row_id, t, count(*) as n from covered join ai using (row_id, al, i) group by all),
+    offered as (select row_id, t, count(*) as n from bj group by all),
+    hits as (select row_id, sum(least(taken.n, offered.n)) as o from taken join offered using (row_id, t) group by row_id),
+    "rougeLsum" as (select row_id, (case when coalesce(o, 0) > 0 then
+            2.0 * o / ((select count(*) from ai where ai.row_id = p.row_id) + (select count(*) from bj where bj.row_id = p.row_id))
+            else 0.0 end)::double as "rougeLsum" from pairs p left join hits using (row_id))"""
+
 _CHANGED = "replace(replace({t}, ' the ', ' a '), ' le ', ' un ')"
 _TEXT = "replace(text, '.', ';')"
 SENTENCE_PAIRS = f"""
@@ -422,6 +471,11 @@ ORACLES: dict[str, str] = {
     "rouge1": f"with {TURNS}, {rouge_ctes(1)} select row_id, round(rouge1, 6) as rouge1 from rouge1",
     "rouge2": f"with {TURNS}, {rouge_ctes(2)} select row_id, round(rouge2, 6) as rouge2 from rouge2",
     "rouge_mean": f"with {TURNS}, {rouge_ctes(1)}, {rouge_ctes(2)} {metrics('rouge1', 'rouge1')} union all {metrics('rouge2', 'rouge2')}",
+    "rouge_l": f'with recursive {TURNS}, {LCS} select row_id, round("rougeL", 6) as "rougeL" from "rougeL"',
+    "rouge_lsum": f'with recursive {TURNS}, {LINE_LCS} select row_id, round("rougeLsum", 6) as "rougeLsum" from "rougeLsum"',
+    "rouge_all": f"with recursive {TURNS}, {rouge_ctes(1)}, {rouge_ctes(2)}, {LCS}, {LINE_LCS} "
+                 + " union all ".join(metrics(f'"{m}"', m).replace(f"avg({m})", f'avg("{m}")')
+                                      for m in ("rouge1", "rouge2", "rougeL", "rougeLsum")),
     "set_prf": f"""with {SENTENCE_PAIRS},
         ps as (select distinct lower(unnest(p)) as s from sides), rs as (select distinct lower(unnest(r)) as s from sides),
         n as (select (select count(*) from ps) as np, (select count(*) from rs) as nr,
