@@ -65,11 +65,12 @@ def _character(code: Column) -> Column:
 
 def _decode_one(token: Column) -> Column:
     names = Dictionary.of(html5)
+    open_names = Dictionary.of({name: html5[name] for name in _OPEN_NAMES})
     name = F.substring(token, 2, 64)
     open_name = F.regexp_extract(token, "^&(" + prefix_tree(_OPEN_NAMES) + ")", 1)
     rest = token.substr(F.length(open_name) + 2, F.length(token))
     numeric = F.when(token.startswith("&#"), _character(_code_point(token)))
-    return F.coalesce(numeric, names.get(name), F.concat(names.get(open_name), rest), token)
+    return F.coalesce(numeric, names.get(name), F.concat(open_names.get(open_name), rest), token)
 
 
 def decode_entities(text: Column) -> Column:

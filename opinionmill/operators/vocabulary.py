@@ -34,13 +34,32 @@ def build_vocabulary(df: DataFrame, *text_cols: str, vocab_size: int = 32_000) -
     counted = (
         df.select(F.explode(token_arrays).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     )
+    frequent = counted.where(F.col("n") >= _lowest_count(counted, vocab_size).scalar())
     order = [F.col("n").desc(), F.col("token").asc()]
-    # The window sees vocab_size rows, not the data.
-    return counted.orderBy(*order).limit(vocab_size).select(
+    # The sort and the window see about vocab_size rows, not every token.
+    return frequent.orderBy(*order).limit(vocab_size).select(
         "token", "n", (F.row_number().over(Window.orderBy(*order)) + F.lit(FIRST_ID - 1)).alias("token_id")
     )
 
 
+def _lowest_count(counted: DataFrame, vocab_size: int) -> DataFrame:
+    """One value: a power of two that at least ``vocab_size`` tokens reach, if there are so many.
+
+    Tokens are counted per binary length of their count, 63 groups at most.
+    Without this bound every partition would send ``vocab_size`` rows to the
+    task that merges the most frequent ones.
+    """
+    length = F.length(F.bin("n"))
+    reached = F.sum("tokens").over(Window.orderBy(F.col("length").desc()))
+    return (
+        counted.groupBy(length.alias("length"))
+        .agg(F.count("*").alias("tokens"))
+        .select("length", reached.alias("reached"))
+        .agg(F.coalesce(F.max(F.when(F.col("reached") >= vocab_size, F.col("length"))), F.lit(1)).alias("length"))
+        .select(F.pow(F.lit(2.0), F.col("length") - 1).cast("long").alias("n"))
+    )
+
+
 def encode(
     df: DataFrame,
     text_col: str,
