@@ -41,14 +41,15 @@ def strip_space(text: Column) -> Column:
 
 def repair_encoding(text: Column) -> Column:
     """Undo UTF-8 bytes that were read as Latin-1, if the whole text allows it."""
-    candidate = text.rlike(r"[\x{80}-\x{FF}]") & ~text.rlike(r"[^\x{0}-\x{FF}]")
+    # Pure ASCII is the same in both encodings: only a length comparison is spent on it.
+    candidate = (F.octet_length(text) > F.length(text)) & ~text.rlike(r"[^\x{0}-\x{FF}]")
     reread = F.try_validate_utf8(F.encode(text, "ISO-8859-1").cast("string"))
     return F.when(candidate, F.coalesce(reread, text)).otherwise(text)
 
 
 def remove_tags(text: Column) -> Column:
     """Turn each ``<...>`` within one line into a space."""
-    return F.regexp_replace(text, r"<[^\n>]*+>", " ")
+    return F.when(text.contains("<"), F.regexp_replace(text, r"<[^\n>]*+>", " ")).otherwise(text)
 
 
 def collapse_space(text: Column) -> Column:

@@ -29,15 +29,15 @@ MISSING_TOKENS = (
 )
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """A CSV with a header and quoted multi-line cells; every column is a string.
+def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multi_line: bool = True) -> DataFrame:
+    """A CSV with a header and quoted cells; every column is a string.
 
     The header names the columns, so types are not inferred and the data is read
-    once.  Rows may span lines, hence one task per file: keep inputs in many
-    files, or convert them to Parquet once.
+    once.  With ``multi_line`` a cell may span lines and each file is one task;
+    without it large files are split.
     """
     try:
-        reader = spark.read.option("header", True).option("multiLine", True)
+        reader = spark.read.option("header", True).option("multiLine", multi_line)
         return reader.option("quote", '"').option("escape", '"').option("encoding", encoding).csv(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
@@ -58,27 +58,39 @@ def with_row_id(df: DataFrame, out: str = "row_id") -> DataFrame:
 
 
 def read_raw_reviews(
-    spark: SparkSession, path: str, text_col: str = "review_text", id_col: str | None = None, encoding: str = "utf-8"
+    spark: SparkSession,
+    path: str,
+    text_col: str = "review_text",
+    id_col: str | None = None,
+    encoding: str = "utf-8",
+    multi_line: bool = True,
 ) -> DataFrame:
     """``(row_id, review_text)``; other columns, such as a leading index, are dropped."""
-    df = require_columns(read_csv(spark, path, encoding), text_col, *([id_col] if id_col else []))
+    df = require_columns(read_csv(spark, path, encoding, multi_line), text_col, *([id_col] if id_col else []))
     if id_col:
         return df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col))
     return with_row_id(df).select("row_id", text_col)
 
 
-def read_annotated(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+def read_annotated(
+    spark: SparkSession, path: str, encoding: str = "utf-8", multi_line: bool = True
+) -> DataFrame:
     """The seven annotation columns and ``pos``, the order of the rows."""
-    df = require_columns(read_csv(spark, path, encoding), *ANNOTATED_COLUMNS)
+    df = require_columns(read_csv(spark, path, encoding, multi_line), *ANNOTATED_COLUMNS)
     df = df.select(*[F.col(f"`{c}`") for c in ANNOTATED_COLUMNS])
     return with_row_id(missing_to_null(df, *ANNOTATED_COLUMNS), "pos")
 
 
 def read_reviews(
-    spark: SparkSession, path: str, text_col: str = "review", id_col: str | None = None, encoding: str = "utf-8"
+    spark: SparkSession,
+    path: str,
+    text_col: str = "review",
+    id_col: str | None = None,
+    encoding: str = "utf-8",
+    multi_line: bool = True,
 ) -> DataFrame:
     """``(review_id, review)`` for prediction; a missing review is read as empty."""
-    df = require_columns(read_csv(spark, path, encoding), text_col, *([id_col] if id_col else []))
+    df = require_columns(read_csv(spark, path, encoding, multi_line), text_col, *([id_col] if id_col else []))
     df = with_row_id(df, "review_id") if id_col is None else df.withColumn("review_id", F.col(id_col).cast("long"))
     return fill_reviews(df.select("review_id", F.col(text_col).alias("review")))
 
