@@ -517,5 +517,13 @@ ORACLES: dict[str, str] = {
     "io_token_cache": f"with {VOCABULARY} select doc_id, {text_of('ids')} as ids from {encoded('text', 32)}",
     "io_predictions": f"with {QUAD_TEXT} select p_partkey as row_id, s as input, s as reference, 'a \"quoted\", text' as prediction from quad_texts",
 }
+ORACLES["io_lexicon"] = ORACLES["lexicon_train"]
+ORACLES["review_opinions_join"] = ORACLES["review_opinions"]
+ORACLES["review_opinions_backend"] = f"""
+    with pieces as (select doc_id, {trimmed("string_split(replace(replace(text, chr(10), ' '), '.', ';'), ';')")} as parts from documents),
+    rows as {exploded("parts", "pieces")}
+    select doc_id as review_id, pos, text as full_review, component, 'Movie' as aspect,
+           {strip("split_part(split_part(component, ' ', 1), ',', 1)")} as aspect_term, 'None' as opinion_term, 'neutral' as sentiment
+    from rows join documents using (doc_id)"""
 ORACLES["io_opinions"] = ORACLES["review_opinions"]
 ORACLES["io_metrics"] = ORACLES["micro_f1"]

@@ -418,6 +418,24 @@ def review_opinions(spark, sf_dir):
     )
 
 
+@query
+def review_opinions_join(spark, sf_dir):
+    reviews = documents(spark, sf_dir).select(F.col("doc_id").alias("review_id"), F.col("text").alias("review"))
+    return opinions.review_opinions(
+        reviews, opinions.segmenter(), opinions.lexicon_backend(_lexicon(spark, sf_dir), in_row_phrases=0)
+    )
+
+
+@query
+def review_opinions_backend(spark, sf_dir):
+    reviews = documents(spark, sf_dir).select(F.col("doc_id").alias("review_id"), F.col("text").alias("review"))
+    return opinions.review_opinions(
+        reviews,
+        opinions.component_backend(I.sentence_backend, "bart", batch_size=64),
+        opinions.quad_backend(I.quad_backend, "bart", batch_size=64),
+    )
+
+
 @query
 def batch_predict(spark, sf_dir):
     reviews = documents(spark, sf_dir).select("doc_id", F.col("text").alias("review"))
@@ -667,6 +685,13 @@ def io_opinions(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query
+def io_lexicon(spark, sf_dir):
+    path = _folder(spark, "lexicon")
+    lexicon.save_lexicon(lexicon.train_lexicon(labelled_documents(spark, sf_dir)), path)
+    return lexicon.load_lexicon(spark, path)
+
+
 @query
 def io_metrics(spark, sf_dir):
     path = _folder(spark, "metrics")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,9 +60,9 @@ def collapse_space(text: Column) -> Column:
     return strip_space(F.regexp_replace(text, run, " "))
 
 
-def tighten_punctuation(text: Column) -> Column:
+def tighten_punctuation(text: Column, space: str = SPACE) -> Column:
     """No white space before a punctuation mark."""
-    return F.regexp_replace(text, rf"{SPACE}++(?=[.,;:!?])", "")
+    return F.regexp_replace(text, rf"{space}++(?=[.,;:!?])", "")
 
 
 def separate_digits(text: Column) -> Column:
@@ -74,9 +75,9 @@ def separate_sentences(text: Column) -> Column:
     return F.regexp_replace(text, r"([.!?])([A-Z])", "$1 $2")
 
 
-def capitalise_sentences(text: Column) -> Column:
+def capitalise_sentences(text: Column, space: str = SPACE) -> Column:
     """An upper-case letter after each sentence end; the first letter of the text stays."""
-    starts = rf"(?<=[.!?]){SPACE}++(?=[a-z])"
+    starts = rf"(?<=[.!?]){space}++(?=[a-z])"
 
     def rejoined(parts: Column) -> Column:
         raised = F.transform(
@@ -97,6 +98,7 @@ def remove_symbols(text: Column) -> Column:
 
 
 # The order is part of the result: entities before tags, tags before spacing, and so on.
+# Once white space is collapsed it is all plain spaces, which are faster to look for.
 CLEANING_STEPS: tuple[Callable[[Column], Column], ...] = (
     strip_space,
     decode_entities,
@@ -104,10 +106,10 @@ CLEANING_STEPS: tuple[Callable[[Column], Column], ...] = (
     remove_tags,
     expand_contractions,
     collapse_space,
-    tighten_punctuation,
+    partial(tighten_punctuation, space=" "),
     separate_digits,
     separate_sentences,
-    capitalise_sentences,
+    partial(capitalise_sentences, space=" "),
     remove_symbols,
     strip_space,
 )

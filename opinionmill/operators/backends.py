@@ -8,13 +8,15 @@ Only the input text crosses to Python; the other columns stay in the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.components import split_components
 from ..functions.prompts import component_prompt, quad_prompt
@@ -41,6 +43,33 @@ def text_model(factory: BackendFactory, batch_size: int = 8) -> Callable[[Column
     return predict_batch_udf(load, return_type=StringType(), batch_size=batch_size)
 
 
+_LOADED: dict[str, Backend] = {}
+
+
+def text_array_model(factory: BackendFactory, batch_size: int = 8) -> Callable[[Column], Column]:
+    """A function from an array of texts to the array of their answers.
+
+    The texts of many rows are put into the same batches.  A review and its
+    components stay one row, so the review text is not repeated for each of them.
+    """
+    model_id = uuid.uuid4().hex
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        if model_id not in _LOADED:
+            _LOADED[model_id] = factory()
+        backend = _LOADED[model_id]
+        for rows in batches:
+            texts = ["" if text is None else text for row in rows if row is not None for text in row]
+            answers: list[str] = []
+            for at in range(0, len(texts), batch_size):
+                answers += backend(texts[at : at + batch_size])
+            left = iter(answers)
+            yield pd.Series([None if row is None else [next(left) for _ in row] for row in rows], dtype=object)
+
+    return predict
+
+
 def predict_components(
     df: DataFrame,
     factory: BackendFactory,

@@ -6,7 +6,9 @@ are needed.  Its scores are not those of a fine-tuned text-to-text model.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
@@ -86,37 +88,26 @@ def phrases(words: Column, reach: Column | None = None, longest: int = LONGEST_P
     return F.concat(*[of_length(n) for n in range(longest, 0, -1)])
 
 
-def _with_defaults(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(
-        *columns,
-        F.coalesce("_aspect.label", F.lit(DEFAULT_ASPECT)).alias("aspect"),
-        F.coalesce("_aspect.phrase", F.lit(IMPLICIT)).alias("aspect_term"),
-        F.coalesce("_opinion.phrase", F.lit(IMPLICIT)).alias("opinion_term"),
-        F.coalesce("_opinion.label", F.lit(DEFAULT_SENTIMENT)).alias("sentiment"),
+def _quad_of(aspect: Column, opinion: Column) -> Column:
+    """The quadruple of two hits ``struct<phrase, label>``, either of which may be missing."""
+    return F.struct(
+        F.coalesce(aspect["label"], F.lit(DEFAULT_ASPECT)).alias("aspect"),
+        F.coalesce(aspect["phrase"], F.lit(IMPLICIT)).alias("aspect_term"),
+        F.coalesce(opinion["phrase"], F.lit(IMPLICIT)).alias("opinion_term"),
+        F.coalesce(opinion["label"], F.lit(DEFAULT_SENTIMENT)).alias("sentiment"),
     )
 
 
-def predict_with_lexicon(
-    df: DataFrame,
-    lexicon: DataFrame,
-    component_col: str = "component",
-    key_cols: tuple[str, ...] = (),
-    in_row_phrases: int = IN_ROW_PHRASES,
-) -> DataFrame:
-    """Add ``aspect, aspect_term, opinion_term, sentiment`` to each component.
+def lexicon_quad(lexicon: DataFrame, in_row_phrases: int = IN_ROW_PHRASES) -> Callable[[Column], Column] | None:
+    """A function from a component to its quadruple, or None if the lexicon is too large for it.
 
     The first phrase in the lexicon wins, longer phrases before shorter ones.
-    A lexicon of checked size is looked up inside each row: components are not
-    shuffled.  A larger one is joined, which needs ``key_cols``, a unique row key.
     """
     small = collect_if_small(
         lexicon.select("kind", "phrase", "label"), in_row_phrases, IN_ROW_BYTES, "phrase", "label"
     )
     if small is None:
-        if not key_cols:
-            raise ValueError("a lexicon of this size needs key_cols, the row key to join and collect by")
-        return predict_by_join(df, lexicon, component_col, key_cols)
-
+        return None
     labels: dict[str, dict[str, str]] = {}
     # Only word sequences that begin like a known phrase are built.
     reach: dict[str, int] = {}
@@ -139,16 +130,34 @@ def predict_with_lexicon(
         return F.struct(hit["phrase"].alias("phrase"), hit["labels"][kind].alias("label"))
 
     # One nested expression: the word and phrase arrays never become columns.
-    matched = df.withColumn(
-        "_match",
-        let(
-            let(_words(F.col(component_col)), hits),
-            lambda found: F.struct(
-                first_hit(found, ASPECT).alias("_aspect"), first_hit(found, OPINION).alias("_opinion")
-            ),
-        ),
-    ).select(*df.columns, "_match._aspect", "_match._opinion")
-    return _with_defaults(matched, df.columns)
+    return lambda component: let(
+        let(_words(F.coalesce(component, F.lit(""))), hits),
+        lambda found: _quad_of(first_hit(found, ASPECT), first_hit(found, OPINION)),
+    )
+
+
+def _with_quad(df: DataFrame, quad: Column) -> DataFrame:
+    return df.withColumn("_quad", quad).select(*[F.col(f"`{c}`") for c in df.columns], "_quad.*")
+
+
+def predict_with_lexicon(
+    df: DataFrame,
+    lexicon: DataFrame,
+    component_col: str = "component",
+    key_cols: tuple[str, ...] = (),
+    in_row_phrases: int = IN_ROW_PHRASES,
+) -> DataFrame:
+    """Add ``aspect, aspect_term, opinion_term, sentiment`` to each component.
+
+    A lexicon of checked size is looked up inside each row: components are not
+    shuffled.  A larger one is joined, which needs ``key_cols``, a unique row key.
+    """
+    quad = lexicon_quad(lexicon, in_row_phrases)
+    if quad is not None:
+        return _with_quad(df, quad(F.col(component_col)))
+    if not key_cols:
+        raise ValueError("a lexicon of this size needs key_cols, the row key to join and collect by")
+    return predict_by_join(df, lexicon, component_col, key_cols)
 
 
 def predict_by_join(
@@ -168,7 +177,8 @@ def predict_by_join(
             ]
         )
     )
-    return _with_defaults(df.join(found, keys, "left"), df.columns)
+    joined = df.join(found, keys, "left")
+    return _with_quad(joined, _quad_of(F.col("_aspect"), F.col("_opinion"))).drop("_aspect", "_opinion")
 
 
 def quad_text(df: DataFrame, out: str = "prediction") -> DataFrame:
@@ -176,3 +186,11 @@ def quad_text(df: DataFrame, out: str = "prediction") -> DataFrame:
     return df.withColumn(
         out, serialise_quad(F.col("aspect"), F.col("aspect_term"), F.col("opinion_term"), F.col("sentiment"))
     )
+
+
+def save_lexicon(lexicon: DataFrame, path: str) -> None:
+    lexicon.write.mode("overwrite").parquet(path)
+
+
+def load_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.components import segment_review
-from ..functions.quads import parse_lenient
-from ..operators.backends import BackendFactory, explode_components, predict_components, predict_quads
-from ..operators.lexicon import predict_with_lexicon, quad_text
+from ..functions.prompts import quad_prompt
+from ..functions.quads import FIELDS, parse_lenient
+from ..operators.backends import BackendFactory, explode_components, predict_components, text_array_model
+from ..operators.lexicon import IN_ROW_PHRASES, lexicon_quad, predict_by_join
 from ..sources.readers import fill_reviews
 from ..sources.writers import OPINION_COLUMNS
 
-# A stage takes a frame with the text column and returns it with the output column.
+# ``(review_id, review)`` gains ``components: array<string>``.
 ComponentStage = Callable[[DataFrame], DataFrame]
+# ``(review_id, review, components)`` gains ``quads``: one quadruple struct per component.
 QuadStage = Callable[[DataFrame], DataFrame]
 
 
@@ -29,37 +31,50 @@ def component_backend(factory: BackendFactory, model_type: str = "t5", batch_siz
     return lambda df: predict_components(df, factory, "review", "components", model_type, batch_size)
 
 
-def lexicon_backend(lexicon: DataFrame) -> QuadStage:
-    """Quadruple texts from a lexicon."""
+def lexicon_backend(lexicon: DataFrame, in_row_phrases: int = IN_ROW_PHRASES) -> QuadStage:
+    """Quadruples from a lexicon: inside the rows, or by join if it is too large for that."""
+
     def stage(df: DataFrame) -> DataFrame:
-        return quad_text(predict_with_lexicon(df, lexicon, "component", ("review_id", "pos"))).drop(
-            "aspect", "aspect_term", "opinion_term", "sentiment"
+        quad = lexicon_quad(lexicon, in_row_phrases)
+        if quad is not None:
+            return df.withColumn("quads", F.transform("components", quad))
+        rows = explode_components(df.select("review_id", "components"))
+        found = (
+            predict_by_join(rows, lexicon, "component", ("review_id", "pos"))
+            .groupBy("review_id")
+            .agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*FIELDS).alias("quad")))).alias("found"))
         )
+        return df.join(found, "review_id").select(*df.columns, F.col("found.quad").alias("quads"))
 
     return stage
 
 
 def quad_backend(factory: BackendFactory, model_type: str = "t5", batch_size: int = 8) -> QuadStage:
-    """Quadruple texts from a text-to-text backend."""
-    return lambda df: predict_quads(df, factory, "component", "prediction", model_type, batch_size)
+    """Quadruples from a text-to-text backend, read leniently from its answers."""
+
+    def stage(df: DataFrame) -> DataFrame:
+        prompts = F.transform("components", lambda c: quad_prompt(c, model_type))
+        answered = df.withColumn("_answers", text_array_model(factory, batch_size)(prompts))
+        return answered.withColumn("quads", F.transform("_answers", parse_lenient)).drop("_answers")
+
+    return stage
 
 
 def review_opinions(reviews: DataFrame, components: ComponentStage, quads: QuadStage) -> DataFrame:
     """``(review_id, review)`` to the flat opinion table.
 
-    One lazy plan without a shuffle: components stay with their review, and the
-    quadruple model runs on batches of components.
+    One lazy plan without a shuffle.  A review stays one row with its components
+    and quadruples as arrays until the last step, so its text is copied once per
+    output row and not through every stage.
     """
-    found = components(fill_reviews(reviews.select("review_id", "review")))
-    rows = explode_components(found.withColumnRenamed("review", "full_review"))
-    parsed = quads(rows).withColumn("quad", parse_lenient(F.col("prediction")))
-    return parsed.select(
+    found = quads(components(fill_reviews(reviews.select("review_id", "review"))))
+    paired = F.arrays_zip(F.col("components").alias("component"), F.col("quads").alias("quad"))
+    # The filter only turns the array into an expression; see explode_components.
+    rows = F.posexplode(F.filter(paired, lambda x: x["component"].isNotNull())).alias("pos", "item")
+    return found.select("review_id", F.col("review").alias("full_review"), rows).select(
         "review_id",
         "pos",
         "full_review",
-        "component",
-        F.col("quad.aspect"),
-        F.col("quad.aspect_term"),
-        F.col("quad.opinion_term"),
-        F.col("quad.sentiment"),
+        F.col("item.component").alias("component"),
+        *[F.col(f"item.quad.{field}").alias(field) for field in FIELDS],
     ).select(*OPINION_COLUMNS)
