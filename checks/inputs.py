@@ -20,9 +20,14 @@ def changed(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit(" the "), F.lit(" a ")), F.lit(" le "), F.lit(" un "))
 
 
+def first_words(text: Column) -> Column:
+    """The first four lower-case words; the rest of the text is not split."""
+    return F.slice(F.filter(F.split(F.lower(text), "[^a-z]+", 6), lambda w: w != ""), 1, 4)
+
+
 def labelled_lines(docs: DataFrame) -> DataFrame:
     """Labelled lines with one or two quadruples made from the words of each document."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    words = first_words(F.col("text"))
 
     def word(n: int) -> Column:
         return F.coalesce(F.get(words, F.lit(n)), F.lit("NULL"))

@@ -427,9 +427,10 @@ ORACLES: dict[str, str] = {
             as attention_mask,
         {text_of("list_concat(o.ids, list_transform(range(8 - len(o.ids)), lambda k: -100))")} as labels
         from i join o using (doc_id)""",
-    "label_mask": "with g as (select o_custkey, list(o_orderkey order by o_orderkey)[1:8] as ids from orders group by 1) "
-                  "select o_custkey, " + text_of("list_concat(list_transform(ids, lambda i: case when i = 0 then -100 else i end), "
-                                                 "list_transform(range(8 - len(ids)), lambda k: -100))") + " as labels from g",
+    "label_mask": "with g as (select doc_id, list_transform(string_split(text, ' '), lambda w: length(w))[1:512] as ids "
+                  "from documents) select doc_id, "
+                  + text_of("list_concat(list_transform(ids, lambda i: case when i = 0 then -100 else i end), "
+                            "list_transform(range(512 - len(ids)), lambda k: -100))") + " as labels from g",
     "parse_lenient": parser((",", ",", ",", None)),
     "parse_safe": parser((", aspect term:", ", opinion term:", ", sentiment:", None)),
     "parse_strict": f"with {QUAD_TEXT} select p_partkey, "

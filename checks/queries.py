@@ -277,10 +277,9 @@ def token_pad_mask(spark, sf_dir):
 
 @query
 def label_mask(spark, sf_dir):
-    sizes = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
-        F.array_sort(F.collect_list(F.col("o_orderkey").cast("int"))).alias("ids")
-    )
-    return sizes.select("o_custkey", joined(mask_labels(pad_to(F.col("ids"), 8, 0), 0)).alias("labels"))
+    """Word lengths as ids: padding and empty words have the padding id 0."""
+    ids = F.transform(F.split("text", " ", -1), F.length)
+    return documents(spark, sf_dir).select("doc_id", joined(mask_labels(pad_to(ids, 512, 0), 0)).alias("labels"))
 
 
 # ---- quadruple texts and components ---------------------------------------
@@ -366,7 +365,7 @@ def segment_components(spark, sf_dir):
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    words = I.first_words(F.col("text"))
     word = lambda n: F.coalesce(F.get(words, F.lit(n)), F.lit(""))
     return docs.join(labels, "doc_id").select(
         "doc_id",

@@ -86,14 +86,19 @@ def clean_reviews(
     id_col: str = "row_id",
     language: str = "en",
     profiles: Mapping[str, Sequence[str]] = PROFILES,
+    detector: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Raw reviews to distinct, cleaned reviews in one language.
 
     Everything up to the duplicate removal is narrow; that step is the only shuffle.
-    The cheap filters come first, so only kept texts are cleaned.
+    The cheap filters come first, so only kept texts are cleaned.  ``detector``
+    replaces the function-word profiles, for example by a pandas UDF.
     """
     require_columns(df, text_col, id_col)
     df = drop_sentinel(df, text_col)
-    df = keep_texts(df, text_col, lambda text: language_of(text, profiles) == language)
+    if detector is None:
+        df = keep_texts(df, text_col, lambda text: language_of(text, profiles) == language)
+    else:
+        df = keep_language(df.withColumn("_language", detector(F.col(text_col))), language, "_language")
     df = drop_blank(clean_text(df, text_col), text_col)
     return keep_first(df, text_col, id_col)

@@ -16,6 +16,7 @@ from ..functions.dictionary import Dictionary
 from ..functions.patterns import WORD
 from ..functions.prompts import serialise_quad
 from ..session import collect_if_small
+from .skew import salted_join
 
 ASPECT, OPINION = "aspect", "opinion"
 IMPLICIT = "NULL"
@@ -165,14 +166,23 @@ def predict_by_join(
 ) -> DataFrame:
     """The same result as :func:`predict_with_lexicon` for a lexicon of any size."""
     keys = list(key_cols)
+    built = df.select(*keys, _words(F.col(component_col)).alias("_words")).select(
+        *keys, F.posexplode(phrases(F.col("_words"))).alias("at", "phrase")
+    )
+    labels = F.map_from_entries(F.collect_list(F.struct("kind", "label")))
+    # One row per phrase, with its label of each kind; a frequent word is a hot key on the left.
+    entries = lexicon.groupBy("phrase").agg(labels.alias("labels"))
     found = (
-        df.select(*keys, _words(F.col(component_col)).alias("_words"))
-        .select(*keys, F.posexplode(phrases(F.col("_words"))).alias("at", "phrase"))
-        .join(lexicon.select("kind", "phrase", "label"), "phrase")
+        salted_join(built, entries, "phrase")
         .groupBy(*keys)
         .agg(
             *[
-                F.min(F.when(F.col("kind") == kind, F.struct("at", "phrase", "label"))).alias(f"_{kind}")
+                F.min(
+                    F.when(
+                        F.map_contains_key("labels", kind),
+                        F.struct("at", "phrase", F.try_element_at("labels", F.lit(kind)).alias("label")),
+                    )
+                ).alias(f"_{kind}")
                 for kind in (ASPECT, OPINION)
             ]
         )

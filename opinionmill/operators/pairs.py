@@ -40,7 +40,7 @@ def collect_components(
     rows = df.where(key.isNotNull()).select(
         key.alias("review_key"),
         pos.alias("pos"),
-        F.floor(pos / run_length).alias("run"),
+        (pos - F.pmod(pos, F.lit(run_length))).alias("run"),
         F.coalesce(F.col(f"`{review_col}`").cast("string"), F.lit(MISSING)).alias("review"),
         F.coalesce(F.col(f"`{component_col}`").cast("string"), F.lit(MISSING)).alias("component"),
     )

@@ -62,8 +62,13 @@ def rouge_ngrams(
 
     sides = [side(tokens, mark, n) for tokens, mark in (("_reference", 0), ("_prediction", 1)) for n in sizes]
     texts = pairs.select(id_col, reference_col, prediction_col)
+    if not placed:
+        # A fixed number of partitions: sized by their text alone they would be
+        # merged into too few for the many n-grams that come out of it.
+        partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        texts = texts.repartition(partitions, id_col)
     exploded = (
-        (texts if placed else texts.repartition(id_col))
+        texts
         .select(
             id_col,
             rouge_tokens(F.col(reference_col)).alias("_reference"),

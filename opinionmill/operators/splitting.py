@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.components import review_key
+from .skew import salted_join
 
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
@@ -103,10 +104,10 @@ def split_keys(df: DataFrame, key_col: str = "review_key", seed: int = 42, mode:
 def rows_of_split(df: DataFrame, keys: DataFrame, split: str, key_col: str = "review_key") -> DataFrame:
     """The rows whose key belongs to ``split``, by a semi join on the key.
 
-    The join side grows with the data, so its strategy is left to Spark, which
-    broadcasts it only below its size threshold.
+    The keys grow with the data, so Spark chooses the strategy by their size; the
+    rows of a very large review are dealt over several tasks.
     """
-    return df.join(keys.where(F.col("split") == split).select(key_col), key_col, "left_semi")
+    return salted_join(df, keys.where(F.col("split") == split).select(key_col), key_col, "left_semi")
 
 
 def split_counts(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.binding import let
 from ..functions.dictionary import Dictionary
 from ..functions.tokens import attention_mask, mask_labels, pad_to, words_and_marks
 from ..session import collect_if_small
+from .skew import salted_join
 
 PAD_ID = 0
 UNKNOWN_ID = 1
@@ -93,7 +94,7 @@ def encode_by_join(
     kept = F.slice(tokens, 1, max_length) if max_length else tokens
     exploded = df.select(id_col, F.posexplode(kept).alias("at", "token"))
     ids = (
-        exploded.join(vocabulary.select("token", "token_id"), "token", "left")
+        salted_join(exploded, vocabulary.select("token", "token_id"), "token", "left")
         .select(id_col, "at", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("token_id"))
         .groupBy(id_col)
         .agg(

@@ -1,7 +1,9 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from opinionmill.operators import cleaning
+from opinionmill.operators.skew import salted_join
 
 from .conftest import executed_plan
 
@@ -75,3 +77,23 @@ def test_one_exchange_and_no_python(spark):
 def test_missing_column(spark):
     with pytest.raises(ValueError, match="review_text"):
         cleaning.clean_reviews(spark.createDataFrame([(1, "a")], "row_id long, text string"))
+
+
+def test_own_detector(spark):
+    @F.pandas_udf("string")
+    def detector(texts: pd.Series) -> pd.Series:
+        return texts.str.len().astype(str)
+
+    got = cleaning.clean_reviews(raw(spark, [(1, "abc"), (2, "abcd")]), language="4", detector=detector).collect()
+    assert [tuple(r) for r in got] == [(2, "abcd")]
+
+
+def test_salted_join_equals_a_join(spark):
+    left = spark.range(900).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("k"), "id"
+    ).repartition(11)
+    right = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    for how in ("inner", "left", "left_semi"):
+        salted, plain = salted_join(left, right, "k", how, 4), left.join(right, "k", how)
+        assert salted.columns == plain.columns
+        assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
