@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -64,3 +66,24 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession, *folders: str) -> None:
+    """Give the Python workers of this application the packages, once; the staging folder goes with the driver."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    staging = tempfile.TemporaryDirectory(prefix="opinionmill-code-")
+    _STAGED.append(staging)
+    staged = os.path.join(staging.name, "code")
+    for folder in (os.path.dirname(os.path.abspath(__file__)), *folders):
+        target = os.path.join(staged, os.path.basename(folder))
+        shutil.copytree(folder, target, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(staging.name, "opinionmill"), "zip", staged))
+    _SHIPPED.add(app)
+
+
+_STAGED: list[tempfile.TemporaryDirectory] = []
