@@ -20,28 +20,47 @@ def changed(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit(" the "), F.lit(" a ")), F.lit(" le "), F.lit(" un "))
 
 
-def first_words(text: Column) -> Column:
-    """The first four lower-case words; the rest of the text is not split."""
-    return F.slice(F.filter(F.split(F.lower(text), "[^a-z]+", 6), lambda w: w != ""), 1, 4)
-
+def words_of(text: Column) -> Column:
+    """All lower-case words of the text."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+
+
+def terms_of(words: Column) -> Column:
+    """Every word of five letters, with the next word if that has two."""
+    following = lambda i: F.get(words, i + 1)
+    found = F.transform(
+        words,
+        lambda w, i: F.when(
+            F.length(w) == 5,
+            F.concat(w, F.when(F.length(following(i)) == 2, F.concat(F.lit(" "), following(i))).otherwise(F.lit(""))),
+        ),
+    )
+    return F.array_join(F.array_compact(found), ", ")
 
-def labelled_lines(docs: DataFrame) -> DataFrame:
-    """Labelled lines with one or two quadruples made from the words of each document."""
-    words = first_words(F.col("text"))
 
-    def word(n: int) -> Column:
-        return F.coalesce(F.get(words, F.lit(n)), F.lit("NULL"))
+def opinions_of(words: Column) -> Column:
+    """Every word of six letters."""
+    return F.array_join(F.filter(words, lambda w: F.length(w) == 6), ", ")
 
-    def quad(a: int, b: int, mood: str) -> Column:
-        return F.concat(
-            F.lit('["'), word(a), F.lit('", "'), F.col("source"), F.lit(f'", "{mood}", "'), word(b), F.lit('"]')
-        )
 
-    quads = F.when(F.col("lang") == "en", F.concat(quad(0, 1, "positive"), F.lit(", "), quad(2, 3, "negative")))
+def labelled_lines(docs: DataFrame) -> DataFrame:
+    """Labelled lines: a quadruple for every two words of each document."""
+    pairs = F.filter(
+        F.transform("words", lambda w, i: F.when(i % 2 == 0, F.array(w, F.coalesce(F.get("words", i + 1), F.lit("NULL"))))),
+        lambda p: p.isNotNull(),
+    )
+    quads = F.transform(
+        pairs,
+        lambda p, i: F.array(
+            p[0],
+            F.col("source"),
+            F.when(F.col("lang") != "en", "neutral").when(i % 2 == 0, "positive").otherwise("negative"),
+            p[1],
+        ),
+    )
     sentence = F.replace(F.col("text"), F.lit("#"), F.lit(" "))
-    return docs.select(
-        "doc_id",
-        F.concat(sentence, F.lit("####["), quads.otherwise(quad(0, 1, "neutral")), F.lit("]")).alias("value"),
+    return docs.withColumn("words", words_of(F.col("text"))).select(
+        "doc_id", "lang", F.concat(sentence, F.lit("####"), F.to_json(quads)).alias("value")
     )
 
 
@@ -51,7 +70,7 @@ def sentence_backend():
 
 
 def quad_backend():
-    """A toy quadruple model: the first word is the term."""
+    """A toy quadruple model: the whole component is the term."""
     return lambda texts: [
-        f"aspect: Movie, aspect term: {text.split(' ')[0]}, opinion term: None, sentiment: neutral" for text in texts
+        f"aspect: Movie, aspect term: {text}, opinion term: None, sentiment: neutral" for text in texts
     ]

@@ -7,6 +7,8 @@ lookups, recursion for the subsequence table.
 
 from __future__ import annotations
 
+import math
+
 from opinionmill.functions.contractions import CONTRACTIONS
 from opinionmill.functions.language import PROFILES
 from opinionmill.functions.prompts import COMPONENT_PROMPT, QUAD_PROMPT
@@ -202,9 +204,10 @@ LABELLED = """
     w as (select d.doc_id, d.lang, l.quality, l.toxic, regexp_extract_all(lower(d.text), '[a-z]+') as w
           from documents d join labels l using (doc_id)),
     labelled as (select doc_id,
-        coalesce(w[1], '') || ' ' || coalesce(w[2], '') || ', ' || coalesce(w[3], '') as term,
+        array_to_string(list_filter(list_transform(range(1, len(w) + 1), lambda i: case when length(w[i]) = 5
+            then w[i] || case when length(w[i + 1]) = 2 then ' ' || w[i + 1] else '' end end), lambda x: x is not null), ', ') as term,
         case lang when 'en' then 'Story' when 'fr' then 'Acting' else 'Movie' end as aspect,
-        coalesce(w[4], '') as opinion,
+        array_to_string(list_filter(w, lambda x: length(x) = 6), ', ') as opinion,
         case when toxic = 1 then 'negative' when quality = 1 then 'positive' else 'neutral' end as sentiment from w)"""
 WORDS = f"[{W}]+"
 
@@ -224,6 +227,14 @@ LEXICON = f"""{LABELLED},
                     where phrase not in ('', 'null') group by all),
     lexicon as (select * from term_counts
                 qualify row_number() over (partition by kind, phrase order by support desc, label) = 1)"""
+LABELLED_PARTIAL = LEXICON.replace("labelled as (", "whole as (", 1).replace(
+    "terms as (",
+    "labelled as (select doc_id, case when aspect <> 'Acting' then term end as term, aspect, "
+    "case when aspect <> 'Story' then opinion end as opinion, sentiment from whole),\n    terms as (",
+    1,
+)
+#: P(X <= k) of a Poisson variable of mean 1, k from 0.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(11)]
 PREDICTED = f"""{LEXICON},
     component as {exploded(SEGMENTS)},
     cw as (select doc_id, pos, component, regexp_extract_all(lower(component), {q(WORDS)}) as w from component),
@@ -445,11 +456,31 @@ ORACLES: dict[str, str] = {
     "explode_components": f"select doc_id, pos, component from {exploded(MARKED)}",
     "quad_lines": f"""with w as (select doc_id, lang, source, {strip("replace(text, '#', ' ')")} as sentence,
             regexp_extract_all(lower(text), '[a-z]+') as w from documents),
-        quads as (
-            select doc_id, sentence, 0 as pos, w[1] as term, source as aspect,
-                   case when lang = 'en' then 'positive' else 'neutral' end as sentiment, w[2] as opinion from w union all
-            select doc_id, sentence, 1, w[3], source, 'negative', w[4] from w where lang = 'en')
-        select doc_id, sentence, pos, coalesce(term, 'NULL') as term, aspect, sentiment, coalesce(opinion, 'NULL') as opinion from quads""",
+        placed as (select *, unnest(case when len(w) = 0 then [null] else range((len(w) + 1) // 2) end) as k from w)
+        select doc_id, md5(sentence) as sentence, k::int as pos, w[2 * k + 1] as term,
+               case when k is not null then source end as aspect,
+               case when k is null then null when lang <> 'en' then 'neutral' when k % 2 = 0 then 'positive' else 'negative' end as sentiment,
+               case when k is not null then coalesce(w[2 * k + 2], 'NULL') end as opinion, false as bad from placed""",
+    "quad_lines_broken": f"""select doc_id, case when lang in ('de', 'es') then 0
+            else (len(regexp_extract_all(lower(text), '[a-z]+')) + 1) // 2 end as quads, lang in ('de', 'es') as bad,
+            length({strip("replace(text, '#', ' ')")})::int as chars from documents""",
+    "column_check": "select doc_id, 'missing column(s): review; found: doc_id, text, lang, source' as message from documents",
+    "lexicon_train_partial": f"with {LABELLED_PARTIAL} select kind, phrase, label, support from lexicon",
+    "lexicon_long_phrases": f"""with p as (select p_partkey, p_brand, array_to_string(regexp_extract_all(lower(
+            p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_name || ' ' || p_type), {q(WORDS)}), ' ') as phrase from part),
+        best as (select phrase, min(p_brand) as aspect from p group by phrase)
+        select p_partkey, method, aspect, phrase as aspect_term, 'NULL' as opinion_term, 'neutral' as sentiment
+        from p join best using (phrase), (values ('in_row'), ('join')) as m(method)""",
+    "eval_checked_pairs": "select conv_id || '-' || turn as row_id, text as reference, 'so: ' || text as prediction from conversations",
+    "classifier_predict": "select count(*) as rows, true as at_least_majority, true as labels_known from documents join labels using (doc_id) "
+                          "where ('0x' || substr(md5('42:REV' || doc_id), 1, 8))::bigint % 10 = 9",
+    "rouge_bootstrap": f"""with {TURNS}, {rouge_ctes(1)},
+        u as (select row_id, rouge1, sample, ('0x' || substr(md5(row_id || '|' || sample || '|42'), 1, 12))::bigint / pow(2, 48) as u
+              from rouge1, range(1, 201) as r(sample)),
+        cumulative(bound) as (values {", ".join(f"({b!r})" for b in POISSON)}),
+        drawn as (select sample, rouge1, (select count(*) from cumulative where u >= bound) as w from u),
+        means as (select sample, sum(rouge1 * w) / nullif(sum(w), 0) as m from drawn group by sample)
+        select 'rouge1' as metric, round(quantile_cont(m, 0.5), 6) as value from means""",
     "segment_components": f"select doc_id, pos, component from {exploded(SEGMENTS)}",
     "lexicon_train": f"with {LEXICON} select kind, phrase, label, support from lexicon",
     "lexicon_predict": f"with {PREDICTED} select doc_id, pos, aspect, aspect_term, opinion_term, sentiment from predicted",
@@ -459,8 +490,8 @@ ORACLES: dict[str, str] = {
     "batch_predict": "with c as (select doc_id, "
                      + trimmed("string_split(replace(replace(text, chr(10), ' '), '.', ';'), ';')")
                      + " as c from documents) select doc_id, len(c)::int as n, array_to_string(c, ' ; ') as components from c",
-    "batch_predict_quads": "select p_partkey, 'aspect: Movie, aspect term: ' || split_part(p_name, ' ', 1) || ', opinion term: None, "
-                           "sentiment: neutral' as prediction, split_part(p_name, ' ', 1) as aspect_term from part",
+    "batch_predict_quads": "select p_partkey, 'aspect: Movie, aspect term: ' || p_name || ', opinion term: None, "
+                           "sentiment: neutral' as prediction, trim(p_name) as aspect_term from part",
     "eval_pairs_join": f"with {TURNS} select row_id, reference, prediction from pairs",
     "eval_unmatched": f"""with {TURNS}, s as (select row_id, 1 as p, 0 as r from predictions union all select row_id, 0, 1 from refs)
         select row_id, sum(p)::bigint as n_predictions, sum(r)::bigint as n_references from s group by row_id
@@ -513,9 +544,9 @@ ORACLES: dict[str, str] = {
                     "p_type as \"Aspect Category\", case when p_size > 10 then p_name end as \"Aspect Terms\", "
                     "case when p_size > 25 then p_brand end as \"Opinion Terms\", "
                     "case when p_retailprice > 1000 then 'positive' else 'negative' end as \"Polarity Sentiment\" from part",
-    "io_reviews": "select doc_id as review_id, case when lang <> 'de' then text else '' end as review from documents",
-    "io_splits": f"with {RANKED} select conv_id, turn, text, split from keyed join labelled using (review_key) where split = 'validation'",
-    "io_token_cache": f"with {VOCABULARY} select doc_id, {text_of('ids')} as ids from {encoded('text', 32)}",
+    "io_reviews": "select 'REV' || doc_id as review_id, case when doc_id % 100 <> 0 then text else '' end as review from documents",
+    "io_splits": f"with {RANKED} select conv_id, turn, text, split from keyed join labelled using (review_key)",
+    "io_token_cache": f"with {VOCABULARY} select doc_id, {text_of('ids')} as ids from {encoded('text')}",
     "io_predictions": f"with {QUAD_TEXT} select p_partkey as row_id, s as input, s as reference, 'a \"quoted\", text' as prediction from quad_texts",
 }
 ORACLES["io_lexicon"] = ORACLES["lexicon_train"]
@@ -524,7 +555,7 @@ ORACLES["review_opinions_backend"] = f"""
     with pieces as (select doc_id, {trimmed("string_split(replace(replace(text, chr(10), ' '), '.', ';'), ';')")} as parts from documents),
     rows as {exploded("parts", "pieces")}
     select doc_id as review_id, pos, text as full_review, component, 'Movie' as aspect,
-           {strip("split_part(split_part(component, ' ', 1), ',', 1)")} as aspect_term, 'None' as opinion_term, 'neutral' as sentiment
+           {strip("split_part(component, ',', 1)")} as aspect_term, 'None' as opinion_term, 'neutral' as sentiment
     from rows join documents using (doc_id)"""
 ORACLES["io_opinions"] = ORACLES["review_opinions"]
 ORACLES["io_metrics"] = ORACLES["micro_f1"]

@@ -33,15 +33,25 @@ def match_pairs(
 ) -> DataFrame:
     """``(key, reference, prediction)``, one row per key.
 
-    With ``check`` a job verifies that the keys are one to one and raises if not.
+    With ``check`` the rows are grouped by key in the same pass that pairs them, and a key that is not one to one
+    fails the job with its counts: neither side is computed twice.  Without it the keys are joined.
     """
     if check:
-        first = unmatched_keys(predictions, references, key).first()
-        if first is not None:
-            raise ValueError(
-                f"{key}={first[key]!r} has {first['n_predictions']} predictions "
-                f"and {first['n_references']} references"
-            )
+        none = F.lit(None).cast("string")
+        sides = predictions.select(F.col(key), F.col(prediction_col).alias("_p"), none.alias("_r"), F.lit(1).alias("_n"), F.lit(0).alias("_m"))
+        sides = sides.unionByName(
+            references.select(F.col(key), none.alias("_p"), F.col(reference_col).alias("_r"), F.lit(0).alias("_n"), F.lit(1).alias("_m"))
+        )
+        grouped = sides.groupBy(key).agg(
+            F.max("_r").alias("reference"), F.max("_p").alias("prediction"), F.sum("_n").alias("_n"), F.sum("_m").alias("_m")
+        )
+        wrong = F.concat(
+            F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit("NULL")), F.lit(" has "), F.col("_n"),
+            F.lit(" predictions and "), F.col("_m"), F.lit(" references"),
+        )
+        one_to_one = (F.col("_n") == 1) & (F.col("_m") == 1) & F.col(key).isNotNull()
+        checked = F.when(one_to_one, F.col("reference")).otherwise(F.raise_error(wrong))
+        return grouped.select(key, checked.alias("reference"), "prediction")
     return references.select(F.col(key), F.col(reference_col).alias("reference")).join(
         predictions.select(F.col(key), F.col(prediction_col).alias("prediction")), key
     )

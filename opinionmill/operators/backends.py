@@ -26,6 +26,14 @@ Backend = Callable[[list[str]], Sequence[str]]
 BackendFactory = Callable[[], Backend]
 
 
+def answered(backend: Backend, texts: list[str]) -> list[str]:
+    """One answer per text; another number would shift every later answer."""
+    answers = list(backend(texts))
+    if len(answers) != len(texts):
+        raise ValueError(f"the backend gave {len(answers)} answers to {len(texts)} texts")
+    return answers
+
+
 def text_model(factory: BackendFactory, batch_size: int = 8) -> Callable[[Column], Column]:
     """A ``Column -> Column`` function that runs the backend on text."""
 
@@ -33,9 +41,9 @@ def text_model(factory: BackendFactory, batch_size: int = 8) -> Callable[[Column
         backend = factory()
 
         def predict(texts: np.ndarray) -> np.ndarray:
-            answers = backend(["" if text is None else str(text) for text in texts])
+            answers = answered(backend, ["" if text is None else str(text) for text in texts])
             out = np.empty(len(texts), dtype=object)
-            out[:] = list(answers)
+            out[:] = answers
             return out
 
         return predict
@@ -43,6 +51,7 @@ def text_model(factory: BackendFactory, batch_size: int = 8) -> Callable[[Column
     return predict_batch_udf(load, return_type=StringType(), batch_size=batch_size)
 
 
+#: The last model of this Python worker; an older one is let go before the next is loaded.
 _LOADED: dict[str, Backend] = {}
 
 
@@ -57,13 +66,14 @@ def text_array_model(factory: BackendFactory, batch_size: int = 8) -> Callable[[
     @F.pandas_udf(ArrayType(StringType()))
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if model_id not in _LOADED:
+            _LOADED.clear()
             _LOADED[model_id] = factory()
         backend = _LOADED[model_id]
         for rows in batches:
             texts = ["" if text is None else text for row in rows if row is not None for text in row]
             answers: list[str] = []
             for at in range(0, len(texts), batch_size):
-                answers += backend(texts[at : at + batch_size])
+                answers += answered(backend, texts[at : at + batch_size])
             left = iter(answers)
             yield pd.Series([None if row is None else [next(left) for _ in row] for row in rows], dtype=object)
 

@@ -64,20 +64,16 @@ def drop_blank(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def keep_first(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """One row per text: the one with the smallest id.
+    """One row per text: the one with the smallest id; ``id_col`` is a unique row key.
 
-    A grouped minimum is combined before the shuffle, so a text that makes up a
-    third of all rows reaches its reducer as one row per map task.  A
-    ``row_number`` window would send every copy there.
+    A grouped minimum of the ids is combined before the shuffle, so a text that makes up a third of all rows reaches
+    its reducer as one row per map task.  It is a fixed-width value, so texts are hashed and not sorted.  Where other
+    columns are carried along, texts are grouped by a hash of 256 bits and the rows of the kept ids are looked up.
     """
-    others = [c for c in df.columns if c not in (text_col, id_col)]
-    aggregates = [F.min(id_col).alias(id_col)]
-    if others:
-        aggregates.append(F.min_by(F.struct(*[F.col(f"`{c}`") for c in others]), F.col(id_col)).alias("kept"))
-    grouped = df.groupBy(text_col).agg(*aggregates)
-    return grouped.select(
-        *[F.col(f"kept.`{c}`") if c in others else F.col(f"`{c}`") for c in df.columns]
-    )
+    if set(df.columns) == {text_col, id_col}:
+        return df.groupBy(text_col).agg(F.min(id_col).alias(id_col)).select(*df.columns)
+    kept = df.groupBy(F.sha2(F.col(text_col), 256)).agg(F.min(id_col).alias(id_col)).select(id_col)
+    return df.join(kept, id_col, "left_semi").select(*df.columns)
 
 
 def clean_reviews(

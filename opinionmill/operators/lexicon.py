@@ -15,16 +15,16 @@ from ..functions.binding import let
 from ..functions.dictionary import Dictionary
 from ..functions.patterns import WORD
 from ..functions.prompts import serialise_quad
-from ..session import collect_if_small
+from ..session import collect_small, cut_lineage
 from .skew import salted_join
 
 ASPECT, OPINION = "aspect", "opinion"
 IMPLICIT = "NULL"
 DEFAULT_ASPECT = "Movie"
 DEFAULT_SENTIMENT = "neutral"
-LONGEST_PHRASE = 4
+IN_ROW, JOIN = "in_row", "join"
 
-# A lexicon up to this size is looked up inside the rows; a larger one is joined.
+# A lexicon that is looked up inside the rows travels inside the tasks.
 IN_ROW_PHRASES = 100_000
 IN_ROW_BYTES = 8 * 1024 * 1024
 
@@ -44,21 +44,23 @@ def train_lexicon(
 ) -> DataFrame:
     """``(kind, phrase, label, support)``: the most frequent label of each phrase.
 
-    Equal counts go to the alphabetically first label.
+    Equal counts go to the alphabetically first label.  A row counts with each side it has: a missing term leaves
+    the opinion, and the reverse.
     """
+    none = F.array().cast("array<string>")
+    sides = {c: F.coalesce(_phrases_of(F.col(c)), none) for c in (term, opinion)}
     labelled = F.concat(
         F.transform(
-            _phrases_of(F.col(term)),
+            sides[term],
             lambda p: F.struct(F.lit(ASPECT).alias("kind"), p.alias("phrase"), F.col(aspect).alias("label")),
         ),
         F.transform(
-            _phrases_of(F.col(opinion)),
+            sides[opinion],
             lambda p: F.struct(F.lit(OPINION).alias("kind"), p.alias("phrase"), F.col(sentiment).alias("label")),
         ),
     )
     counted = (
-        df.where(F.col(term).isNotNull() & F.col(opinion).isNotNull())
-        .select(F.explode(labelled).alias("x"))
+        df.select(F.explode(labelled).alias("x"))
         .select("x.*")
         .where(F.col("label").isNotNull())
         .groupBy("kind", "phrase", "label")
@@ -70,23 +72,23 @@ def train_lexicon(
     )
 
 
-def phrases(words: Column, reach: Column | None = None, longest: int = LONGEST_PHRASE) -> Column:
-    """Word sequences up to ``longest`` words: longer first, then from left to right.
+def phrases(words: Column, reach: Column) -> Column:
+    """Word sequences that may be phrases: longer first, then from left to right.
 
-    ``reach`` holds, per word, the length of the longest phrase worth building
-    from there, or NULL.
+    ``reach`` holds, per word, the length of the longest known phrase that begins with it, or NULL.
     """
+    longest = F.coalesce(F.array_max(reach), F.lit(0))
 
-    def of_length(n: int) -> Column:
-        if n == 1:
-            return words if reach is None else F.filter(words, lambda w, i: F.get(reach, i) >= 1)
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - F.lit(n - 1)))
-        if reach is not None:
-            starts = F.filter(starts, lambda at: F.get(reach, at - 1) >= n)
-        none = F.array().cast("array<string>")
-        return F.coalesce(F.transform(starts, lambda at: F.array_join(F.slice(words, at, n), " ")), none)
+    def of_length(n: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))),
+            lambda at: (F.get(reach, at - 1) >= n) & (at + n - 1 <= F.size(words)),
+        )
+        return F.transform(starts, lambda at: F.array_join(F.slice(words, at, n), " "))
 
-    return F.concat(*[of_length(n) for n in range(longest, 0, -1)])
+    none = F.array().cast("array<string>")
+    lengths = F.reverse(F.sequence(F.lit(1), longest))
+    return F.when(longest > 0, F.flatten(F.transform(lengths, of_length))).otherwise(none)
 
 
 def _quad_of(aspect: Column, opinion: Column) -> Column:
@@ -99,16 +101,14 @@ def _quad_of(aspect: Column, opinion: Column) -> Column:
     )
 
 
-def lexicon_quad(lexicon: DataFrame, in_row_phrases: int = IN_ROW_PHRASES) -> Callable[[Column], Column] | None:
-    """A function from a component to its quadruple, or None if the lexicon is too large for it.
+def lexicon_quad(lexicon: DataFrame, in_row_phrases: int = IN_ROW_PHRASES) -> Callable[[Column], Column]:
+    """A function from a component to its quadruple; raises if the lexicon is too large to travel inside the tasks.
 
     The first phrase in the lexicon wins, longer phrases before shorter ones.
     """
-    small = collect_if_small(
+    small = collect_small(
         lexicon.select("kind", "phrase", "label"), in_row_phrases, IN_ROW_BYTES, "phrase", "label"
     )
-    if small is None:
-        return None
     labels: dict[str, dict[str, str]] = {}
     # Only word sequences that begin like a known phrase are built.
     reach: dict[str, int] = {}
@@ -116,13 +116,12 @@ def lexicon_quad(lexicon: DataFrame, in_row_phrases: int = IN_ROW_PHRASES) -> Ca
         labels.setdefault(row["phrase"], {})[row["kind"]] = row["label"]
         first, n_words = row["phrase"].split(" ")[0], row["phrase"].count(" ") + 1
         reach[first] = max(n_words, reach.get(first, 0))
-    longest = min(LONGEST_PHRASE, max(reach.values(), default=1))
     lookup = Dictionary.of(labels, f"struct<{ASPECT}:string,{OPINION}:string>")
     reached = Dictionary.of(reach, "int")
 
     def hits(words: Column) -> Column:
         found = let(F.transform(words, reached.get), lambda far: F.transform(
-            phrases(words, far, longest), lambda p: F.struct(p.alias("phrase"), lookup.get(p).alias("labels"))
+            phrases(words, far), lambda p: F.struct(p.alias("phrase"), lookup.get(p).alias("labels"))
         ))
         return F.filter(found, lambda h: h["labels"].isNotNull())
 
@@ -145,29 +144,40 @@ def predict_with_lexicon(
     df: DataFrame,
     lexicon: DataFrame,
     component_col: str = "component",
-    key_cols: tuple[str, ...] = (),
-    in_row_phrases: int = IN_ROW_PHRASES,
+    method: str = IN_ROW,
 ) -> DataFrame:
-    """Add ``aspect, aspect_term, opinion_term, sentiment`` to each component.
+    """Add ``aspect, aspect_term, opinion_term, sentiment`` to each component, with equal rows by either method.
 
-    A lexicon of checked size is looked up inside each row: components are not
-    shuffled.  A larger one is joined, which needs ``key_cols``, a unique row key.
+    ``in_row`` looks the lexicon up inside each row, without a shuffle, and raises if the lexicon is too large for
+    that.  ``join`` takes a lexicon of any size.  The caller chooses, so a job doesn't change its plan with its data.
     """
-    quad = lexicon_quad(lexicon, in_row_phrases)
-    if quad is not None:
-        return _with_quad(df, quad(F.col(component_col)))
-    if not key_cols:
-        raise ValueError("a lexicon of this size needs key_cols, the row key to join and collect by")
-    return predict_by_join(df, lexicon, component_col, key_cols)
+    if method == IN_ROW:
+        return _with_quad(df, lexicon_quad(lexicon)(F.col(component_col)))
+    if method == JOIN:
+        return predict_by_join(df, lexicon, component_col)
+    raise ValueError(f"unknown method: {method}")
 
 
-def predict_by_join(
-    df: DataFrame, lexicon: DataFrame, component_col: str, key_cols: tuple[str, ...]
-) -> DataFrame:
-    """The same result as :func:`predict_with_lexicon` for a lexicon of any size."""
-    keys = list(key_cols)
-    built = df.select(*keys, _words(F.col(component_col)).alias("_words")).select(
-        *keys, F.posexplode(phrases(F.col("_words"))).alias("at", "phrase")
+def predict_by_join(df: DataFrame, lexicon: DataFrame, component_col: str) -> DataFrame:
+    """``predict_with_lexicon`` by joins.
+
+    Rows are numbered and written to the checkpoint folder first, so missing and repeated keys stay apart.
+    """
+    numbered = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    keys = ["_row"]
+    words = numbered.select("_row", _words(F.coalesce(F.col(component_col), F.lit(""))).alias("_words"))
+    first_words = lexicon.groupBy(F.split("phrase", " ")[0].alias("word")).agg(
+        F.max(F.size(F.split("phrase", " "))).alias("far")
+    )
+    # Only rows with the first word of a phrase go on, and only sequences that begin with one are built.
+    reach = (
+        salted_join(words.select("_row", F.posexplode("_words").alias("at", "word")), first_words, "word")
+        .groupBy("_row")
+        .agg(F.map_from_entries(F.collect_list(F.struct("at", "far"))).alias("_far"))
+    )
+    reached = F.transform(F.sequence(F.lit(0), F.size("_words") - 1), lambda at: F.try_element_at("_far", at))
+    built = words.join(reach, "_row").select(
+        "_row", F.posexplode(let(reached, lambda far: phrases(F.col("_words"), far))).alias("at", "phrase")
     )
     labels = F.map_from_entries(F.collect_list(F.struct("kind", "label")))
     # One row per phrase, with its label of each kind; a frequent word is a hot key on the left.
@@ -187,8 +197,8 @@ def predict_by_join(
             ]
         )
     )
-    joined = df.join(found, keys, "left")
-    return _with_quad(joined, _quad_of(F.col("_aspect"), F.col("_opinion"))).drop("_aspect", "_opinion")
+    joined = numbered.join(found, keys, "left")
+    return _with_quad(joined, _quad_of(F.col("_aspect"), F.col("_opinion"))).drop("_aspect", "_opinion", "_row")
 
 
 def quad_text(df: DataFrame, out: str = "prediction") -> DataFrame:

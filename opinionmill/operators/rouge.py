@@ -5,142 +5,90 @@ Pairs are ``(row_id, reference, prediction)``; tokens are lower-case ``[a-z0-9]+
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-NGRAM_METRICS = ("rouge1", "rouge2")
-LCS_METRICS = ("rougeL", "rougeLsum")
+METRICS = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 
 
 def rouge_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def f_measure(overlap: Column, n_prediction: Column, n_reference: Column) -> Column:
-    """F of precision and recall; 0 if either side is empty or nothing overlaps."""
-    # 2PR / (P + R) with P = o / p and R = o / r is 2o / (p + r).
-    return F.when(overlap > 0, F.lit(2.0) * overlap / (n_prediction + n_reference)).otherwise(F.lit(0.0))
+def ngram_overlap(reference: list[str], prediction: list[str], n: int) -> tuple[int, int, int]:
+    """Clipped common n-grams, and the n-grams of either side."""
+    sides = [Counter(zip(*(tokens[k:] for k in range(n)))) for tokens in (reference, prediction)]
+    return sum((sides[0] & sides[1]).values()), sides[1].total(), sides[0].total()
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    if n == 1:
-        return tokens
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - F.lit(n - 1)))
-    return F.transform(starts, lambda at: F.array_join(F.slice(tokens, at, n), " "))
-
-
-def rouge_ngrams(
-    pairs: DataFrame,
-    sizes: tuple[int, ...] = (1, 2),
-    id_col: str = "row_id",
-    reference_col: str = "reference",
-    prediction_col: str = "prediction",
-    placed: bool = False,
-) -> DataFrame:
-    """``(row_id, rouge1, rouge2)`` by clipped n-gram counts, all sizes in one pass.
-
-    The texts are placed by row before they are exploded: counting the n-grams
-    of a row and adding up its overlap then need no further shuffle, so n-grams
-    never cross the network.  Pass ``placed=True`` if the pairs are partitioned
-    by ``id_col`` already, as after a sort-merge join on it.  A row without
-    n-grams keeps a score of 0.
-    """
-    empty = F.array().cast("array<struct<n:int,gram:string,is_prediction:int>>")
-
-    def side(tokens: str, is_prediction: int, n: int) -> Column:
-        marked = F.transform(
-            _grams(F.col(tokens), n),
-            lambda gram: F.struct(
-                F.lit(n).alias("n"), gram.alias("gram"), F.lit(is_prediction).alias("is_prediction")
-            ),
-        )
-        return F.coalesce(marked, empty)
-
-    sides = [side(tokens, mark, n) for tokens, mark in (("_reference", 0), ("_prediction", 1)) for n in sizes]
-    texts = pairs.select(id_col, reference_col, prediction_col)
-    if not placed:
-        # A fixed number of partitions: sized by their text alone they would be
-        # merged into too few for the many n-grams that come out of it.
-        partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        texts = texts.repartition(partitions, id_col)
-    exploded = (
-        texts
-        .select(
-            id_col,
-            rouge_tokens(F.col(reference_col)).alias("_reference"),
-            rouge_tokens(F.col(prediction_col)).alias("_prediction"),
-        )
-        .select(
-            id_col,
-            F.explode_outer(F.concat(*sides)).alias("g"),
-        )
-    )
-    is_prediction = F.col("g.is_prediction")
-    counted = exploded.groupBy(id_col, F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(
-        F.coalesce(F.sum(is_prediction), F.lit(0)).alias("p"),
-        F.coalesce(F.sum(1 - is_prediction), F.lit(0)).alias("r"),
-    )
-    sums = []
-    for n in sizes:
-        of_size = F.col("n") == n
-        sums += [
-            F.sum(F.when(of_size, F.least("p", "r")).otherwise(0)).alias(f"o{n}"),
-            F.sum(F.when(of_size, F.col("p")).otherwise(0)).alias(f"p{n}"),
-            F.sum(F.when(of_size, F.col("r")).otherwise(0)).alias(f"r{n}"),
-        ]
-    return (
-        counted.groupBy(id_col)
-        .agg(*sums)
-        .select(id_col, *[f_measure(F.col(f"o{n}"), F.col(f"p{n}"), F.col(f"r{n}")).alias(f"rouge{n}") for n in sizes])
-    )
+def _places(prediction: list[str]) -> dict[str, int]:
+    where: dict[str, int] = {}
+    for j, token in enumerate(prediction):
+        where[token] = where.get(token, 0) | (1 << j)
+    return where
 
 
-def _lcs_rows(reference: list[str], prediction: list[str]) -> list[int]:
-    """Bit rows of the LCS table: a zero at ``j`` in row ``i`` is a step up at column ``j``.
+def _next_row(row: int, hits: int, full: int) -> int:
+    """The next bit row of the LCS table: a zero at ``j`` is a step up at column ``j``.
 
     Each row of the table is one integer, updated by the bit-parallel recurrence
     of Hyyrö (2004), so long texts cost words rather than cells.
     """
-    where: dict[str, int] = {}
-    for j, token in enumerate(prediction):
-        where[token] = where.get(token, 0) | (1 << j)
-    full = (1 << len(prediction)) - 1
-    row, rows = full, []
-    for token in reference:
-        hits = row & where.get(token, 0)
-        row = ((row + hits) | (row - hits)) & full
-        rows.append(row)
-    return rows
+    hits &= row
+    return ((row + hits) | (row - hits)) & full
 
 
 def lcs_length(reference: list[str], prediction: list[str]) -> int:
+    """One row is kept at a time."""
     if not reference or not prediction:
         return 0
-    return len(prediction) - _lcs_rows(reference, prediction)[-1].bit_count()
+    where, full = _places(prediction), (1 << len(prediction)) - 1
+    row = full
+    for token in reference:
+        row = _next_row(row, where.get(token, 0), full)
+    return len(prediction) - row.bit_count()
 
 
 def lcs_positions(reference: list[str], prediction: list[str]) -> set[int]:
-    """Positions in ``reference`` of one longest common subsequence, traced from the end."""
+    """Positions in ``reference`` of one longest common subsequence, traced from the end.
+
+    Every ``block``-th row is stored, and the rows of one block at a time are made again from there: about
+    ``2 * sqrt(n)`` rows in memory instead of ``n``.
+    """
     if not reference or not prediction:
         return set()
-    full = (1 << len(prediction)) - 1
-    steps = [full] + _lcs_rows(reference, prediction)
-
-    def length(i: int, j: int) -> int:
-        return j - (steps[i] & ((1 << j) - 1)).bit_count()
+    where, full = _places(prediction), (1 << len(prediction)) - 1
+    block = math.isqrt(len(reference)) + 1
+    row, stored = full, [full]
+    for i, token in enumerate(reference, 1):
+        row = _next_row(row, where.get(token, 0), full)
+        if i % block == 0:
+            stored.append(row)
+    rows: list[int] = []
+    loaded = -1
+
+    def length(i: int, j: int, near: int) -> int:
+        """Of the first ``i`` and ``j`` tokens; rows ``near - 1`` and ``near`` are in one block."""
+        nonlocal rows, loaded
+        wanted = (near - 1) // block
+        if wanted != loaded:
+            rows, loaded = [stored[wanted]], wanted
+            for token in reference[wanted * block : (wanted + 1) * block]:
+                rows.append(_next_row(rows[-1], where.get(token, 0), full))
+        return j - (rows[i - wanted * block] & ((1 << j) - 1)).bit_count()
 
     i, j, found = len(reference), len(prediction), set()
-    here = length(i, j)
+    here = length(i, j, i)
     while i and j and here:
         if reference[i - 1] == prediction[j - 1]:
             found.add(i - 1)
             i, j, here = i - 1, j - 1, here - 1
             continue
-        above = length(i - 1, j)
+        above = length(i - 1, j, i)
         if above < here:
             j -= 1
         else:
@@ -172,42 +120,44 @@ def _union_f(reference: list[list[str]], prediction: list[list[str]]) -> float:
     return _f(overlap, sum(map(len, prediction)), sum(map(len, reference)))
 
 
-@F.pandas_udf(DoubleType())
-def _rouge_l(reference: pd.Series, prediction: pd.Series) -> pd.Series:
-    return pd.Series(
-        [_f(lcs_length(list(r), list(p)), len(p), len(r)) for r, p in zip(reference, prediction)], dtype="float64"
-    )
-
-
-@F.pandas_udf(DoubleType())
-def _rouge_lsum(reference: pd.Series, prediction: pd.Series) -> pd.Series:
-    return pd.Series(
-        [
-            _union_f([list(line) for line in r], [list(line) for line in p])
-            for r, p in zip(reference, prediction)
-        ],
-        dtype="float64",
-    )
+def _scores(reference: list[list[str]], prediction: list[list[str]], metrics: tuple[str, ...]) -> dict[str, float]:
+    """The wanted scores of one pair, given as the tokens of its lines."""
+    whole = [[token for line in lines for token in line] for lines in (reference, prediction)]
+    own = {
+        "rouge1": lambda: _f(*ngram_overlap(*whole, 1)),
+        "rouge2": lambda: _f(*ngram_overlap(*whole, 2)),
+        "rougeL": lambda: _f(lcs_length(*whole), len(whole[1]), len(whole[0])),
+        "rougeLsum": lambda: _union_f(reference, prediction),
+    }
+    return {name: own[name]() for name in metrics}
 
 
 def _line_tokens(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), rouge_tokens)
 
 
-def rouge_lcs(
+def rouge_scores(
     pairs: DataFrame,
-    metrics: tuple[str, ...] = LCS_METRICS,
+    metrics: tuple[str, ...] = METRICS,
     id_col: str = "row_id",
     reference_col: str = "reference",
     prediction_col: str = "prediction",
 ) -> DataFrame:
-    """``(row_id, rougeL, rougeLsum)``: narrow, one Arrow function per metric on whole texts."""
-    reference, prediction = F.col(reference_col), F.col(prediction_col)
-    scores = {
-        "rougeL": lambda: _rouge_l(rouge_tokens(reference), rouge_tokens(prediction)),
-        "rougeLsum": lambda: _rouge_lsum(_line_tokens(reference), _line_tokens(prediction)),
-    }
-    return pairs.select(id_col, *[scores[name]().alias(name) for name in metrics])
+    """``(row_id, *metrics)``, one row per pair.
+
+    A score depends on its pair alone, so this is a narrow step: one Arrow function on the tokens of whole texts
+    gives all metrics, and nothing is shuffled.  Rows with equal ids are scored each for itself.
+    """
+
+    @F.pandas_udf(", ".join(f"{m} double" for m in metrics))
+    def scored(reference: pd.Series, prediction: pd.Series) -> pd.DataFrame:
+        rows = [
+            _scores([list(line) for line in r], [list(line) for line in p], metrics) for r, p in zip(reference, prediction)
+        ]
+        return pd.DataFrame(rows, columns=list(metrics), dtype="float64")
+
+    lines = [_line_tokens(F.col(c)) for c in (reference_col, prediction_col)]
+    return pairs.select(id_col, scored(*lines).alias("s")).select(id_col, *(F.col(f"s.{m}").alias(m) for m in metrics))
 
 
 def mean_metrics(scores: DataFrame, *columns: str) -> DataFrame:
@@ -222,11 +172,8 @@ def rouge(
     pairs: DataFrame, id_col: str = "row_id", reference_col: str = "reference", prediction_col: str = "prediction"
 ) -> DataFrame:
     """``(metric, value)`` of all four ROUGE means over the pairs."""
-    cols = (id_col, reference_col, prediction_col)
-    placed = pairs.select(*cols)
-    grams = mean_metrics(rouge_ngrams(placed, (1, 2), *cols), *NGRAM_METRICS)
-    subsequences = mean_metrics(rouge_lcs(placed, LCS_METRICS, *cols), *LCS_METRICS)
-    return grams.unionByName(subsequences)
+    scores = rouge_scores(pairs, METRICS, id_col, reference_col, prediction_col)
+    return mean_metrics(scores, *METRICS)
 
 
 def bootstrap_means(
@@ -234,8 +181,8 @@ def bootstrap_means(
 ) -> DataFrame:
     """``(metric, value)``: the median of ``samples`` resampled means per score column.
 
-    Each row draws a Poisson(1) weight per sample from a hash of its id, so the
-    result does not depend on partitioning.  Rows are combined to one line per
+    Each row draws a Poisson(1) weight per sample from the MD5 of id, sample and seed, so the result depends on
+    neither partitioning nor engine.  Rows are combined to one line per
     sample inside each task before anything is shuffled.
     """
     # Cumulative Poisson(1) probabilities; larger weights have a chance below 1e-8.
@@ -244,7 +191,9 @@ def bootstrap_means(
         total += term
         cumulative.append(total)
         term /= k
-    uniform = F.pmod(F.xxhash64(F.col(id_col), F.col("sample"), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    drawn_from = F.concat_ws("|", F.col(id_col).cast("string"), F.col("sample").cast("string"), F.lit(str(seed)))
+    # The first 12 hexadecimal digits: 48 bits.
+    uniform = F.conv(F.substring(F.md5(drawn_from), 1, 12), 16, 10).cast("long") / float(1 << 48)
     weight = F.lit(0)
     for bound in cumulative:
         weight = weight + F.when(F.col("_u") >= bound, 1).otherwise(0)

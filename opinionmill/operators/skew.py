@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A key is heavy if it has more than one row in so many; there can't be more heavy keys than that.
+SHARE = 1000
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
-    """Join on ``key`` with the rows of each left key dealt over ``salts`` tasks.
 
-    The right side, at most one row per key, is repeated per salt.  The salt of a
-    left row is the number of its input partition, so it is the same when a task
-    is run again.
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 64) -> DataFrame:
+    """Join on ``key`` with the rows of each heavy left key dealt over ``salts`` tasks.
+
+    The right side has at most one row per key; only the rows of heavy keys are repeated.  Heavy keys are counted
+    over all left rows, combined before the shuffle, and there are fewer than ``SHARE`` of them, so they are sent to
+    every task.  The salt of a row is a hash of its values, the same when a task is run again.
     """
-    dealt = left.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    heavy = counts.where(F.col("_n") * SHARE > total).select("_key", F.lit(True).alias("_heavy"))
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(heavy), F.col(key) == F.col("_key"), "left").drop("_key")
+
+    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(0).cast("int")
+    every = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    dealt = marked(left).withColumn("_salt", salt).drop("_heavy")
+    repeated = marked(right).withColumn("_salt", F.explode(every)).drop("_heavy")
     return dealt.join(repeated, [key, "_salt"], how).drop("_salt")

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.binding import let
 from ..functions.dictionary import Dictionary
 from ..functions.tokens import attention_mask, mask_labels, pad_to, words_and_marks
-from ..session import collect_if_small
+from ..session import collect_small, cut_lineage
 from .skew import salted_join
 
 PAD_ID = 0
 UNKNOWN_ID = 1
 FIRST_ID = 2
 
-# A vocabulary up to this size travels inside the tasks; a larger one is joined.
+IN_ROW, JOIN = "in_row", "join"
+
+# A vocabulary that is looked up inside the rows travels inside the tasks.
 IN_ROW_TOKENS = 100_000
 IN_ROW_BYTES = 8 * 1024 * 1024
 
@@ -66,33 +68,43 @@ def encode(
     text_col: str,
     vocabulary: DataFrame,
     out: str = "ids",
-    id_col: str | None = None,
     max_length: int | None = None,
-    in_row_tokens: int = IN_ROW_TOKENS,
+    method: str = IN_ROW,
 ) -> DataFrame:
-    """Add ``out: array<int>``, the token ids of ``text_col`` in order.
+    """Add ``out: array<int>``, the token ids of ``text_col`` in order, with equal rows by either method.
 
-    A vocabulary of checked size is looked up inside each row, without a shuffle.
-    Beyond that the tokens are joined and collected per ``id_col``.
+    ``in_row`` looks the vocabulary up inside each row, without a shuffle, and raises if it is too large for that.
+    ``join`` takes a vocabulary of any size.
     """
-    small = collect_if_small(vocabulary.select("token", "token_id"), in_row_tokens, IN_ROW_BYTES, "token")
-    if small is not None:
-        lookup = Dictionary.of({row["token"]: row["token_id"] for row in small}, "int")
-        tokens = words_and_marks(F.coalesce(F.col(text_col), F.lit("")))
-        kept = F.slice(tokens, 1, max_length) if max_length else tokens
-        return df.withColumn(out, F.transform(kept, lambda t: F.coalesce(lookup.get(t), F.lit(UNKNOWN_ID))))
-    if id_col is None:
-        raise ValueError("a vocabulary of this size needs id_col, the row key to join and collect by")
-    return encode_by_join(df, text_col, vocabulary, id_col, out, max_length)
+    if method == IN_ROW:
+        return df.withColumn(out, ids_in_row(text_col, in_row_dictionary(vocabulary), max_length))
+    if method == JOIN:
+        return encode_by_join(df, text_col, vocabulary, out, max_length)
+    raise ValueError(f"unknown method: {method}")
+
+
+def in_row_dictionary(vocabulary: DataFrame) -> Dictionary:
+    """The vocabulary as a lookup inside the rows; collected once, whatever it is used for."""
+    small = collect_small(vocabulary.select("token", "token_id"), IN_ROW_TOKENS, IN_ROW_BYTES, "token")
+    return Dictionary.of({row["token"]: row["token_id"] for row in small}, "int")
+
+
+def ids_in_row(text_col: str, lookup: Dictionary, max_length: int | None = None) -> Column:
+    return F.transform(_tokens(text_col, max_length), lambda t: F.coalesce(lookup.get(t), F.lit(UNKNOWN_ID)))
+
+
+def _tokens(text_col: str, max_length: int | None) -> Column:
+    tokens = words_and_marks(F.coalesce(F.col(text_col), F.lit("")))
+    return F.slice(tokens, 1, max_length) if max_length else tokens
 
 
 def encode_by_join(
-    df: DataFrame, text_col: str, vocabulary: DataFrame, id_col: str, out: str = "ids", max_length: int | None = None
+    df: DataFrame, text_col: str, vocabulary: DataFrame, out: str = "ids", max_length: int | None = None
 ) -> DataFrame:
-    """The same ids as :func:`encode` for a vocabulary of any size."""
-    tokens = words_and_marks(F.coalesce(F.col(text_col), F.lit("")))
-    kept = F.slice(tokens, 1, max_length) if max_length else tokens
-    exploded = df.select(id_col, F.posexplode(kept).alias("at", "token"))
+    """``encode`` by a join; rows are numbered and written down first, so missing and repeated keys stay apart."""
+    df = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    id_col = "_row"
+    exploded = df.select(id_col, F.posexplode(_tokens(text_col, max_length)).alias("at", "token"))
     ids = (
         salted_join(exploded, vocabulary.select("token", "token_id"), "token", "left")
         .select(id_col, "at", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("token_id"))
@@ -103,7 +115,8 @@ def encode_by_join(
             ).alias(out)
         )
     )
-    return df.join(ids, id_col, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+    whole = df.join(ids, id_col, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+    return whole.drop(id_col)
 
 
 def fixed_length(ids: Column, length: int) -> Column:
@@ -116,16 +129,21 @@ def encode_pairs(
     vocabulary: DataFrame,
     max_input_length: int = 512,
     max_target_length: int = 512,
-    id_col: str | None = None,
-    in_row_tokens: int = IN_ROW_TOKENS,
+    method: str = IN_ROW,
 ) -> DataFrame:
     """Add ``input_ids``, ``attention_mask`` and ``labels`` to input / target pairs.
 
     Component pairs use 512 / 512, quadruple pairs 128 / 128.
     """
     columns = pairs.columns
-    df = encode(pairs, "input_text", vocabulary, "_in", id_col, max_input_length, in_row_tokens)
-    df = encode(df, "target_text", vocabulary, "_out", id_col, max_target_length, in_row_tokens)
+    lengths = {"_in": ("input_text", max_input_length), "_out": ("target_text", max_target_length)}
+    if method == IN_ROW:
+        lookup = in_row_dictionary(vocabulary)
+        df = pairs.withColumns({out: ids_in_row(c, lookup, n) for out, (c, n) in lengths.items()})
+    else:
+        df = pairs
+        for out, (c, n) in lengths.items():
+            df = encode(df, c, vocabulary, out, n, method)
     return df.select(
         *columns,
         let(F.col("_in"), lambda ids: fixed_length(ids, max_input_length)).alias("_features"),

@@ -11,7 +11,8 @@ from ..functions.components import segment_review
 from ..functions.prompts import quad_prompt
 from ..functions.quads import FIELDS, parse_lenient
 from ..operators.backends import BackendFactory, explode_components, predict_components, text_array_model
-from ..operators.lexicon import IN_ROW_PHRASES, lexicon_quad, predict_by_join
+from ..operators.lexicon import IN_ROW, lexicon_quad, predict_by_join
+from ..session import cut_lineage
 from ..sources.readers import fill_reviews
 from ..sources.writers import OPINION_COLUMNS
 
@@ -31,20 +32,21 @@ def component_backend(factory: BackendFactory, model_type: str = "t5", batch_siz
     return lambda df: predict_components(df, factory, "review", "components", model_type, batch_size)
 
 
-def lexicon_backend(lexicon: DataFrame, in_row_phrases: int = IN_ROW_PHRASES) -> QuadStage:
-    """Quadruples from a lexicon: inside the rows, or by join if it is too large for that."""
+def lexicon_backend(lexicon: DataFrame, method: str = IN_ROW) -> QuadStage:
+    """Quadruples from a lexicon: inside the rows, or by join for a lexicon of any size; the rows are the same."""
 
     def stage(df: DataFrame) -> DataFrame:
-        quad = lexicon_quad(lexicon, in_row_phrases)
-        if quad is not None:
-            return df.withColumn("quads", F.transform("components", quad))
-        rows = explode_components(df.select("review_id", "components"))
+        if method == IN_ROW:
+            return df.withColumn("quads", F.transform("components", lexicon_quad(lexicon)))
+        # Numbered rows: reviews without an id or with the same one stay apart.
+        numbered = cut_lineage(df.withColumn("_review", F.monotonically_increasing_id()))
+        rows = explode_components(numbered.select("_review", "components"))
         found = (
-            predict_by_join(rows, lexicon, "component", ("review_id", "pos"))
-            .groupBy("review_id")
+            predict_by_join(rows, lexicon, "component")
+            .groupBy("_review")
             .agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*FIELDS).alias("quad")))).alias("found"))
         )
-        return df.join(found, "review_id").select(*df.columns, F.col("found.quad").alias("quads"))
+        return numbered.join(found, "_review").select(*df.columns, F.col("found.quad").alias("quads"))
 
     return stage
 

@@ -35,12 +35,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def collect_if_small(df: DataFrame, max_rows: int, max_bytes: int, *text_columns: str) -> list[Row] | None:
-    """The rows of ``df`` if there are at most ``max_rows`` with ``max_bytes`` of text, else None.
+def collect_small(df: DataFrame, max_rows: int, max_bytes: int, *text_columns: str) -> list[Row]:
+    """The rows of ``df``; raises if there are more than ``max_rows`` or over ``max_bytes`` of text.
 
-    The size is measured on the executors first, so nothing larger than the
-    limits reaches the driver.
+    The rows are written once, measured there and read from there, so nothing larger than the limits reaches the
+    driver and ``df`` is computed once.
     """
+    df = cut_lineage(df)
     size = F.lit(0).cast("long")
     for column in text_columns:
         size = size + F.coalesce(F.octet_length(F.col(column)), F.lit(0))
@@ -51,21 +52,19 @@ def collect_if_small(df: DataFrame, max_rows: int, max_bytes: int, *text_columns
         .first()
     )
     if measured["rows"] > max_rows or measured["bytes"] > max_bytes:
-        return None
+        raise ValueError(
+            f"over {max_rows} rows or {max_bytes} bytes of text: too large to travel inside the tasks; use the join"
+        )
     return df.collect()
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small scan one partition per core; leave a large scan alone.
+def spread(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    """Deal a table over ``partitions``, for a file that one task would read; 0 leaves it as it is.
 
-    A table in one file with one row group is read by one task whatever its
-    length.  With as many splits as cores the input is parallel already and a
-    shuffle of the text would only cost.
+    A table in one file with one row group is read by one task whatever its length.  The text is shuffled for it, so
+    this is the caller's choice and not made by size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    return df.repartition(partitions, *keys) if partitions else df
 
 
 _SHIPPED: set[str] = set()

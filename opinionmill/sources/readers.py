@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -65,10 +66,10 @@ def read_raw_reviews(
     encoding: str = "utf-8",
     multi_line: bool = True,
 ) -> DataFrame:
-    """``(row_id, review_text)``; other columns, such as a leading index, are dropped."""
+    """``(row_id, review_text)``; other columns, such as a leading index, are dropped.  Ids of a file stay texts."""
     df = require_columns(read_csv(spark, path, encoding, multi_line), text_col, *([id_col] if id_col else []))
     if id_col:
-        return df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col))
+        return df.select(F.col(id_col).alias("row_id"), F.col(text_col))
     return with_row_id(df).select("row_id", text_col)
 
 
@@ -89,9 +90,9 @@ def read_reviews(
     encoding: str = "utf-8",
     multi_line: bool = True,
 ) -> DataFrame:
-    """``(review_id, review)`` for prediction; a missing review is read as empty."""
+    """``(review_id, review)`` for prediction; a missing review is read as empty.  Ids of a file stay texts."""
     df = require_columns(read_csv(spark, path, encoding, multi_line), text_col, *([id_col] if id_col else []))
-    df = with_row_id(df, "review_id") if id_col is None else df.withColumn("review_id", F.col(id_col).cast("long"))
+    df = with_row_id(df, "review_id") if id_col is None else df.withColumn("review_id", F.col(id_col))
     return fill_reviews(df.select("review_id", F.col(text_col).alias("review")))
 
 
@@ -106,11 +107,17 @@ def read_split(spark: SparkSession, path: str, split: str | None = None) -> Data
 
 
 def quad_lines(lines: DataFrame, value_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``sentence####[[term, category, sentiment, opinion], ...]`` lines as one row per quadruple."""
+    """``sentence####[[term, category, sentiment, opinion], ...]`` lines as one row per quadruple.
+
+    No line is lost: one without quadruples gives a row without them, ``bad`` if its label can't be read.
+    """
     parts = F.split(F.col(value_col), "####", 2)
     quads = F.from_json(F.get(parts, F.lit(1)), "array<array<string>>")
     return lines.select(
-        *keep, strip_space(F.get(parts, F.lit(0))).alias("sentence"), F.posexplode(quads).alias("pos", "q")
+        *keep,
+        strip_space(F.get(parts, F.lit(0))).alias("sentence"),
+        quads.isNull().alias("bad"),
+        F.posexplode_outer(quads).alias("pos", "q"),
     ).select(
         *keep,
         "sentence",
@@ -119,16 +126,22 @@ def quad_lines(lines: DataFrame, value_col: str = "value", keep: tuple[str, ...]
         F.get("q", F.lit(1)).alias("aspect"),
         F.get("q", F.lit(2)).alias("sentiment"),
         F.get("q", F.lit(3)).alias("opinion"),
+        "bad",
     )
 
 
 def read_quad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A text file of labelled lines: ``(sentence, pos, term, aspect, sentiment, opinion)``."""
-    return quad_lines(spark.read.text(path))
+    """A text file of labelled lines: ``(line_id, sentence, pos, term, aspect, sentiment, opinion, bad)``."""
+    return quad_lines(with_row_id(spark.read.text(path), "line_id"), keep=("line_id",))
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """A stored prediction table ``(row_id, input, reference, prediction)``, all strings."""
+def read_predictions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """A stored prediction table ``(row_id, input, reference, prediction)``, all strings.
+
+    Parquet is split over tasks; a CSV, whose cells may span lines, is one task per file.
+    """
+    if fmt == "parquet":
+        return spark.read.parquet(path).withColumn("row_id", F.col("row_id").cast("string"))
     columns = ("row_id", "input", "reference", "prediction")
     schema = StructType([StructField(c, StringType()) for c in columns])
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
@@ -136,16 +149,27 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return reader.option("nullValue", "\0").schema(schema).csv(path)
 
 
+def fingerprint(df: DataFrame) -> str:
+    """An order-free digest of all rows: two numbers, combined in the tasks."""
+    rows = df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)")), F.lit(0))).first()
+    return f"{rows[0]}-{rows[1]}"
+
+
 def read_or_build(
-    spark: SparkSession, root: str, task: str, model_type: str, build: Callable[[], DataFrame]
+    spark: SparkSession, root: str, task: str, model_type: str, build: Callable[[], DataFrame], *inputs: object
 ) -> DataFrame:
-    """A Parquet table kept per task and model type: read if complete, else built and written."""
-    path = f"{root.rstrip('/')}/{task}/{model_type}"
+    """A Parquet table kept per task, model type and ``inputs``: read if complete, else built and written.
+
+    ``inputs`` is all that the table depends on (sizes, lengths, :func:`fingerprint` of the rows): with other values
+    it is another table.
+    """
+    key = hashlib.sha256(repr(inputs).encode()).hexdigest()[:16]
+    path = f"{root.rstrip('/')}/{task}/{model_type}/{key}"
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
         # A missing folder, or one left by a job that was stopped before it committed.
-        if not any(name in str(error) for name in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

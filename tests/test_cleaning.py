@@ -97,3 +97,25 @@ def test_salted_join_equals_a_join(spark):
         salted, plain = salted_join(left, right, "k", how, 4), left.join(right, "k", how)
         assert salted.columns == plain.columns
         assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_a_hot_key_of_one_partition_lands_in_several_tasks(spark):
+    left = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"), "id").coalesce(1)
+    right = spark.range(4000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = salted_join(left, right, "k").where("k = 0").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 1
+
+
+def test_texts_are_not_sorted_by_the_duplicate_removal(spark):
+    from .conftest import executed_plan
+
+    for columns in (["text", "id"], ["text", "id", "other"]):
+        df = spark.range(5).select(F.lit("a").alias("text"), "id", F.lit("x").alias("other")).select(*columns)
+        plan = executed_plan(cleaning.keep_first(df, "text", "id"))
+        assert "SortAggregate" not in plan

@@ -33,7 +33,7 @@ def test_lexicon_training(spark):
     assert got[("aspect", "dwayne johnson")] == ("Acting", 1)
     assert got[("aspect", "tie")] == ("Movie", 1)
     assert got[("opinion", "odd")] == ("negative", 1)
-    assert ("aspect", "null") not in got and ("opinion", "x") not in got
+    assert ("aspect", "null") not in got and ("opinion", "x") in got
 
 
 def test_lexicon_prediction_in_row_and_by_join(spark):
@@ -50,14 +50,68 @@ def test_lexicon_prediction_in_row_and_by_join(spark):
         5: ("Movie", "NULL", "NULL", "neutral"),
     }
     inline = lexicon.predict_with_lexicon(df, model)
-    joined = lexicon.predict_with_lexicon(df, model, key_cols=("id",), in_row_phrases=2)
+    joined = lexicon.predict_with_lexicon(df, model, method="join")
     for found in (inline, joined):
         assert {r["id"]: (r["aspect"], r["aspect_term"], r["opinion_term"], r["sentiment"]) for r in found.collect()} == expected
     assert "Exchange" not in executed_plan(inline)
-    with pytest.raises(ValueError, match="key_cols"):
-        lexicon.predict_with_lexicon(df, model, in_row_phrases=2)
-    empty = lexicon.predict_with_lexicon(df, model.where("false")).collect()
-    assert {r["aspect_term"] for r in empty} == {"NULL"}
+    with pytest.raises(ValueError, match="too large"):
+        lexicon.lexicon_quad(model, in_row_phrases=2)
+    with pytest.raises(ValueError, match="unknown method"):
+        lexicon.predict_with_lexicon(df, model, method="guess")
+    for method in ("in_row", "join"):
+        empty = lexicon.predict_with_lexicon(df, model.where("false"), method=method).collect()
+        assert {r["aspect_term"] for r in empty} == {"NULL"} and len(empty) == 5
+
+
+def test_both_methods_agree_on_missing_and_repeated_ids(spark):
+    model = lexicon.train_lexicon(labelled(spark))
+    reviews = spark.createDataFrame(
+        [(None, "The acting was great. The plot"), (1, "slow plot"), (1, "great acting"), (1, "great acting"), (2, None)],
+        "review_id long, review string",
+    )
+    found = [
+        sorted(map(str, opinions.review_opinions(reviews, opinions.segmenter(), opinions.lexicon_backend(model, m)).collect()))
+        for m in ("in_row", "join")
+    ]
+    assert found[0] == found[1] and len(found[0]) == 5
+
+
+def test_training_keeps_rows_with_one_side(spark):
+    rows = [("plot", "Story", None, "neutral"), (None, "Movie", "superb", "positive"), (None, "Movie", None, "neutral")]
+    df = spark.createDataFrame(rows, "term string, aspect string, opinion string, sentiment string")
+    assert sorted(map(tuple, lexicon.train_lexicon(df).collect())) == [("aspect", "plot", "Story", 1), ("opinion", "superb", "positive", 1)]
+
+
+def test_long_phrases_are_found(spark):
+    term = "the very long ending of it"
+    df = spark.createDataFrame([(term, "Story", "a bit too slow for me now", "negative")], "term string, aspect string, opinion string, sentiment string")
+    model = lexicon.train_lexicon(df)
+    rows = spark.createDataFrame([(f"But {term}, was a bit too slow for me now!",)], "component string")
+    for method in ("in_row", "join"):
+        got = lexicon.predict_with_lexicon(rows, model, method=method).first()
+        assert (got["aspect"], got["aspect_term"], got["opinion_term"]) == ("Story", term, "a bit too slow for me now")
+
+
+def test_backends_must_answer_every_text(spark):
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "id long, text string").coalesce(1)
+    arrays = texts.groupBy().agg(F.collect_list("text").alias("texts"))
+    for wrong in (lambda t: t[:-1], lambda t: ["one"], lambda t: [*t, "extra"], lambda t: []):
+        for df in (
+            texts.select(B.text_model(lambda w=wrong: w, 3)(F.col("text"))),
+            arrays.select(B.text_array_model(lambda w=wrong: w, 3)(F.col("texts"))),
+        ):
+            with pytest.raises(Exception, match="answers to 3 texts"):
+                df.collect()
+
+
+def test_a_worker_keeps_one_model(spark):
+    frame = spark.createDataFrame([(["a"],)], "texts array<string>").coalesce(1)
+
+    def count():
+        return lambda texts: [str(len(B._LOADED)) for _ in texts]
+
+    for _ in range(3):
+        assert frame.select(B.text_array_model(count)(F.col("texts")).alias("n")).first()["n"] in (["0"], ["1"])
 
 
 def shout():

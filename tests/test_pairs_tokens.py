@@ -74,11 +74,14 @@ def test_vocabulary_and_both_encodings(spark):
     assert ids == {"b": 2, "a": 3, ",": 4, "zz": 5}
     expected = {1: [2, 3, 4, 2, 1], 2: [3, 2, 5], 3: [], 4: []}
     inline = V.encode(df, "text", vocabulary)
-    joined = V.encode(df, "text", vocabulary, id_col="id", in_row_tokens=3)
+    joined = V.encode(df, "text", vocabulary, method="join")
     assert {r["id"]: r["ids"] for r in inline.collect()} == expected
     assert {r["id"]: r["ids"] for r in joined.collect()} == expected
-    with pytest.raises(ValueError, match="id_col"):
-        V.encode(df, "text", vocabulary, in_row_tokens=3)
+    with pytest.raises(ValueError, match="unknown method"):
+        V.encode(df, "text", vocabulary, method="guess")
+    odd = spark.createDataFrame([(None, "a b"), (1, "b"), (1, "a"), (1, "a")], "id long, text string")
+    both = [sorted(map(str, V.encode(odd, "text", vocabulary, method=m).collect())) for m in ("in_row", "join")]
+    assert both[0] == both[1] and len(both[0]) == 4
 
 
 def test_encode_pairs(spark):

@@ -84,10 +84,8 @@ def test_rouge_equals_the_definitions(spark):
     rows = random_rows(150, 1, lines=True)
     df = pairs(spark, rows)
     got = {}
-    for r in rouge.rouge_ngrams(df).collect():
-        got[r["row_id"]] = [r["rouge1"], r["rouge2"]]
-    for r in rouge.rouge_lcs(df).collect():
-        got[r["row_id"]] += [r["rougeL"], r["rougeLsum"]]
+    for r in rouge.rouge_scores(df).collect():
+        got[r["row_id"]] = [r["rouge1"], r["rouge2"], r["rougeL"], r["rougeLsum"]]
     expected = [naive_rouge(*row) for row in rows]
     assert [got[i] for i in range(len(rows))] == [pytest.approx(e, abs=1e-12) for e in expected]
     means = {r["metric"]: r["value"] for r in rouge.rouge(df).collect()}
@@ -103,9 +101,31 @@ def test_lcs_of_long_texts():
     assert rouge.lcs_length([], b) == 0
 
 
-def test_ngrams_are_not_shuffled(spark):
-    plan = executed_plan(rouge.rouge_ngrams(pairs(spark, [("a", "b")])))
-    assert plan.count("Exchange") == 1 and "Python" not in plan
+def test_lcs_of_very_long_texts_stays_small():
+    import tracemalloc
+
+    rng = random.Random(4)
+    a = [rng.choice(VOCABULARY) for _ in range(20_000)]
+    b = a[:9_000] + ["new"] * 500 + a[9_500:]
+    tracemalloc.start()
+    assert rouge.lcs_length(a, b) >= 19_500
+    assert len(rouge.lcs_positions(a, b)) == rouge.lcs_length(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    tracemalloc.stop()
+
+
+def test_scores_need_no_exchange_after_the_join(spark):
+    left = spark.createDataFrame([(1, "a b"), (2, "c")], "row_id long, prediction string")
+    right = spark.createDataFrame([(1, "a"), (2, "c")], "row_id long, reference string")
+    joined = aligned.match_pairs(F.broadcast(left), right, check=False)
+    plan = executed_plan(rouge.rouge_scores(joined))
+    assert plan.replace("BroadcastExchange", "").count("Exchange") == 0 and plan.count("ArrowEvalPython") == 1
+
+
+def test_rows_with_equal_ids_are_scored_each_for_itself(spark):
+    df = spark.createDataFrame([(1, "a b", "a b"), (1, "a b", "c d")], "row_id long, reference string, prediction string")
+    for metric in rouge.METRICS:
+        assert sorted(r[metric] for r in rouge.rouge_scores(df).collect()) == [0.0, 1.0]
 
 
 def test_rouge_without_rows(spark):
@@ -222,7 +242,8 @@ def test_matching(spark):
     left = spark.createDataFrame([(1, "p1"), (2, "p2")], "row_id long, prediction string")
     right = spark.createDataFrame([(2, "r2"), (1, "r1")], "row_id long, reference string")
     assert sorted(tuple(r) for r in aligned.match_pairs(left, right).collect()) == [(1, "r1", "p1"), (2, "r2", "p2")]
-    with pytest.raises(ValueError, match="row_id=3"):
-        aligned.match_pairs(left.union(spark.createDataFrame([(3, "x")], left.schema)), right)
+    for wrong in ([(3, "x")], [(1, "again")], [(None, "x")]):
+        with pytest.raises(Exception, match="row_id=(3|1|NULL) has"):
+            aligned.match_pairs(left.union(spark.createDataFrame(wrong, left.schema)), right).collect()
     twice = aligned.unmatched_keys(left.union(left.where("row_id = 1")), right).collect()
     assert [tuple(r) for r in twice] == [(1, 2, 1)]

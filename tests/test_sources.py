@@ -27,7 +27,7 @@ def test_raw_reviews(spark, tmp_path):
 def test_encoding_and_missing_reviews(spark, tmp_path):
     path = write(tmp_path / "reviews.csv", "id,review\n3,café\n4,\n", "latin-1")
     df = readers.read_reviews(spark, path, id_col="id", encoding="ISO-8859-1")
-    assert {tuple(r) for r in df.collect()} == {(3, "café"), (4, "")}
+    assert {tuple(r) for r in df.collect()} == {("3", "café"), ("4", "")}
 
 
 HEADER = "Review ID,Full review,Component sentence,Aspect Category,Aspect Terms,Opinion Terms,Polarity Sentiment\n"
@@ -54,14 +54,20 @@ def test_quad_lines(spark, tmp_path):
         'I like it####[["it", "Movie", "positive", "like"]]\n'
         "He said 'no', bad####"
         '[["a, b", "Acting", "negative", "bad"], ["NULL", "Story", "neutral", "said"]]\n'
-        "no labels here\n",
+        "no labels here\n"
+        'broken####[["it", "Mov\n'
+        "none####[]\n",
     )
     rows = [tuple(r) for r in readers.read_quad_lines(spark, path).orderBy("sentence", "pos").collect()]
-    assert rows == [
-        ("He said 'no', bad", 0, "a, b", "Acting", "negative", "bad"),
-        ("He said 'no', bad", 1, "NULL", "Story", "neutral", "said"),
-        ("I like it", 0, "it", "Movie", "positive", "like"),
+    assert [r[1:] for r in rows] == [
+        ("He said 'no', bad", 0, "a, b", "Acting", "negative", "bad", False),
+        ("He said 'no', bad", 1, "NULL", "Story", "neutral", "said", False),
+        ("I like it", 0, "it", "Movie", "positive", "like", False),
+        ("broken", None, None, None, None, None, True),
+        ("no labels here", None, None, None, None, None, True),
+        ("none", None, None, None, None, None, False),
     ]
+    assert len({r[0] for r in rows}) == 5
 
 
 def test_split_files(spark, tmp_path):
@@ -99,7 +105,12 @@ def test_token_tables_are_kept_per_model(spark, tmp_path):
     def fail():
         raise AssertionError("must be read from the cache")
 
-    assert readers.read_or_build(spark, cache, "component", "t5", fail).count() == 20
+    readers.read_or_build(spark, cache, "other", "t5", lambda: t5, 1)
+    assert readers.read_or_build(spark, cache, "other", "t5", fail, 1).count() == 20
+    with pytest.raises(AssertionError):
+        readers.read_or_build(spark, cache, "other", "t5", fail, 2)
+    small = workflows.token_tables(spark, splits, cache, "component", "t5", vocab_size=3)
+    assert small.select(F.max(F.array_max("input_ids"))).first()[0] <= 4
     with pytest.raises(ValueError):
         workflows.pairs_of("other", t5, "t5")
 
@@ -123,7 +134,7 @@ def test_evaluation_files(spark, tmp_path):
     assert scores["rouge1"] == pytest.approx((1 + 0.5) / 2)
     sentence = {r["metric"]: r["value"] for r in spark.read.json(f"{target}/sentence_scores").collect()}
     assert sentence["mean_precision"] == pytest.approx(0.75)
-    stored = readers.read_predictions(spark, f"{target}/predictions").orderBy("row_id").collect()
+    stored = readers.read_predictions(spark, f"{target}/predictions", "parquet").orderBy("row_id").collect()
     assert [tuple(r) for r in stored][1] == ("r2", "Extract component sentences: x ; y", "x ; z", "x ; y")
 
     quads = spark.createDataFrame(
