@@ -6,7 +6,7 @@ document id, then a smaller line number.
 
 1. Equal lines meet under two 64-bit hashes; the earliest place is a grouped minimum.
 2. One edit leaves the first or the last half of a line as it was.  Only lines that share such a half with another
-   line can have a neighbour, so only they emit variants.
+   line can have a neighbour, so only they emit variants, and only at the places outside the shared half.
 3. A variant is a line with one word left out (``gap`` false), or the line itself, split at the same place (``gap``
    true).  Its key hashes what stands before and after the place: sums of one hash per word and position, so the
    keys of a line cost as much as its words.  Equal keys mean one edit at that place.
@@ -55,8 +55,8 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(line, BLANKS), "")
 
 
-def _halves(words: Column, count: Column) -> Column:
-    """Hashes of the first and last k words, k half of this length and half of one word less."""
+def _halves(words: Column, count: Column) -> list[Column]:
+    """Hashes of the first and last k words, k half of this length, then half of one word less if that differs."""
     keys = []
     for less in (0, 1):
         k = F.floor((count - less) / 2).cast("int")
@@ -65,21 +65,30 @@ def _halves(words: Column, count: Column) -> Column:
             F.when(new, F.xxhash64(F.lit("first"), k, F.slice(words, F.lit(1), k))),
             F.when(new, F.xxhash64(F.lit("last"), k, F.slice(words, -k, k))),
         ]
-    return F.array_compact(F.array(*keys))
+    return keys
 
 
-def _near(lines: DataFrame, distinct: DataFrame, min_words: int, broadcast_rows: int) -> DataFrame:
-    """``h1, h2`` of the different lines that have an earlier line within one edit."""
-    halves = distinct.where("halves is not null").select("h1", "h2", "first", F.explode("halves").alias("half"))
+def _near(lines: DataFrame, distinct: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``h1, h2`` of the different lines (with hashes ``k0..k3`` of halves) that have an earlier line within one edit."""
+    sides = [F.struct(F.col(f"k{i}").alias("half"), F.lit(i % 2 == 1).alias("last")) for i in range(4)]
+    halves = distinct.select("h1", "h2", "first", F.explode(F.array(*sides)).alias("x")).where("x.half is not null").select("h1", "h2", "first", "x.*")
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    wanted = cut_lineage(halves.join(shared, "half", "left_semi").select("h1", "h2", "first").distinct())
+    wanted = cut_lineage(
+        halves.join(shared, "half", "left_semi")
+        .groupBy("h1", "h2", "first")
+        .agg(F.bool_or(~F.col("last")).alias("first_half"), F.bool_or("last").alias("last_half"))
+    )
     small = wanted.count() <= broadcast_rows
-    texts = lines.join(F.broadcast(wanted) if small else wanted, ["h1", "h2", "first"], "left_semi")
+    texts = lines.join(F.broadcast(wanted) if small else wanted, ["h1", "h2", "first"])
     candidates = cut_lineage(
-        texts.groupBy("h1", "h2", "first").agg(F.min("line").alias("line")).select("h1", "h2", "first", _words(F.col("line")).alias("words"))
+        texts.groupBy("h1", "h2", "first", "first_half", "last_half")
+        .agg(F.min("line").alias("line"))
+        .select("h1", "h2", "first", "first_half", "last_half", _words(F.col("line")).alias("words"))
     )
 
-    one = candidates.select("h1", "h2", "first", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    one = candidates.select(
+        "h1", "h2", "first", "first_half", "last_half", F.size("words").alias("n"), F.posexplode("words").alias("i", "word")
+    )
     # 40 bits of each hash: sums of millions of them stay within a long.
     ahead = one.withColumn("p", F.shiftright(F.xxhash64("i", "word"), 24)).withColumn(
         "s", F.shiftright(F.xxhash64(F.col("n") - F.col("i"), "word"), 24)
@@ -96,14 +105,18 @@ def _near(lines: DataFrame, distinct: DataFrame, min_words: int, broadcast_rows:
         (F.sum("s").over(line) - F.sum("s").over(upto)).alias("after"),
         "p",
         "s",
+        "first_half",
+        "last_half",
     )
+    # An edit from the middle on leaves the first half, one up to the middle the last.
+    outside = (F.col("first_half") & (2 * F.col("i") >= F.col("n") - 2)) | (F.col("last_half") & (2 * F.col("i") <= F.col("n")))
 
     def variant(gap: bool, at: Column, before: Column, after: Column) -> Column:
         key = F.xxhash64(before, after)
         return F.struct(key.alias("key"), F.lit(gap).alias("gap"), at.alias("at"))
 
     here = F.col("i")
-    variants = sums.select(
+    variants = sums.where(outside).select(
         "h1",
         "h2",
         "first",
@@ -152,18 +165,16 @@ def _dropped(rows: DataFrame, min_words: int, broadcast_rows: int) -> DataFrame:
     """Row key, ``gone`` (positions that go) and ``near`` (how many of them have no equal earlier line)."""
     lines = _lines(rows)
     words = _words(F.col("line"))
-    measured = lines.withColumn("words", words).withColumn("n", F.size("words"))
+    measured = lines.withColumn("words", words).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
     distinct = (
-        measured.select("h1", "h2", "first", "d", F.when(F.col("n") >= min_words, _halves(F.col("words"), F.col("n"))).alias("k"))
-        .select("h1", "h2", "first", "d", *(F.get("k", F.lit(i)).alias(f"k{i}") for i in range(4)))
+        measured.select("h1", "h2", "first", *(k.alias(f"k{i}") for i, k in enumerate(_halves(F.col("words"), F.col("n")))))
         .groupBy("h1", "h2")
-        .agg(F.min("first").alias("first"), F.min("d").alias("d0"), F.max("d").alias("d1"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4)))
+        .agg(F.min("first").alias("first"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4)))
     )
-    halves = F.array_compact(F.array(*(F.col(f"k{i}") for i in range(4))))
-    distinct = cut_lineage(distinct.select("h1", "h2", "first", "d0", "d1", F.when(F.size(halves) > 0, halves).alias("halves")))
-    near = _near(lines, distinct, min_words, broadcast_rows).withColumn("near", F.lit(True))
+    near = _near(lines, distinct, broadcast_rows).withColumn("near", F.lit(True))
+    places = lines.groupBy("h1", "h2").agg(F.min("d").alias("d0"), F.max("d").alias("d1"))
     flagged = (
-        distinct.select("h1", "h2", "d0", "d1")
+        places
         .join(near, ["h1", "h2"], "left")
         .where("near or d0 < d1")
         .select("h1", "h2", "d0", F.coalesce("near", F.lit(False)).alias("near"))
