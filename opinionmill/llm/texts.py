@@ -29,16 +29,24 @@ def lower_words(text: str) -> list[bytes]:
 class WordCache:
     """Values of words, computed once per Python worker and kept within a bound.
 
-    Beyond ``limit`` entries the words of the current texts stay, the others are computed anew when they return.
+    Two generations of up to ``limit`` words: when the young one is full it becomes the old one, and words that are
+    met again move back, so frequent words stay and rare ones go.
     """
 
     def __init__(self, compute, limit: int = 250_000):
-        self.compute, self.limit, self.values = compute, limit, {}
+        self.compute, self.limit, self.young, self.old = compute, limit, {}, {}
 
     def learn(self, words: set) -> dict:
-        new = [w for w in words if w not in self.values]
-        if new:
-            if len(self.values) + len(new) > self.limit:
-                self.values = {w: self.values[w] for w in words if w in self.values}
-            self.values.update(zip(new, self.compute(new)))
-        return self.values
+        """A dictionary that holds all of ``words``."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        unknown = []
+        for word in words.difference(young):
+            if word in old:
+                young[word] = old[word]
+            else:
+                unknown.append(word)
+        if unknown:
+            young.update(zip(unknown, self.compute(unknown)))
+        return young
