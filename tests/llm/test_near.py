@@ -101,13 +101,17 @@ def test_keep_first_keeps_one_row_per_group(spark):
     assert simhash.keep_first(table(spark, [], SCHEMA)).count() == 0
 
 
-def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def within_one(a, b):
+    """Whether one word put in, left out or replaced makes the lists equal: what is left between the common ends."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < min(len(a), len(b)) - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    return max(len(a), len(b)) - i - j <= 1
 
 
 def slow_dedup(rows, min_words):
@@ -122,7 +126,7 @@ def slow_dedup(rows, min_words):
     words = {x: [w for w in __import__("re").split("[\\x20\\x09-\\x0D]+", x) if w] for x in first}
     near = {
         x for x in first for y in first
-        if first[y] < first[x] and x != y and min(len(words[x]), len(words[y])) >= min_words and edits(words[x], words[y]) <= 1
+        if first[y] < first[x] and x != y and min(len(words[x]), len(words[y])) >= min_words and within_one(words[x], words[y])
     }
     out = []
     for d, t in rows:
