@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinionmill.functions.binding import let
+
 # Put around every document, so that each cleaning rule has something to do.
 NOISE = "  I'm 4k  u can't !great.Next ok. then &lt;i&gt; *** it's U'd? y'all \t "
 MOJIBAKE = "cafÃ© "
@@ -45,23 +47,25 @@ def opinions_of(words: Column) -> Column:
 
 def labelled_lines(docs: DataFrame) -> DataFrame:
     """Labelled lines: a quadruple for every two words of each document."""
-    pairs = F.filter(
-        F.transform("words", lambda w, i: F.when(i % 2 == 0, F.array(w, F.coalesce(F.get("words", i + 1), F.lit("NULL"))))),
-        lambda p: p.isNotNull(),
-    )
-    quads = F.transform(
-        pairs,
-        lambda p, i: F.array(
-            p[0],
-            F.col("source"),
-            F.when(F.col("lang") != "en", "neutral").when(i % 2 == 0, "positive").otherwise("negative"),
-            p[1],
-        ),
-    )
+
+    def quads_of(words: Column) -> Column:
+        pairs = F.filter(
+            F.transform(words, lambda w, i: F.when(i % 2 == 0, F.array(w, F.coalesce(F.get(words, i + 1), F.lit("NULL"))))),
+            lambda p: p.isNotNull(),
+        )
+        return F.transform(
+            pairs,
+            lambda p, i: F.array(
+                p[0],
+                F.col("source"),
+                F.when(F.col("lang") != "en", "neutral").when(i % 2 == 0, "positive").otherwise("negative"),
+                p[1],
+            ),
+        )
+
+    quads = let(words_of(F.col("text")), quads_of)
     sentence = F.replace(F.col("text"), F.lit("#"), F.lit(" "))
-    return docs.withColumn("words", words_of(F.col("text"))).select(
-        "doc_id", "lang", F.concat(sentence, F.lit("####"), F.to_json(quads)).alias("value")
-    )
+    return docs.select("doc_id", "lang", F.concat(sentence, F.lit("####"), F.to_json(quads)).alias("value"))
 
 
 def sentence_backend():

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from opinionmill.functions import components as C
 from opinionmill.functions import quads as Q
 from opinionmill.functions import text as T
+from opinionmill.functions.binding import let
 from opinionmill.functions.contractions import expand_contractions
 from opinionmill.functions.entities import decode_entities
 from opinionmill.functions.prompts import component_prompt, quad_prompt, serialise_quad
@@ -394,11 +395,11 @@ def segment_components(spark, sf_dir):
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels")
-    words = F.col("words")
-    return docs.join(labels, "doc_id").withColumn("words", I.words_of(F.col("text"))).select(
+    words = I.words_of(F.col("text"))
+    return docs.join(labels, "doc_id").select(
         "doc_id",
         "text",
-        I.terms_of(words).alias("term"),
+        let(words, I.terms_of).alias("term"),
         F.when(F.col("lang") == "en", "Story").when(F.col("lang") == "fr", "Acting").otherwise("Movie").alias("aspect"),
         I.opinions_of(words).alias("opinion"),
         F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")

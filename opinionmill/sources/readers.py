@@ -113,11 +113,10 @@ def quad_lines(lines: DataFrame, value_col: str = "value", keep: tuple[str, ...]
     """
     parts = F.split(F.col(value_col), "####", 2)
     quads = F.from_json(F.get(parts, F.lit(1)), "array<array<string>>")
-    return lines.select(
-        *keep,
-        strip_space(F.get(parts, F.lit(0))).alias("sentence"),
-        quads.isNull().alias("bad"),
-        F.posexplode_outer(quads).alias("pos", "q"),
+    # Read once per line: what stands beside a generator would be computed for every row that it makes.
+    read = lines.select(*keep, strip_space(F.get(parts, F.lit(0))).alias("sentence"), quads.alias("quads"))
+    return read.select(
+        *keep, "sentence", F.col("quads").isNull().alias("bad"), F.posexplode_outer("quads").alias("pos", "q")
     ).select(
         *keep,
         "sentence",
