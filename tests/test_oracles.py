@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import compare, duck
+from checks.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
@@ -18,7 +19,7 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF_DIR)
     if name in ORACLES:
