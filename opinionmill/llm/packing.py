@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .texts import WordCache, slices
 
-#: Letters of Latin-1 with ASCII marks after them: two pre-tokens, whatever stands around them.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-SPACES = str.maketrans("\n\t\r", "   ")
+# Letters of Latin-1 with ASCII marks after them are two pre-tokens, whatever stands around them.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+ACCENTED = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -35,6 +37,9 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        # The bytes of accented letters as the vocabulary writes them.
+        by_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {ord(c): by_bytes.pre_tokenize_str(c)[0][0] for c in ACCENTED}
         self.runs = WordCache(lambda words: [self._run(w) for w in words])
         self.stretches = WordCache(self._stretches)
 
@@ -42,20 +47,30 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _run(self, run: str) -> bytes:
-        if run.isascii() and run.isalpha():
-            return np.array([t.id for t in self.tokenizer.model.tokenize(run)], dtype="<u4").tobytes()
-        return self._encode(run)
+        """Ids of lower-case letters, which are one pre-token; marks take the whole way."""
+        if run[0] in MARKS:
+            return self._encode(run)
+        spelled = run if run.isascii() else run.translate(self.spelled)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], dtype="<u4").tobytes()
 
     def _stretches(self, stretches: list[str]) -> list[bytes]:
-        cut = [SIMPLE.fullmatch(s) for s in stretches]
-        pairs = [(m[1].lower(), m[2]) if m else None for m in cut]
-        runs = self.runs.learn({r for p in pairs if p for r in p if r})
+        letters, marks, wanted = [], [], set()
+        for s in stretches:
+            bare = s.rstrip(MARKS)
+            if bare.isalpha() and (bare.isascii() or LETTERS.fullmatch(bare)):
+                letters.append(bare.lower())
+                marks.append(s[len(bare) :])
+                wanted.update((letters[-1], marks[-1]))
+            else:
+                letters.append("")
+                marks.append(s)
+        runs = self.runs.learn(wanted - {""})
         return [
-            (runs[p[0]] + (runs[p[1]] if p[1] else b"")) if p else self._encode(s) for s, p in zip(stretches, pairs)
+            runs[a] + (runs[b] if b else b"") if a else self._encode(b) if b else b"" for a, b in zip(letters, marks)
         ]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.translate(SPACES).split(" ") for t in texts]
+        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         known = self.stretches.learn({w for words in split for w in words})
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
