@@ -72,7 +72,11 @@ def _near(lines: DataFrame, distinct: DataFrame, broadcast_rows: int) -> DataFra
     """``h1, h2`` of the different lines (with hashes ``k0..k3`` of halves) that have an earlier line within one edit."""
     sides = [F.struct(F.col(f"k{i}").alias("half"), F.lit(i % 2 == 1).alias("last")) for i in range(4)]
     halves = distinct.select("h1", "h2", "first", F.explode(F.array(*sides)).alias("x")).where("x.half is not null").select("h1", "h2", "first", "x.*")
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    # A half of more than one line.  It is told by the lines' own columns, so that both sides of the join below read
+    # the same exchange and the texts are split into words once.
+    ends = [f(c).alias(f"{n}_{c}") for c in ("h1", "h2", "first") for n, f in (("low", F.min), ("high", F.max))]
+    several = " or ".join(f"low_{c} < high_{c}" for c in ("h1", "h2", "first"))
+    shared = halves.groupBy("half").agg(*ends).where(several).select("half")
     wanted = cut_lineage(
         halves.join(shared, "half", "left_semi")
         .groupBy("h1", "h2", "first")
@@ -173,7 +177,9 @@ def _dropped(rows: DataFrame, min_words: int, broadcast_rows: int) -> DataFrame:
     )
     near = _near(lines, distinct, broadcast_rows).withColumn("near", F.lit(True))
     places = lines.groupBy("h1", "h2").agg(F.min("d").alias("d0"), F.max("d").alias("d1"))
-    flagged = (
+    # Written down, so that the join below reads both sides from plain exchanges: only then can Spark deal the places
+    # of a very common line over several tasks.
+    flagged = cut_lineage(
         places
         .join(near, ["h1", "h2"], "left")
         .where("near or d0 < d1")
