@@ -42,8 +42,34 @@ TEMPLATES = (
     ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
      "hereby granted", "isc"),
     ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-by-nc-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "cc-by-nd"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "cc-by-nc-nd"),
+    ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this "
+     "work", "cc0"),
+    # So short that every word is needed.
+    ("CC BY 4.0", "cc-by"),
+    ("CC BY-SA", "cc-by-sa"),
+    ("CC BY-NC", "cc-by-nc"),
+    ("CC BY-NC-SA", "cc-by-nc-sa"),
+    ("CC BY-ND", "cc-by-nd"),
+    ("CC BY-NC-ND", "cc-by-nc-nd"),
+    ("CC0 1.0", "cc0"),
 )
 
+# The Creative Commons licenses differ by single words, which a containment below 1 may miss, so codes and names that
+# are spelled out are read word by word.
+CC_LABELS = frozenset(("cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nc-sa", "cc-by-nd", "cc-by-nc-nd", "cc0"))
+CC_STARTS = frozenset((b"cc", b"cc0", b"commons", b"creativecommons"))
+CC_ELEMENTS = {
+    (b"nc",): "nc", (b"noncommercial",): "nc", (b"non", b"commercial"): "nc",
+    (b"sa",): "sa", (b"sharealike",): "sa", (b"share", b"alike"): "sa",
+    (b"nd",): "nd", (b"noderivatives",): "nd", (b"noderivs",): "nd", (b"no", b"derivatives"): "nd", (b"no", b"derivs"): "nd",
+}
+CC_CONTEXT = frozenset((b"under", b"license", b"licence", b"licensed", b"licenced", b"licenses", b"licences"))
+
 #: A-Z to a-z; 0-9, a-z and every byte of a character beyond ASCII stay; the rest separates words.
 WORD_BYTES = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -71,6 +97,7 @@ class Index:
 
     templates: tuple[Template, ...]
     prefixes: dict[bytes, list[int]]
+    labels: frozenset[str]
 
     @staticmethod
     def build(templates, frequency: dict[bytes, int], threshold: float) -> "Index":
@@ -82,7 +109,7 @@ class Index:
             for word in own[: len(own) - need + 1]:
                 prefixes.setdefault(word, []).append(len(built))
             built.append(Template(label, {w: i for i, w in enumerate(own)}, need, len(words)))
-        return Index(tuple(built), prefixes)
+        return Index(tuple(built), prefixes, frozenset(t.label for t in built))
 
     def matches(self, words: list[bytes]) -> dict[int, float]:
         """Templates that some block of ``words`` meets, with the best containment."""
@@ -139,6 +166,38 @@ def phrase_places(words: list[bytes], phrases=PHRASES) -> list[tuple[int, str]]:
     return sorted(out)
 
 
+def cc_licenses(words: list[bytes]) -> set[str]:
+    """Labels of the Creative Commons licenses that are spelled out, as codes, names or addresses."""
+    if CC_STARTS.isdisjoint(words):
+        return set()
+    out = set()
+    for at in (i for i, w in enumerate(words) if w in CC_STARTS):
+        word, i = words[at], at + 1
+        if word == b"cc0":
+            out.add("cc0")
+            continue
+        if word == b"commons" and (not at or words[at - 1] != b"creative"):
+            continue
+        # "CC by" and "cc 0" alone say little.
+        stated = word != b"cc" or not CC_CONTEXT.isdisjoint(words[max(0, at - 3) : at])
+        while word != b"cc" and i < len(words) and words[i] in (b"org", b"licenses", b"publicdomain"):
+            i += 1
+        kind = words[i] if i < len(words) else b""
+        i += 1
+        if kind == b"zero" or kind == b"0" and (stated or words[i : i + 2] == [b"1", b"0"] or not CC_CONTEXT.isdisjoint(words[i : i + 1])):
+            out.add("cc0")
+        if kind not in (b"by", b"attribution"):
+            continue
+        elements = set()
+        while own := next((k for k in (tuple(words[i : i + 1]), tuple(words[i : i + 2])) if k in CC_ELEMENTS), None):
+            elements.add(CC_ELEMENTS[own])
+            i += len(own)
+        version = i < len(words) and words[i] in (b"1", b"2", b"3", b"4")
+        if elements or kind == b"attribution" or stated or version or not CC_CONTEXT.isdisjoint(words[i : i + 1]):
+            out.add("-".join(["cc-by", *(e for e in ("nc", "sa", "nd") if e in elements)]))
+    return out & CC_LABELS
+
+
 def word_frequencies(docs: DataFrame, text_col: str, templates) -> dict[bytes, int]:
     """In how many documents each word of the templates occurs; as many numbers as the templates have words."""
     wanted = {w for text, _ in templates for w in words_of(text) if w}
@@ -158,6 +217,12 @@ def _scan(text: str, index: Index) -> dict:
     found: dict[int, float] = {}
     if not index.prefixes.keys().isdisjoint(words):
         found = index.matches(words)
+    spelled = cc_licenses(words) & index.labels
+    family = {t: share for t, share in found.items() if index.templates[t].label in CC_LABELS}
+    if family:
+        # What is spelled out decides; else the best of the family does.
+        best = max(family.values())
+        found = {t: share for t, share in found.items() if t not in family or (not spelled and share == best)}
     base = sorted({label for _, label in places})
     starts = [at for at, _ in places]
     return {
@@ -166,8 +231,8 @@ def _scan(text: str, index: Index) -> dict:
         "first_word": min(starts, default=None),
         "last_word": max(starts, default=None),
         "base_labels": base,
-        "labels": sorted({*base, *(index.templates[t].label for t in found)}),
-        "score": 1.0 if base else max(found.values(), default=0.0),
+        "labels": sorted({*base, *spelled, *(index.templates[t].label for t in found)}),
+        "score": 1.0 if base or spelled else max(found.values(), default=0.0),
     }
 
 
@@ -194,8 +259,9 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per row of ``docs``: places of the base phrases, labels of both methods, and a score.
 
-    ``labels`` adds those of every template that some block contains to at least ``threshold``.  ``score`` is the
-    best containment, 1 if a base phrase stands in the text, and 0 if nothing was met.  Null texts are empty; null
+    ``labels`` adds those of every template that some block contains to at least ``threshold``, and Creative Commons
+    licenses that are spelled out, as far as ``templates`` have their labels.  ``score`` is the best containment, 1 if
+    a base phrase or such a license stands in the text, and 0 if nothing was met.  Null texts are empty; null
     and repeated ids stay; other columns are ignored.
     """
     index = Index.build(templates, word_frequencies(docs, text_col, templates), threshold)

@@ -180,6 +180,23 @@ def test_licenses_match_brute_force(spark, documents):
     assert license_scan.scan_licenses(wide(spark, ODD).limit(0)).count() == 0
 
 
+def test_creative_commons_family(spark):
+    lines = {
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Licensed under CC BY 4.0.": "cc-by", "cc-by-sa-3.0": "cc-by-sa", "(CC BY-NC-SA)": "cc-by-nc-sa",
+        "licensed under CC BY": "cc-by", "under a CC BY license": "cc-by", "CC BY-ND 2.0": "cc-by-nd", "CC0": "cc0", "CC 0 1.0 Universal": "cc0", "CC BY-NC-ND": "cc-by-nc-nd",
+        "https://creativecommons.org/licenses/by-nc/4.0/": "cc-by-nc", "http://creativecommons.org/publicdomain/zero/1.0/": "cc0",
+        "Creative Commons Attribution-NonCommercial 4.0": "cc-by-nc", "Creative Commons Attribution Share Alike": "cc-by-sa", "Creative Commons Zero": "cc0",
+        "Sent to Ann, cc by Friday": "", "0.5 cc 0.3 ml": "", "commons by sa": "",
+    }
+    lines |= {text: label for text, label in license_scan.TEMPLATES if label.startswith("cc")}
+    lines |= {text.replace("Creative", "Creativ"): label for text, label in license_scan.TEMPLATES if label.startswith("cc-by") and "Creative" in text}
+    rows = license_scan.digest(license_scan.scan_licenses(docs_of(spark, list(lines)))).collect()
+    assert {list(lines)[r["doc_id"]]: r["labels"] for r in rows} == lines
+    assert all((r["score"] > 0) == bool(r["labels"]) for r in rows)
+    mine = license_scan.scan_licenses(docs_of(spark, list(lines)), templates=license_scan.TEMPLATES[:5])
+    assert mine.where("size(labels) > 0").count() == 0
+
+
 def luhn(number):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(number))) % 10 == 0
 
