@@ -6,8 +6,8 @@ A text is canonicalised word by word: numbers become ``<num>``, numbers with a u
 windows of its documents.  A question with other numbers or names therefore still meets its template.
 
 An item is leaked into a document if at least ``coverage`` of its windows occur there with consistent slots: along
-one alignment each number, name or unit of the item stands for the same value everywhere, and different ones for
-different values.  An item shorter than a window is one window.  Candidates come from the rarest windows of each
+one alignment each number, name or unit of the item stands for the same value everywhere; windows with a place that
+breaks this are left out.  Different values may meet in one.  An item shorter than a window is one window.  Candidates come from the rarest windows of each
 item only (as many as the coverage allows), so a phrase that opens every question costs nothing.
 """
 
@@ -143,20 +143,19 @@ class Templates:
                 if h in self.known:
                     places.setdefault(h, []).append(at)
         candidates = sorted({i for h in places for i in self.lead.get(h, ())})
-        return [found for i in candidates if (found := self._judge(self.items[i], places, words, codes))]
+        return [found for i in candidates if (found := self._judge(self.items[i], places, words))]
 
-    def _judge(self, item: Item, places: dict, words: list[str], codes: np.ndarray) -> dict | None:
-        lines: dict[int, list[int]] = {}
+    def _judge(self, item: Item, places: dict, words: list[str]) -> dict | None:
+        lines: dict[int, set[int]] = {}
         for at, h in enumerate(item.hashes):
             for place in places.get(h, ()):
-                lines.setdefault(place - at, []).append(at)
+                lines.setdefault(place - at, set()).add(at)
         met: set[int] = set()
         changed = False
         for shift, starts in lines.items():
-            consistent, other = _slots(item, starts, shift, words, codes)
-            if consistent:
-                met.update(starts)
-                changed |= other
+            kept, other = _consistent(item, starts, shift, words)
+            met |= kept
+            changed |= other
         share = len(met) / len(item.hashes)
         if share < self.coverage:
             return None
@@ -169,20 +168,29 @@ class Templates:
         }
 
 
-def _slots(item: Item, starts: list[int], shift: int, words: list[str], codes: np.ndarray) -> tuple[bool, bool]:
-    """Whether the slots correspond one to one along an alignment, and whether any value differs."""
-    there: dict[tuple, str] = {}
-    back: dict[tuple, str] = {}
-    other = False
+def _consistent(item: Item, starts: set[int], shift: int, words: list[str]) -> tuple[set[int], bool]:
+    """The windows along an alignment whose slots agree with the others, and whether any value in them differs.
+
+    Each value of the item stands for one value of the document.  If the document has several, the item's own counts,
+    or else the one at most of the places; windows that touch a place with another value are left out.
+    """
+    values: dict[tuple, dict[str, list[int]]] = {}
     for i in sorted({s + k for s in starts for k in range(item.length)}):
         kind = int(item.codes[i] & 7)
-        if kind == WORD:
-            continue
-        own, found = (EDGES.sub("", w).lower() for w in (item.words[i], words[i + shift]))
-        if there.setdefault((kind, own), found) != found or back.setdefault((kind, found), own) != own:
-            return False, False
-        other |= own != found
-    return True, other
+        if kind != WORD:
+            own, found = (EDGES.sub("", w).lower() for w in (item.words[i], words[i + shift]))
+            values.setdefault((kind, own), {}).setdefault(found, []).append(i)
+    wrong: set[int] = set()
+    changed: set[int] = set()
+    for (_, own), found in values.items():
+        counts = sorted((len(at) for at in found.values()), reverse=True)
+        for value, at in found.items():
+            if len(found) > 1 and (value != own if own in found else len(at) < counts[0] or counts[0] == counts[1]):
+                wrong.update(at)
+            elif value != own:
+                changed.update(at)
+    kept = {s for s in starts if wrong.isdisjoint(range(s, s + item.length))}
+    return kept, any(not changed.isdisjoint(range(s, s + item.length)) for s in kept)
 
 
 def leak_column(text: Column, templates: Templates) -> Column:

@@ -251,6 +251,15 @@ def test_leaks(spark):
     assert decontamination.drop_leaked(wide(spark, ODD), bench).count() == len(ODD) + 2
 
 
+def test_leaks_with_conflicting_or_coinciding_slots(spark):
+    long = "a farmer sells 7 crates of plums every morning and later that week his sister brings 7 more crates of pears to the same market where people from the village buy all of them before the bells ring at noon today"
+    few = "she buys 3 apples and 5 pears and then counts all of the fruit"
+    bench = spark.createDataFrame([(1, long), (2, few)], "item_id long, text string")
+    texts = [long.replace("7 more", "8 more"), few.replace("3", "4").replace("5", "4"), long.replace("7 crates", "6 crates").replace("7 more", "9 more")]
+    rows = {(r["doc_id"], r["item_id"]): (r["matched_windows"], r["item_windows"], r["other_slots"]) for r in decontamination.find_leaks(docs_of(spark, texts), bench).collect()}
+    assert rows == {(0, 1): (26, 34, False), (1, 2): (7, 7, True), (2, 1): (22, 34, False)}
+
+
 def test_leaks_match_containment_on_the_given_tables(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     found = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, bench).collect()}
