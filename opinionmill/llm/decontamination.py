@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows.
 
 A text is canonicalised word by word: numbers become ``<num>``, numbers with a unit ``<num><unit>``, unit words
-``<unit>``, capitalised words inside a sentence ``<name>``, all other words their lower-case letters.  Windows of
-``window`` canonical words are hashed; the benchmark's windows form a hash table that every task probes with the
+``<unit>``, capitalised words inside a sentence ``<name>``, all other words their lower-case letters.  A capital at the
+start of a sentence may be a name or not, so windows that hold one are hashed under both readings, in items and
+documents; function words (``FUNCTION_WORDS``) are no names anywhere.  Windows of ``window`` canonical words are hashed; the benchmark's windows form a hash table that every task probes with the
 windows of its documents.  A question with other numbers or names therefore still meets its template.
 
 An item is leaked into a document if at least ``coverage`` of its windows occur there with consistent slots: along
@@ -14,6 +15,7 @@ item only (as many as the coverage allows), so a phrase that opens every questio
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +34,14 @@ UNITS = (
     "metre metres kilometer kilometers kilometre kilometres"
 ).split()
 
+# Words that are no names, wherever they are capitalised.
+FUNCTION_WORDS = frozenset((
+    "a an the this that these those it its he she they we you his her their our your my what which who whom whose when "
+    "where why how if then and or but because while although since after before during for from in into on at of to with "
+    "without by as is are was were does did has have had can could should would there here each every all some many much "
+    "not yes also only let suppose given"
+).split())
+
 NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*[%€$°]?")
 NUMBER_UNIT = re.compile(r"[+-]?\d[\d.,]*([^\W\d_]+)")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -59,7 +69,7 @@ def _code(raw: str) -> int:
         kind, canonical = NUM_UNIT, "<num><unit>"
     elif canonical in UNITS:
         kind, canonical = UNIT, "<unit>"
-    elif bare[0].isupper() and not bare.isupper():
+    elif bare[0].isupper() and not bare.isupper() and canonical not in FUNCTION_WORDS:
         marks |= CAPITAL
     return (xxhash.xxh64_intdigest(canonical.encode("utf-8", "surrogatepass")) >> 7 << 6) | marks | kind
 
@@ -67,8 +77,11 @@ def _code(raw: str) -> int:
 NAME_CODE = (xxhash.xxh64_intdigest(b"<name>") >> 7 << 6) | NAME
 
 
-def canonical(texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
-    """Per text the raw words that count and their codes; capitals inside a sentence are names."""
+def canonical(texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Per text the raw words that count, their codes, and which of them are capitals at the start of a sentence.
+
+    Capitals inside a sentence are names.
+    """
     if not _CODES:
         _CODES.append(WordCache(lambda words: [_code(w) for w in words]))
     split = [t.split() for t in texts]
@@ -77,22 +90,43 @@ def canonical(texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
     for words in split:
         codes = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
         starts = np.concatenate([[True], (codes[:-1] & ENDS) > 0]) if len(codes) else np.zeros(0, dtype=bool)
-        codes = np.where(((codes & CAPITAL) > 0) & ~starts, NAME_CODE, codes)
+        capital = (codes & CAPITAL) > 0
+        codes = np.where(capital & ~starts, NAME_CODE, codes)
         used = np.flatnonzero((codes & SKIP) == 0)
-        out.append(([words[i] for i in used] if len(used) < len(words) else words, codes[used]))
+        out.append(([words[i] for i in used] if len(used) < len(words) else words, codes[used], (capital & starts)[used]))
     return out
 
 
-def window_hashes(codes: np.ndarray, length: int) -> np.ndarray:
-    """One hash for each window of ``length`` words."""
+def _kinds(codes: np.ndarray) -> np.ndarray:
+    return (codes.view(np.uint64) >> np.uint64(6) << np.uint64(3)) | (codes & 7).view(np.uint64)
+
+
+NAME_KIND = _kinds(np.array([NAME_CODE], dtype=np.int64))[0]
+
+
+def window_hashes(codes: np.ndarray, initial: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and hashes of the windows of ``length`` words, under every reading of the ``initial`` words in them.
+
+    First come all windows, with these words as words; reading ``mask`` takes those of a window whose bits are set as
+    names.
+    """
     n = len(codes) - length + 1
     if n < 1:
-        return np.zeros(0, dtype=np.uint64)
-    kinds = (codes.view(np.uint64) >> np.uint64(6) << np.uint64(3)) | (codes & 7).view(np.uint64)
+        return
+    kinds = _kinds(codes)
     out = np.full(n, length, dtype=np.uint64)
     for k in range(length):
         out = out * BASE + kinds[k : k + n]
-    return out ^ (out >> np.uint64(31))
+    yield np.arange(n), out ^ (out >> np.uint64(31))
+    upto = np.concatenate([[0], np.cumsum(initial)])
+    inside = upto[length:] - upto[:n]
+    for mask in range(1, 1 << int(inside.max())):
+        at = np.flatnonzero(inside >= mask.bit_length())
+        out = np.full(len(at), length, dtype=np.uint64)
+        for k in range(length):
+            named = initial[at + k] & ((mask >> (upto[at + k] - upto[at]) & 1) > 0)
+            out = out * BASE + np.where(named, NAME_KIND, kinds[at + k])
+        yield at, out ^ (out >> np.uint64(31))
 
 
 @dataclass
@@ -101,7 +135,8 @@ class Item:
     words: list[str]
     codes: np.ndarray
     length: int
-    hashes: list[int]
+    #: For each window its hashes under all readings.
+    hashes: list[list[int]]
 
 
 class Templates:
@@ -111,14 +146,20 @@ class Templates:
 
     def __init__(self, rows: list[tuple], window: int, least_words: int, coverage: float):
         self.items: list[Item] = []
-        for (item_id, _), (words, codes) in zip(rows, canonical([t for _, t in rows])):
+        for (item_id, _), (words, codes, initial) in zip(rows, canonical([t for _, t in rows])):
             plain = int((codes & 7 == WORD).sum())
             if plain >= least_words:
                 length = min(window, len(codes))
-                self.items.append(Item(item_id, words, codes, length, window_hashes(codes, length).tolist()))
+                hashes: list[list[int]] = [[] for _ in range(len(codes) - length + 1)]
+                for at, values in window_hashes(codes, initial, length):
+                    for i, h in zip(at.tolist(), values.tolist()):
+                        hashes[i].append(h)
+                # Where the reading is open, a slot is checked as a name's.
+                slots = np.where(initial, NAME_CODE, codes)
+                self.items.append(Item(item_id, words, slots, length, hashes))
         seen: dict[int, int] = {}
         for item in self.items:
-            for h in set(item.hashes):
+            for h in {h for own in item.hashes for h in own}:
                 seen[h] = seen.get(h, 0) + 1
         self.known = set(seen)
         self.lead: dict[int, list[int]] = {}
@@ -126,30 +167,31 @@ class Templates:
         for i, item in enumerate(self.items):
             need = max(1, int(np.ceil(coverage * len(item.hashes) - 1e-9)))
             # By place, not by value: a repeated window counts as often as it stands in the item.
-            ranked = sorted(item.hashes, key=lambda h: (seen[h], h))
-            for h in dict.fromkeys(ranked[: len(ranked) - need + 1]):
+            ranked = sorted(item.hashes, key=lambda own: (sum(seen[h] for h in own), own))
+            for h in dict.fromkeys(h for own in ranked[: len(ranked) - need + 1] for h in own):
                 self.lead.setdefault(h, []).append(i)
         self.lengths = sorted({item.length for item in self.items})
         self.bits = np.zeros(1 << self.BITS, dtype=bool)
         keys = np.array(sorted(self.known), dtype=np.uint64)
         self.bits[(keys >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
 
-    def leaks(self, words: list[str], codes: np.ndarray) -> list[dict]:
+    def leaks(self, words: list[str], codes: np.ndarray, initial: np.ndarray) -> list[dict]:
         places: dict[int, list[int]] = {}
         for length in self.lengths:
-            hashes = window_hashes(codes, length)
-            maybe = np.flatnonzero(self.bits[(hashes >> np.uint64(64 - self.BITS)).astype(np.int64)])
-            for at, h in zip(maybe.tolist(), hashes[maybe].tolist()):
-                if h in self.known:
-                    places.setdefault(h, []).append(at)
+            for starts, hashes in window_hashes(codes, initial, length):
+                maybe = np.flatnonzero(self.bits[(hashes >> np.uint64(64 - self.BITS)).astype(np.int64)])
+                for at, h in zip(starts[maybe].tolist(), hashes[maybe].tolist()):
+                    if h in self.known:
+                        places.setdefault(h, []).append(at)
         candidates = sorted({i for h in places for i in self.lead.get(h, ())})
         return [found for i in candidates if (found := self._judge(self.items[i], places, words))]
 
     def _judge(self, item: Item, places: dict, words: list[str]) -> dict | None:
         lines: dict[int, set[int]] = {}
-        for at, h in enumerate(item.hashes):
-            for place in places.get(h, ()):
-                lines.setdefault(place - at, set()).add(at)
+        for at, own in enumerate(item.hashes):
+            for h in own:
+                for place in places.get(h, ()):
+                    lines.setdefault(place - at, set()).add(at)
         met: set[int] = set()
         changed = False
         for shift, starts in lines.items():
@@ -205,7 +247,7 @@ def leak_column(text: Column, templates: Templates) -> Column:
         "array<struct<item_id: long, matched_windows: long, item_windows: long, coverage: double, other_slots: boolean>>"
     )
     def found(column: pa.Array) -> pa.Array:
-        rows = [templates.leaks(words, codes) for texts in slices(column) for words, codes in canonical(texts)]
+        rows = [templates.leaks(*read) for texts in slices(column) for read in canonical(texts)]
         return pa.array(rows, type=kind)
 
     return found.asNondeterministic()(text)

@@ -260,6 +260,17 @@ def test_leaks_with_conflicting_or_coinciding_slots(spark):
     assert rows == {(0, 1): (26, 34, False), (1, 2): (7, 7, True), (2, 1): (22, 34, False)}
 
 
+def test_leaks_with_names_at_the_start_of_sentences(spark):
+    tom = "Tom has 12 apples. Tom gives 5 to Anna. How many apples does Tom keep?"
+    short = "Calculate what remains of these seven old coins"
+    lower = "today Maria walks home; Otto keeps walking with the dog until dawn"
+    bench = spark.createDataFrame([(1, tom), (2, short), (3, lower)], "item_id long, text string")
+    texts = [tom.replace("Tom", "Bob"), f"so {short} now", f"Also, {short.lower()}", "Today Eva walks home. Karl keeps walking with the dog until dawn",
+             "Where " + short.split(" ", 1)[1].replace("seven", "nine"), tom.replace("Tom has", "Bob has").replace("Tom gives", "Max gives").replace("does Tom", "does Jim")]
+    rows = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontamination.find_leaks(docs_of(spark, texts), bench).collect()}
+    assert rows == {(0, 1): 1.0, (1, 2): 1.0, (2, 2): 1.0, (3, 3): 1.0}
+
+
 def test_leaks_match_containment_on_the_given_tables(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     found = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, bench).collect()}
