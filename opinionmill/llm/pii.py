@@ -2,7 +2,8 @@
 
 Generators with high recall propose spans that may overlap.  Spans of four kinds with a check of their own (mail
 address, IP address, card number with Luhn digit, international phone number) are kept whenever the check holds.
-Boosted trees learn from exactly those checks: candidates that pass are positive, those that fail negative, and the
+Boosted trees learn from exactly those checks: candidates that pass are positive, those that fail negative, unless
+another generator claims the place (a passing span, or one of a generator without a check): those say nothing.  The
 features (format and context, not the checks) carry over to spans that no check covers, such as a phone number
 without country code.  Per kind, the threshold is the lowest score that keeps ``precision`` on held-out documents.
 """
@@ -140,7 +141,7 @@ def with_features(spans: DataFrame) -> DataFrame:
 def _learn(spans: DataFrame, sample: int, rounds: int, depth: int):
     """The boosted trees, from at most ``sample`` candidates chosen by hash; None unless both classes are there."""
     chosen = (
-        spans.where(F.col("kind").isin(*BASE_KINDS) & (F.col("fold") != 0))
+        spans.where(F.col("told") & (F.col("fold") != 0))
         .orderBy(F.xxhash64("d", "kind", "start", "token"), "d", "kind", "start", "token")
         .limit(sample)
         .select(F.col("ok").cast("double").alias("label"), *FEATURES)
@@ -156,7 +157,7 @@ def _learn(spans: DataFrame, sample: int, rounds: int, depth: int):
 def _thresholds(scored: DataFrame, precision: float) -> dict[str, float]:
     """Per base kind the lowest of 101 scores from which on ``precision`` of the held-out candidates are right."""
     bins = (
-        scored.where((F.col("fold") == 0) & F.col("kind").isin(*BASE_KINDS))
+        scored.where((F.col("fold") == 0) & F.col("told"))
         .groupBy("kind", F.floor(F.col("score") * 100).alias("bin"))
         .agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("int")).alias("right"))
         .collect()
@@ -164,11 +165,15 @@ def _thresholds(scored: DataFrame, precision: float) -> dict[str, float]:
     out: dict[str, float] = {}
     for kind in BASE_KINDS:
         total = right = 0
-        for b in sorted((b for b in bins if b["kind"] == kind), key=lambda b: -b["bin"]):
-            total, right = total + b["n"], right + b["right"]
-            if b["bin"] < 50 or right < precision * total:
+        own = {b["bin"]: b for b in bins if b["kind"] == kind}
+        # Down through scores that no held-out candidate has, too: they cost no precision.
+        for score in range(100, 49, -1):
+            if score in own:
+                total, right = total + own[score]["n"], right + own[score]["right"]
+            if right < precision * total:
                 break
-            out[kind] = b["bin"] / 100
+            if total:
+                out[kind] = score / 100
     return out
 
 
@@ -202,9 +207,13 @@ def find_personal_data(
     )
     rows = found.select("doc_id", "r1", "r2", base.alias("base"))
     some = found.where(F.size("all") > 0)
+    claims = F.filter("all", lambda s: s["ok"] | s["kind"].isin(*LIKE))
+    claimed = F.exists("claims", lambda c: (c["start"] < F.col("end")) & (F.col("start") < c["end"]))
     spans = with_features(
-        some.select(F.xxhash64("doc_id", "r1").alias("d"), "r1", "r2", F.pmod(F.col("r1"), F.lit(4)).alias("fold"), base.alias("base"), F.explode("all").alias("s"))
-        .select("d", "r1", "r2", "fold", "base", "s.*")
+        some.select(F.xxhash64("doc_id", "r1").alias("d"), "r1", "r2", F.pmod(F.col("r1"), F.lit(4)).alias("fold"), base.alias("base"), claims.alias("claims"), F.explode("all").alias("s"))
+        .select("d", "r1", "r2", "fold", "base", "claims", "s.*")
+        .withColumn("told", F.col("kind").isin(*BASE_KINDS) & (F.col("ok") | ~claimed))
+        .drop("claims")
     )
     model = _learn(spans, sample, rounds, depth)
     span_type = "array<struct<kind: string, start: bigint, end: bigint>>"

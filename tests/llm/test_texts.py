@@ -224,6 +224,26 @@ def test_personal_data_matches_brute_force(spark, documents):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_personal_data_finds_local_phones_and_accounts(spark):
+    rng = random.Random(9)
+    texts, planted = [], []
+    for i in range(200):
+        number = f"4{rng.randrange(10**14):014d}"
+        card = next(f"{number}{d}" for d in range(10) if luhn(f"{number}{d}"))
+        text = f"mail a{i}@b.cc or call +49 30 {rng.randrange(1000, 9999)} 5678, card {card}, on 2024-01-{i % 28 + 1:02d} sold {i + 10} of {rng.randrange(100, 99999)} items"
+        marks = []
+        for kind, token in (("local_phone", f"030 {rng.randrange(1000, 9999)} 5678"), ("local_phone", f"555-{rng.randrange(100, 999)}-4567"), ("account", str(rng.randrange(10**9, 10**13)))):
+            text += f", {'phone' if kind == 'local_phone' else 'account'} "
+            marks.append((kind, len(text), len(text) + len(token)))
+            text += token
+        texts.append(text)
+        planted.append(marks)
+    rows = pii.find_personal_data(docs_of(spark, texts)).collect()
+    for r in rows:
+        spans = {tuple(s) for s in r["spans"]}
+        assert set(planted[r["doc_id"]]) <= spans and len(spans) == 6, (texts[r["doc_id"]], spans)
+
+
 def test_personal_data_edges_and_redaction(spark):
     assert pii.find_personal_data(wide(spark, ODD)).count() == len(ODD) + 2
     assert pii.find_personal_data(wide(spark, ODD).limit(0)).count() == 0
