@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_down(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table below the shared checkpoint folder and read it from there.
+
+    Compressed and columnar, so it suits large tables that are read several times, column by column.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def collect_small(df: DataFrame, max_rows: int, max_bytes: int, *text_columns: str) -> list[Row]:
     """The rows of ``df``; raises if there are more than ``max_rows`` or over ``max_bytes`` of text.
 
