@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, license_scan, line_dedup, packing, pii, quality_model, quality_rules, secret_scan, simhash
+from . import alignment, chat, decontamination, lexical_search, license_scan, line_dedup, packing, pii, quality_model
+from . import quality_rules, secret_scan, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(_table(spark, sf_dir, "documents"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_passages(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1,
     "op2_quality_classifier": op2,
@@ -65,4 +78,7 @@ QUERIES = {
     "op8_line_dedup": op8,
     "op9_personal_data": op9,
     "op10_chat_formatting": op10,
+    "op11_tokenizer_alignment": op11,
+    "op12_lexical_search": op12,
+    "op13_substring_dedup": op13,
 }
