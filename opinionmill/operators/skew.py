@@ -9,14 +9,21 @@ from pyspark.sql import functions as F
 SHARE = 1000
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 64) -> DataFrame:
+def salted_join(
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 64, counts: DataFrame | None = None
+) -> DataFrame:
     """Join on ``key`` with the rows of each heavy left key dealt over ``salts`` tasks.
 
     The right side has at most one row per key; only the rows of heavy keys are repeated.  Heavy keys are counted
     over all left rows, combined before the shuffle, and there are fewer than ``SHARE`` of them, so they are sent to
     every task.  The salt of a row is a hash of its values, the same when a task is run again.
+
+    ``counts`` (the key and ``_n``, its left rows) spares that pass where it is known; keys that are not in ``right``
+    may be left out.
     """
-    counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    if counts is None:
+        counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    counts = counts.select(F.col(key).alias("_key"), "_n")
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
     heavy = counts.where(F.col("_n") * SHARE > total).select("_key", F.lit(True).alias("_heavy"))
 
