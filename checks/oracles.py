@@ -12,6 +12,7 @@ import math
 from opinionmill.functions.contractions import CONTRACTIONS
 from opinionmill.functions.language import PROFILES
 from opinionmill.functions.prompts import COMPONENT_PROMPT, QUAD_PROMPT
+from opinionmill.operators import language_model as M
 
 from . import inputs as I
 
@@ -113,6 +114,45 @@ def clean_ctes(source: str) -> str:
     s5 as materialized (select id, {strip(symbols('t'))} as t from s4)"""
 
 
+def ngram_ctes() -> str:
+    """``grams``: the bucket of every n-gram of the documents; ``letters``: the script of every letter."""
+    script = "case " + " ".join(
+        f"when c >= {first} then {M.SCRIPT_NAMES.index(name)}" for first, name in reversed(M.SCRIPTS)
+    ) + " else 0 end"
+    grams = " union all ".join(
+        f"select doc_id, lang, split, ({n * M.STEP} + " + " + ".join(f"c[i + {k}] * {M.FACTORS[k]}" for k in range(n))
+        + f") % {M.BUCKETS} as place from (select *, unnest(range(1, len(c) - {n - 2})) as i from coded)" for n in M.LENGTHS
+    )
+    return rf"""
+    lettered as (select doc_id, lang, case when b < 8 then 'train' when b = 8 then 'validation' else 'test' end as split,
+                        trim(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g')) as t
+                 from (select *, ('0x' || substr(md5('42:REV' || doc_id), 1, 8))::bigint % 10 as b from documents)),
+    coded as (select doc_id, lang, split, list_transform(string_split(' ' || t || ' ', ''), lambda x: unicode(x)::bigint) as c
+              from lettered where t <> ''),
+    grams as ({grams}),
+    letters as (select doc_id, lang, split, {script} as place
+                from (select doc_id, lang, split, unnest(c) as c from coded) where c <> 32)"""
+
+
+def identified_ctes() -> str:
+    return ngram_ctes() + f""",
+    counted as (select lang, place, count(*) as n from grams where split = 'train' group by all),
+    sums as (select lang, sum(n) as n from counted group by lang),
+    weights as (select s.lang, p.place, round(ln((coalesce(c.n, 0) + 0.5) / (s.n + 0.5 * {M.BUCKETS})) * {M.SCALE})::bigint as w
+                from sums s cross join range({M.BUCKETS}) as p(place) left join counted c on c.lang = s.lang and c.place = p.place),
+    known as (select lang, place from letters where split = 'train'
+              group by lang, place qualify count(*) / {M.SCRIPT_SHARE} >= sum(count(*)) over (partition by lang)),
+    main as (select doc_id, place from letters group by doc_id, place
+             qualify row_number() over (partition by doc_id order by count(*) desc, place) = 1),
+    held as (select doc_id, place, count(*) as n from grams group by all),
+    scores as (select h.doc_id, w.lang, sum(h.n * w.w)::bigint as score from held h join weights w using (place)
+               where exists (select 1 from main m join known k using (place) where m.doc_id = h.doc_id and k.lang = w.lang) group by all),
+    best as (select doc_id, max(score) - max(score, 2)[2] as lead, arg_max(lang, score) as lang, count(*) as n from scores group by doc_id),
+    identified as (select l.doc_id, l.lang, l.split, b.lead,
+                          case when b.n = 1 or b.lead >= {M.SCALE} then b.lang else 'unknown' end as language
+                   from lettered l left join best b using (doc_id))"""
+
+
 def language_ctes() -> str:
     rows = ", ".join(f"({q(lang)}, {q(w)})" for lang, words in PROFILES.items() for w in dict.fromkeys(words))
     return rf"""
@@ -401,6 +441,11 @@ ORACLES: dict[str, str] = {
     "blank_filter": r"with n as (select doc_id, regexp_replace(text, '[A-Za-z.,\n]+', ' ', 'g') as text from documents) "
                     rf"select * from n where regexp_matches(text, '[^{S_IN}]')",
     "lang_detect": f"with {language_ctes()} select doc_id, language from detected",
+    "lang_ngrams": f"with {ngram_ctes()} select lang as language, 'ngram' as kind, place::int as place, count(*) as n from grams "
+                   "group by all union all select lang, 'script', place::int, count(*) from letters group by all",
+    "lang_identify": f"with {identified_ctes()} select doc_id, split, language, lead from identified",
+    "lang_accuracy": f"with {identified_ctes()} select split, count(*) as rows, count(*) filter (where language = lang) as right, "
+                     "count(*) filter (where language = 'unknown') as undecided, true as enough from identified group by split",
     "lang_filter": "select doc_id, text from documents where lang = 'en'",
     "dedup_keep_first": "select doc_id, text, lang, source from documents "
                         "qualify row_number() over (partition by text order by doc_id) = 1",

@@ -22,7 +22,7 @@ from opinionmill.functions.contractions import expand_contractions
 from opinionmill.functions.entities import decode_entities
 from opinionmill.functions.prompts import component_prompt, quad_prompt, serialise_quad
 from opinionmill.functions.tokens import mask_labels, pad_to
-from opinionmill.operators import aligned, backends, classifier, cleaning, lexicon, pairs, quad_scores
+from opinionmill.operators import aligned, backends, classifier, cleaning, language_model, lexicon, pairs, quad_scores
 from opinionmill.operators import rouge, sentence_scores, set_scores, splitting, vocabulary
 from opinionmill.plans import opinions
 from opinionmill.session import checkpoint_dir, cut_lineage, spread
@@ -123,6 +123,41 @@ def lang_detect(spark, sf_dir):
     return cleaning.detect_language(documents(spark, sf_dir), "text").select("doc_id", "language")
 
 
+def _language_model(spark: SparkSession, sf_dir: str) -> tuple[language_model.LanguageModel, DataFrame]:
+    """Learned from eight tenths of the documents, and all documents with their split."""
+    data = documents(spark, sf_dir).select(F.concat(F.lit("REV"), F.col("doc_id")).alias("review_key"), "doc_id", "text", "lang")
+    split = splitting.assign_split(data, mode="hash")
+    return language_model.train_language_model(split.where("split = 'train'"), "text", "lang"), split
+
+
+@query
+def lang_ngrams(spark, sf_dir):
+    """What is learned: n-grams and letters of each language."""
+    return language_model.count_ngrams(documents(spark, sf_dir), "text", "lang")
+
+
+@query
+def lang_identify(spark, sf_dir):
+    """Learned, stored, loaded, and asked about every document."""
+    model, split = _language_model(spark, sf_dir)
+    path = _folder(spark, "languages")
+    language_model.save_language_model(spark, model, path)
+    loaded = language_model.load_language_model(spark, path)
+    return language_model.identify_language(split, "text", loaded, "language", "lead").select("doc_id", "split", "language", "lead")
+
+
+@query
+def lang_accuracy(spark, sf_dir):
+    """Right, wrong and undecided documents of each split; at least 95 of 100 held-out ones are right."""
+    model, split = _language_model(spark, sf_dir)
+    found = language_model.identify_language(split, "text", model)
+    right = F.count_if(F.col("language") == F.col("lang"))
+    return found.groupBy("split").agg(
+        F.count("*").alias("rows"), right.alias("right"), F.count_if(F.col("language") == "unknown").alias("undecided"),
+        (right * 100 >= F.count("*") * 95).alias("enough"),
+    )
+
+
 @query
 def lang_filter(spark, sf_dir):
     return cleaning.keep_language(documents(spark, sf_dir), "en", "lang").select("doc_id", "text")
