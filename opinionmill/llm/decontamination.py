@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import LOWER_TEXT, WordCache, slices
+from .texts import POWERS, WordValues, slices
 
 # Units of measure and money.
 UNITS = (
@@ -34,6 +34,8 @@ UNITS = (
     "metre metres kilometer kilometers kilometre kilometres"
 ).split()
 
+UNIT_SET = frozenset(UNITS)
+
 # Words that are no names, wherever they are capitalised.
 FUNCTION_WORDS = frozenset((
     "a an the this that these those it its he she they we you his her their our your my what which who whom whose when "
@@ -52,22 +54,26 @@ CAPITAL, ENDS, SKIP = 8, 16, 32
 FLAGS = 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
-_CODES: list[WordCache] = []
+_CODES: list[WordValues] = []
 
 
 def _code(raw: str) -> int:
     """Hash of the canonical word in the high bits, kind and marks in the low ones."""
-    marks = ENDS if raw.rstrip("\"')]»”").endswith((".", "!", "?", ":")) else 0
-    bare = EDGES.sub("", raw)
-    if not bare:
-        return marks | SKIP
-    kind, canonical = WORD, bare.translate(LOWER_TEXT).lower()
-    unit = NUMBER_UNIT.fullmatch(bare)
-    if NUMBER.fullmatch(bare):
+    if raw.isalpha():
+        marks, bare = 0, raw
+    else:
+        marks = ENDS if raw.rstrip("\"')]»”").endswith((".", "!", "?", ":")) else 0
+        bare = EDGES.sub("", raw)
+        if not bare:
+            return marks | SKIP
+    kind, canonical = WORD, bare.lower()
+    # Only what is not all letters can be a number.
+    unit = None if bare.isalpha() else NUMBER_UNIT.fullmatch(bare)
+    if not bare.isalpha() and NUMBER.fullmatch(bare):
         kind, canonical = NUM, "<num>"
-    elif unit and unit[1].lower() in UNITS:
+    elif unit and unit[1].lower() in UNIT_SET:
         kind, canonical = NUM_UNIT, "<num><unit>"
-    elif canonical in UNITS:
+    elif canonical in UNIT_SET:
         kind, canonical = UNIT, "<unit>"
     elif bare[0].isupper() and not bare.isupper() and canonical not in FUNCTION_WORDS:
         marks |= CAPITAL
@@ -83,11 +89,10 @@ def canonical(texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]
     Capitals inside a sentence are names.
     """
     if not _CODES:
-        _CODES.append(WordCache(lambda words: [_code(w) for w in words]))
-    split = [t.split() for t in texts]
-    known = _CODES[0].learn({w for words in split for w in words})
+        _CODES.append(WordValues(_code))
+    known = _CODES[0]
     out = []
-    for words in split:
+    for words in map(str.split, texts):
         codes = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
         starts = np.concatenate([[True], (codes[:-1] & ENDS) > 0]) if len(codes) else np.zeros(0, dtype=bool)
         capital = (codes & CAPITAL) > 0
@@ -107,26 +112,36 @@ NAME_KIND = _kinds(np.array([NAME_CODE], dtype=np.int64))[0]
 def window_hashes(codes: np.ndarray, initial: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and hashes of the windows of ``length`` words, under every reading of the ``initial`` words in them.
 
-    First come all windows, with these words as words; reading ``mask`` takes those of a window whose bits are set as
-    names.
+    First come all windows, with these words as words, then all readings with some of them as names.  The hashes add up
+    a term for each word, so a reading costs an addition.
     """
     n = len(codes) - length + 1
     if n < 1:
         return
+    up, down = POWERS.upto(len(codes) + 1)
     kinds = _kinds(codes)
-    out = np.full(n, length, dtype=np.uint64)
-    for k in range(length):
-        out = out * BASE + kinds[k : k + n]
-    yield np.arange(n), out ^ (out >> np.uint64(31))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(kinds * up[: len(codes)], dtype=np.uint64)])
+    at, raw = np.arange(n), sums[length:] - sums[:n]
+    yield at, _finished(raw * down[:n], length)
+    # A name changes the sum by one term, whatever the window.
+    changes = ((NAME_KIND - kinds) * up[: len(codes)])[initial]
     upto = np.concatenate([[0], np.cumsum(initial)])
     inside = upto[length:] - upto[:n]
-    for mask in range(1, 1 << int(inside.max())):
-        at = np.flatnonzero(inside >= mask.bit_length())
-        out = np.full(len(at), length, dtype=np.uint64)
-        for k in range(length):
-            named = initial[at + k] & ((mask >> (upto[at + k] - upto[at]) & 1) > 0)
-            out = out * BASE + np.where(named, NAME_KIND, kinds[at + k])
-        yield at, out ^ (out >> np.uint64(31))
+    named_at, named = [], []
+    for bit in range(int(inside.max())):
+        # All readings so far, with the next of their windows' capitals as a name too.
+        at, raw = np.concatenate([at, *named_at[-1:]]), np.concatenate([raw, *named[-1:]])
+        more = inside[at] > bit
+        named_at.append(at[more])
+        named.append(raw[more] + changes[upto[at[more]] + bit])
+    if named:
+        at, raw = np.concatenate(named_at), np.concatenate(named)
+        yield at, _finished(raw * down[at], length)
+
+
+def _finished(h: np.ndarray, length: int) -> np.ndarray:
+    h = (h + np.uint64(length)) * BASE
+    return h ^ (h >> np.uint64(31))
 
 
 @dataclass

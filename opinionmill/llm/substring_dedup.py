@@ -10,7 +10,7 @@ are kept and followed:
    as a whole; the others may still hold repeated edges and are opened.
 3. **Compaction.**  A repeated piece that is always followed by the same one, which always follows it, is joined with
    it: the links are grouped, tested for branches and joined back, and a running number along each text gives the
-   nonbranching paths.  Every place of a path runs through the whole of it, so its first piece names it.
+   nonbranching paths.  Every place of a path runs through the whole of it.
 4. **Verification.**  Each path, and each edge of an opened piece, goes back to its text by its source coordinates and is
    compared by 128 bits of its words; what stands at two coordinates is repeated.
 5. **Removal.**  Words that a repeated edge covers leave their text.
@@ -22,21 +22,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import salted_join
 from ..session import write_down
-from .texts import SLICE_ROWS
+from .texts import POWERS, SLICE_ROWS, STEP
 
-#: Random odd factors of the hashes; ``INVERSE`` undoes ``STEP`` modulo 2^64.
-STEP = 0x9E3779B97F4A7C13
-INVERSE = pow(STEP, -1, 1 << 64)
+#: Random values of the bytes, one table for each hash.
 BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, (3, 256), dtype=np.uint64)
 
 
@@ -46,24 +44,6 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class Powers:
-    """Powers of ``STEP`` and of its inverse, as many as have been needed."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            self.up, self.down = (
-                np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, f, dtype=np.uint64))]) for f in (STEP, INVERSE)
-            )
-        return self.up, self.down
-
-
-POWERS = Powers()
-
-
 def spans_hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of ``values[s:e]`` for every span, in one pass over the values."""
     up, down = POWERS.upto(len(values) + 1)
@@ -80,6 +60,21 @@ def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+def minimisers(anchors: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of every ``width`` following values, the leftmost if several are equal."""
+    count = len(anchors) - width + 1
+    bits = np.uint64(20)
+    if len(anchors) >> 20:
+        return np.lib.stride_tricks.sliding_window_view(anchors >> bits, width).argmin(axis=1) + np.arange(count)
+    # The place stands in the low bits, so the least value names it and the leftmost of equal ones is the least.
+    least, reach = (anchors >> bits << bits) | np.arange(len(anchors), dtype=np.uint64), 1
+    while 2 * reach <= width:
+        least, reach = np.minimum(least[:-reach], least[reach:]), 2 * reach
+    if reach < width:
+        least = np.minimum(least[:count], least[width - reach :])
+    return (least & np.uint64((1 << 20) - 1)).astype(np.int64)
+
+
 def pieces_of(raw: bytes, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Minimiser, hash of the words, first edge and number of edges of the pieces of a text."""
     starts, ends = words_of(raw)
@@ -87,16 +82,14 @@ def pieces_of(raw: bytes, window: int, anchor: int) -> tuple[np.ndarray, np.ndar
     if edges < 1:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none
-    points = np.frombuffer(raw, dtype=np.uint8)
-    words, others = (spans_hashed(table[points], starts, ends) for table in BYTES[:2])
+    words = spans_hashed(BYTES[0][np.frombuffer(raw, dtype=np.uint8)], starts, ends)
     at = np.arange(len(starts) - anchor + 1)
     anchors = spans_hashed(words, at, at + anchor)
-    # The least of each run of ``width`` anchors: the leftmost, if several are equal.
-    width = window - anchor + 1
-    least = np.lib.stride_tricks.sliding_window_view(anchors, width).argmin(axis=1) + np.arange(edges)
+    least = minimisers(anchors, window - anchor + 1)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     n = np.diff(np.append(first, edges))
-    return anchors[least[first]].view(np.int64), spans_hashed(others, first, first + n + window - 1).view(np.int64), first, n
+    content = spans_hashed(_mixed(words ^ np.uint64(STEP)), first, first + n + window - 1)
+    return anchors[least[first]].view(np.int64), content.view(np.int64), first, n
 
 
 def _texts(column: pa.Array) -> Iterator[list[bytes]]:
@@ -149,38 +142,35 @@ def _unpacked(column: pa.Array) -> Iterator[bytes]:
         yield large.decompress(v.as_buffer().to_pybytes())
 
 
-def _strong(raw: bytes) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(raw)
-    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
+CHECKS = pa.list_(pa.struct([("s1", pa.int64()), ("s2", pa.int64()), ("at", pa.int32()), ("n", pa.int32())]))
 
 
-CHECKS = pa.list_(pa.struct([("u", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("at", pa.int32()), ("n", pa.int32())]))
+def _numbers(lists: pa.Array, *names: str) -> Iterator[list[np.ndarray]]:
+    """The fields of each list of structs as arrays; a null list is empty."""
+    fields = [lists.values.field(n).to_numpy(zero_copy_only=False) for n in names]
+    offsets, valid = lists.offsets.to_numpy(), lists.is_valid().to_pylist()
+    for i, there in enumerate(valid):
+        own = slice(offsets[i], offsets[i + 1]) if there else slice(0, 0)
+        yield [f[own] for f in fields]
 
 
 def check_column(text: Column, spans: Column, window: int) -> Column:
     """128 bits of the words of each span; opened pieces give one row for each of their edges."""
 
-    @F.arrow_udf("array<struct<u: long, s1: long, s2: long, at: int, n: int>>")
+    @F.arrow_udf("array<struct<s1: long, s2: long, at: int, n: int>>")
     def checked(column: pa.Array, wanted: pa.Array) -> pa.Array:
         rows = []
-        for raw, own in zip(_unpacked(column), wanted):
-            starts, ends = words_of(raw)
-            # The words joined by one byte each, so that a span is one slice.
-            joined = b" ".join(raw.split())
-            sizes = np.cumsum(ends - starts + 1)
-            firsts, lasts = (sizes - (ends - starts + 1)).tolist(), (sizes - 1).tolist()
-            out = []
-            for span in own.as_py():
-                at, n = span["at"], span["n"]
-                if span["u"] is not None:
-                    s1, s2 = _strong(joined[firsts[at] : lasts[at + n + window - 2]])
-                    out.append({"u": span["u"], "s1": s1, "s2": s2, "at": at, "n": n})
-                else:
-                    for i in range(at, at + n):
-                        s1, s2 = _strong(joined[firsts[i] : lasts[i + window - 1]])
-                        out.append({"u": None, "s1": s1, "s2": s2, "at": i, "n": 1})
-            rows.append(out)
-        return pa.array(rows, type=CHECKS)
+        for raw, (opened, at, n) in zip(_unpacked(column), _numbers(wanted, "opened", "at", "n")):
+            times = np.where(opened, n, 1)
+            inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            first, edges = np.repeat(at, times) + inside, np.repeat(np.where(opened, 1, n), times)
+            points, (starts, ends) = np.frombuffer(raw, dtype=np.uint8), words_of(raw)
+            s1, s2 = (
+                spans_hashed(spans_hashed(table[points], starts, ends), first, first + edges + window - 1).view(np.int64)
+                for table in BYTES[1:]
+            )
+            rows.append({"s1": s1, "s2": s2, "at": first, "n": edges})
+        return _lists(rows, CHECKS)
 
     return checked.asNondeterministic()(text, spans)
 
@@ -201,57 +191,61 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = 35, an
     )
     # Minimisers at two places: equal texts are one source, so their places are equal too.
     place = _place("t", "at")
-    met = pieces.groupBy("m").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("m")
-    shared = write_down(salted_join(pieces, met, "m").distinct().withColumn("x", place))
-    kinds = shared.groupBy("m", "c").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    met = pieces.groupBy("m").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("_n"))
+    met = write_down(met.where("low < high").select("m", "_n"))
+    shared = write_down(salted_join(pieces, met.select("m"), "m", counts=met).distinct().withColumn("x", place))
+    kinds = write_down(
+        shared.groupBy("m", "c").agg(F.min("x").alias("first"), F.max("x").alias("last"), F.count("*").alias("_n"))
+    )
     several = kinds.groupBy("m").agg((F.min("c") < F.max("c")).alias("mixed"))
-    kinds = kinds.join(several, "m").select(
-        F.xxhash64("m", "c").alias("p"), F.col("m").alias("_m"), F.col("c").alias("_c"), (F.col("low") < F.col("high")).alias("whole"), "mixed", F.col("low").alias("first")
-    ).where("whole or mixed")
-    # A text's places in order, with the path of the next and of the last piece if they touch.
+    whole = F.col("first") < F.col("last")
+    kinds = salted_join(kinds, several, "m").where(whole | F.col("mixed")).select(
+        F.xxhash64("m", "c").alias("p"), F.col("m").alias("_m"), F.col("c").alias("_c"), whole.alias("whole"), "mixed", "first", "_n"
+    )
+    of_path = salted_join(shared.withColumn("p", F.xxhash64("m", "c")), kinds.drop("_n"), "p", counts=kinds)
     typed = write_down(
-        salted_join(shared.withColumn("p", F.xxhash64("m", "c")), kinds, "p")
-        .where("m = _m and c = _c")
-        .select("t", "at", "n", "p", "whole", (F.col("mixed") & (~F.col("whole") | (F.col("x") == F.col("first")))).alias("opened"))
+        of_path.where("m = _m and c = _c").select(
+            "t", "at", "n", "p", "whole", (F.col("mixed") & (~F.col("whole") | (F.col("x") == F.col("first")))).alias("opened")
+        )
     )
+    # A text's places in order, with the path of the next and of the last piece if they touch.
     along = Window.partitionBy("t").orderBy("at")
-    whole = typed.where("whole").select("t", "at", "n", "p")
-    touching = (F.lead("at").over(along) == F.col("at") + F.col("n"), F.lag(F.col("at") + F.col("n")).over(along) == F.col("at"))
-    linked = whole.select(
-        "t", "at", "n", "p",
-        F.when(touching[0], F.lead("p").over(along)).alias("after"),
-        F.when(touching[1], F.lag("p").over(along)).alias("before"),
+    follows = F.lag(F.col("at") + F.col("n")).over(along) == F.col("at")
+    linked = write_down(
+        typed.where("whole").select(
+            "t", "at", "n", "p",
+            F.when(F.lead("at").over(along) == F.col("at") + F.col("n"), F.lead("p").over(along)).alias("after"),
+            F.when(follows, F.lag("p").over(along)).alias("before"),
+        )
     )
 
     def sole(column: str) -> Column:
         """Whether all places have the same neighbour there."""
-        return (F.min(column) == F.max(column)) & (F.count(column) == F.count("*"))
+        same = (F.min(column) == F.max(column)) & (F.count(column) == F.count("*"))
+        return F.coalesce(same, F.lit(False))
 
-    ends = linked.groupBy("p").agg(sole("after").alias("one_after"), sole("before").alias("one_before"))
-    ends = ends.select("p", F.coalesce("one_after", F.lit(False)).alias("one_after"), F.coalesce("one_before", F.lit(False)).alias("one_before"))
-    flagged = salted_join(linked, ends, "p")
-    joins_last = (
-        F.col("one_before") & F.lag("one_after").over(along) & (F.lag(F.col("at") + F.col("n")).over(along) == F.col("at"))
+    ends = linked.groupBy("p").agg(
+        sole("after").alias("one_after"), sole("before").alias("one_before"), F.count("*").alias("_n")
     )
-    runs = flagged.select("t", "at", "n", "p", F.coalesce(joins_last, F.lit(False)).alias("joined"))
-    numbered = runs.withColumn("run", F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(along))
-    paths = numbered.groupBy("t", "run").agg(
-        F.min("at").alias("at"), F.sum("n").cast("int").alias("n"), F.min_by("p", "at").alias("u")
+    joined = F.col("one_before") & F.lag("one_after").over(along) & follows
+    runs = salted_join(linked.select("t", "at", "n", "p"), ends.drop("_n"), "p", counts=ends)
+    numbered = runs.select("t", "at", "n", F.when(joined, 0).otherwise(1).alias("begins")).withColumn(
+        "run", F.sum("begins").over(along)
     )
-    wanted = paths.select("t", "u", "at", "n").unionByName(
-        typed.where("opened").select("t", F.lit(None).cast("long").alias("u"), "at", "n")
+    paths = numbered.groupBy("t", "run").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"))
+    wanted = paths.select("t", F.lit(False).alias("opened"), "at", "n").unionByName(
+        typed.where("opened").select("t", "opened", "at", "n")
     )
-    lists = wanted.groupBy("t").agg(F.collect_list(F.struct("u", "at", "n")).alias("spans"))
+    lists = wanted.groupBy("t").agg(F.collect_list(F.struct("opened", "at", "n")).alias("spans"))
     texts = sources.select("t", packed(F.col("text")).alias("z")).dropDuplicates(["t"])
     checks = write_down(
         texts.join(lists, "t").select("t", F.explode(check_column(F.col("z"), F.col("spans"), window)).alias("c")).select("t", "c.*")
     )
     # A path is repeated with its whole words; an edge of an opened piece by itself.
     spot = _place("t", "at")
-    same = checks.groupBy("u", "s1", "s2").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low < high")
-    same = same.select(F.xxhash64("u", "s1", "s2").alias("k"), F.col("u").alias("_u"), F.col("s1").alias("_1"), F.col("s2").alias("_2"))
-    found = salted_join(checks.withColumn("k", F.xxhash64("u", "s1", "s2")), same, "k")
-    return found.where("u <=> _u and s1 = _1 and s2 = _2").select("t", "at", "n")
+    same = checks.groupBy("s1", "s2").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), F.count("*").alias("_n"))
+    same = same.where("low < high").select("s1", F.col("s2").alias("_2"), "_n")
+    return salted_join(checks, same.drop("_n"), "s1", counts=same).where("s2 = _2").select("t", "at", "n")
 
 
 RESULT = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
@@ -261,19 +255,18 @@ def removal_column(text: Column, spans: Column, copies: Column, window: int, wit
     @F.arrow_udf("n_words long, n_removed long, kept string, kept_sha256 string")
     def removed(column: pa.Array, runs: pa.Array, times: pa.Array) -> pa.Array:
         rows = []
-        for raw, own, n in zip(_unpacked(column), runs, times.to_pylist()):
+        for raw, (at, edges), n in zip(_unpacked(column), _numbers(runs, "at", "n"), times.to_pylist()):
             words = raw.split()
             if n > 1:
-                gone = np.full(len(words), len(words) >= window)
+                stays = np.full(len(words), len(words) < window)
             else:
                 change = np.zeros(len(words) + 1, dtype=np.int64)
-                for run in own.as_py() or ():
-                    change[run["at"]] += 1
-                    change[run["at"] + run["n"] + window - 1] -= 1
-                gone = np.cumsum(change[:-1]) > 0
-            kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words)
+                np.add.at(change, at, 1)
+                np.add.at(change, at + edges + window - 1, -1)
+                stays = np.cumsum(change[:-1]) == 0
+            kept = b" ".join(compress(words, stays.tolist()) if not stays.all() else words)
             rows.append(
-                {"n_words": len(words), "n_removed": int(gone.sum()), "kept": kept.decode("utf-8", "replace") if with_text else None,
+                {"n_words": len(words), "n_removed": len(words) - int(stays.sum()), "kept": kept.decode("utf-8", "replace") if with_text else None,
                  "kept_sha256": hashlib.sha256(kept).hexdigest()}
             )
         return pa.array(rows, type=RESULT)
@@ -298,6 +291,7 @@ def dedup_passages(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     sources = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("t"), text.alias("text"))
     texts = sources.select("t", packed(F.col("text")).alias("z"))
+    # Copies are met in their task before the shuffle.
     once = texts.groupBy("t").agg(F.first("z").alias("z"), F.count("*").alias("copies"))
     results = once.join(runs, "t", "left").select(
         "t", removal_column(F.col("z"), F.col("runs"), F.col("copies"), window, with_text).alias("r")

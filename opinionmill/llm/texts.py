@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
 #: ASCII letters to lower case; every other byte stays, so UTF-8 stays valid.
@@ -50,3 +51,47 @@ class WordCache:
         if unknown:
             young.update(zip(unknown, self.compute(unknown)))
         return young
+
+
+class WordValues(dict):
+    """Values of words, computed when they are first asked for and kept within a bound.
+
+    Two generations of up to ``limit`` words, as in ``WordCache``, for values that are computed one by one.
+    """
+
+    def __init__(self, compute, limit: int = 250_000):
+        super().__init__()
+        self.compute, self.limit, self.old = compute, limit, {}
+
+    def __missing__(self, word):
+        value = self.old.pop(word, None)
+        if value is None:
+            value = self.compute(word)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[word] = value
+        return value
+
+
+#: A random odd factor of the hashes of runs of words, and what undoes it modulo 2^64.
+STEP = 0x9E3779B97F4A7C13
+INVERSE = pow(STEP, -1, 1 << 64)
+
+
+class Powers:
+    """Powers of ``STEP`` and of its inverse, as many as have been needed."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = max(n, 2 * len(self.up))
+            self.up, self.down = (
+                np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, f, dtype=np.uint64))]) for f in (STEP, INVERSE)
+            )
+        return self.up, self.down
+
+
+POWERS = Powers()
