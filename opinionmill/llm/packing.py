@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .texts import WordCache, slices
+from .texts import WordValues, slices
 
 # Letters of Latin-1 with ASCII marks after them are two pre-tokens, whatever stands around them.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -40,39 +40,29 @@ class Encoder:
         # The bytes of accented letters as the vocabulary writes them.
         by_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelled = {ord(c): by_bytes.pre_tokenize_str(c)[0][0] for c in ACCENTED}
-        self.runs = WordCache(lambda words: [self._run(w) for w in words])
-        self.stretches = WordCache(self._stretches)
+        self.runs = WordValues(self._run)
+        self.stretches = WordValues(self._stretch)
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def _run(self, run: str) -> bytes:
         """Ids of lower-case letters, which are one pre-token; marks take the whole way."""
         if run[0] in MARKS:
             return self._encode(run)
         spelled = run if run.isascii() else run.translate(self.spelled)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], dtype="<u4").tobytes()
-
-    def _stretches(self, stretches: list[str]) -> list[bytes]:
-        letters, marks, wanted = [], [], set()
-        for s in stretches:
-            bare = s.rstrip(MARKS)
-            if bare.isalpha() and (bare.isascii() or LETTERS.fullmatch(bare)):
-                letters.append(bare.lower())
-                marks.append(s[len(bare) :])
-                wanted.update((letters[-1], marks[-1]))
-            else:
-                letters.append("")
-                marks.append(s)
-        runs = self.runs.learn(wanted - {""})
-        return [
-            runs[a] + (runs[b] if b else b"") if a else self._encode(b) if b else b"" for a, b in zip(letters, marks)
-        ]
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled)])
+
+    def _stretch(self, stretch: str) -> bytes:
+        bare = stretch.rstrip(MARKS)
+        if bare.isalpha() and (bare.isascii() or LETTERS.fullmatch(bare)):
+            ids = self.runs[bare.lower()]
+            return ids + self.runs[stretch[len(bare) :]] if len(bare) < len(stretch) else ids
+        return self._encode(stretch) if stretch else b""
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        known = self.stretches.learn({w for words in split for w in words})
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        known = self.stretches.__getitem__
+        return [b"".join(map(known, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
 
 
 def encoder(path: str) -> Encoder:
@@ -89,16 +79,27 @@ def piece_lengths(tokens: int, longest: int = 4096) -> list[int]:
     return [longest] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _pieces(ids: bytes, longest: int, with_ids: bool) -> list[dict]:
-    out, at = [], 0
-    for length in piece_lengths(len(ids) // 4, longest):
-        part = ids[4 * at : 4 * (at + length)]
-        piece = {"start": at, "length": length, "ids_crc32": zlib.crc32(part), "doc_tokens": len(ids) // 4}
-        if with_ids:
-            piece["ids"] = np.frombuffer(part, dtype="<i4")
-        out.append(piece)
-        at += length
-    return out
+FIELDS = ("start", "length", "ids_crc32", "doc_tokens")
+
+
+def _pieces(documents: list[bytes], longest: int, with_ids: bool) -> pa.Array:
+    """The pieces of each document, from its ids as bytes."""
+    rows: list[tuple[int, int, int, int]] = []
+    offsets = [0]
+    for ids in documents:
+        at, tokens = 0, len(ids) // 4
+        for length in piece_lengths(tokens, longest):
+            rows.append((at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), tokens))
+            at += length
+        offsets.append(len(rows))
+    table = np.array(rows, dtype=np.int64).reshape(-1, 4)
+    columns, names = [pa.array(np.ascontiguousarray(table[:, i])) for i in range(4)], list(FIELDS)
+    if with_ids:
+        values = np.frombuffer(b"".join(documents), dtype="<i4")
+        upto = np.concatenate([[0], np.cumsum(table[:, 1])]).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(upto), pa.array(values)))
+        names.append("ids")
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names=names))
 
 
 def pack(
@@ -122,7 +123,7 @@ def pack(
     fields = "start: long, length: long, ids_crc32: long, doc_tokens: long" + (", ids: array<int>" if with_ids else "")
     kind = pa.list_(
         pa.struct(
-            [(f, pa.int64()) for f in ("start", "length", "ids_crc32", "doc_tokens")]
+            [(f, pa.int64()) for f in FIELDS]
             + ([("ids", pa.list_(pa.int32()))] if with_ids else [])
         )
     )
@@ -130,10 +131,7 @@ def pack(
     @F.arrow_udf(f"array<struct<{fields}>>")
     def cut(column: pa.Array) -> pa.Array:
         own = encoder(public_tokenizers.path(name))
-        parts = [
-            pa.array([_pieces(ids + end, longest, with_ids) for ids in own.ids(texts)], type=kind)
-            for texts in slices(column)
-        ]
+        parts = [_pieces([ids + end for ids in own.ids(texts)], longest, with_ids).cast(kind) for texts in slices(column)]
         return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
 
     pieces = docs.select(
