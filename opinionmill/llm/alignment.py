@@ -23,6 +23,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -37,6 +38,9 @@ CUT = re.compile(r"(?<=[^\s▁])(?=[ \n][^\s▁])")
 #: Characters that are encoded without loss one by one and in any order; other stretches are tried.
 PLAIN = re.compile("[\n -~¡-¬®-ɏ]*")
 
+#: Plain texts that are cut at every space and line feed.
+SIMPLE = re.compile("[!-~¡-¬®-ɏ]+(?:[ \n][!-~¡-¬®-ɏ]+)*")
+
 #: Ids of the first tokenizer times this, plus ids of the second, are the keys of linked ids.
 SHIFT = 1 << 16
 
@@ -129,13 +133,15 @@ class Pair:
     """Both tokenizers."""
 
     def __init__(self, a: str, b: str):
-        self.a = Tokenizer.from_file(public_tokenizers.path(a))
-        self.a.encode_special_tokens = True
+        own = Tokenizer.from_file(public_tokenizers.path(a))
         self.b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(b))
         spelled = _spelled_bytes()
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
-            self.a_bytes[i] = bytes(spelled[c] for c in token) if all(c in spelled for c in token) else token.encode()
+        self.a_bytes = [b""] * own.get_vocab_size()
+        for token, i in own.get_vocab(with_added_tokens=False).items():
+            self.a_bytes[i] = bytes(spelled[c] for c in token)
+        # Ids of byte-level vocabularies follow the order of the merges, so they are ranks.  Special tokens are no part.
+        ranks = {raw: i for i, raw in enumerate(self.a_bytes) if raw}
+        self.a = tiktoken.Encoding(a, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b_bytes = [
             bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
             for i, piece in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
@@ -146,39 +152,43 @@ class Pair:
         self.b_size = np.array([len(t) for t in self.b_bytes], dtype=np.int64)
         self.space = self.b.piece_to_id("▁")
 
-    def encode(self, stretches: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of both for each stretch, None where the joined bytes of either are not the stretch."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
+    def encode(self, keys: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Ids of both for each stretch."""
         # The second puts a space before its text by itself.
-        ids_b = self.b.encode([s[1:] if s.startswith(" ") else s for s in stretches], num_threads=1)
-        out: list[tuple[list[int], list[int]] | None] = []
-        for s, a, b in zip(stretches, ids_a, ids_b):
-            if not s.startswith(" "):
-                b = b[1:] if b and b[0] == self.space else []
-            raw = s.encode("utf-8", "surrogatepass")
-            same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
-            out.append((a, b) if same else None)
-        return out
+        ids_a = [self.a.encode_ordinary(k if k[0] in " \n" else " " + k) for k in keys]
+        ids_b = self.b.encode([k[1:] if k[0] == " " else k for k in keys], num_threads=1)
+        return [(a, b[1:] if k[0] == "\n" else b) for k, a, b in zip(keys, ids_a, ids_b)]
+
+    def lossless(self, key: str) -> bool:
+        """Whether the joined bytes of both are the stretch."""
+        raw = (key if key[0] in " \n" else " " + key).encode("utf-8", "surrogatepass")
+        ((a, b),) = self.encode([key])
+        return b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
 
     def align(self, encoded: list[tuple[list[int], list[int]]]) -> Aligned:
         a = np.array([i for ids, _ in encoded for i in ids], dtype=np.int64)
         b = np.array([i for _, ids in encoded for i in ids], dtype=np.int64)
         return Aligned(a, b, self.a_size[a], self.b_size[b])
 
-    def good(self, text: str, tried: dict[str, bool]) -> list[str] | None:
-        """The stretches of the text with a space before it; None if it has no tokens."""
+    def cut(self, text: str, tried: dict[str, bool]) -> list[str] | None:
+        """The stretches of the text with a space before it; None if it has no tokens.
+
+        A stretch that begins with a space and another character is written without the space.
+        """
+        if SIMPLE.fullmatch(text):
+            return text.replace("\n", " \n").split(" ")
         if not text:
             return None
-        stretches = CUT.split(" " + text)
+        keys = [s[1:] if s[0] == " " and s[1] not in " \n" else s for s in CUT.split(" " + text)]
         if not PLAIN.fullmatch(text):
-            odd = [s for s in dict.fromkeys(stretches) if s not in tried and not PLAIN.fullmatch(s)]
             if len(tried) > CACHE:
                 tried.clear()
-                odd = [s for s in dict.fromkeys(stretches) if not PLAIN.fullmatch(s)]
-            tried.update(zip(odd, (e is not None for e in self.encode(odd))))
-            if not all(tried.get(s, True) for s in stretches):
+            for k in set(keys):
+                if k not in tried and not PLAIN.fullmatch(k):
+                    tried[k] = self.lossless(k)
+            if not all(tried.get(k, True) for k in keys):
                 return None
-        return stretches
+        return keys
 
 
 def _spelled_bytes() -> dict[str, int]:
@@ -210,7 +220,7 @@ def _stretches(texts: DataFrame, a: str, b: str) -> DataFrame:
         for batch in batches:
             for some in slices(batch.column(0)):
                 for text in some:
-                    counts.update(both.good(text, tried) or ())
+                    counts.update(both.cut(text, tried) or ())
                 if len(counts) > CACHE:
                     yield counted()
                     counts.clear()
@@ -231,9 +241,8 @@ def link_counts(docs: DataFrame, text_col: str = "text", a: str = "byte_bpe_50k.
         for batch in batches:
             times = batch.column("n").to_numpy()
             encoded = both.encode(batch.column("stretch").to_pylist())
-            used = [i for i, e in enumerate(encoded) if e is not None]
-            met = both.align([encoded[i] for i in used])
-            owner = np.repeat(times[used], [len(encoded[i][0]) for i in used]).astype(np.int64)
+            met = both.align(encoded)
+            owner = np.repeat(times, [len(ids) for ids, _ in encoded]).astype(np.int64)
             keys, totals = [], []
             for rows, columns, _ in met.overlaps():
                 own, at = np.unique(met.a[rows] * SHIFT + met.b[columns], return_inverse=True)
@@ -315,7 +324,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, a: str, b: str, share
         for batch in batches:
             done = 0
             for some in slices(batch.column("text")):
-                cut = [both.good(t, tried) for t in some]
+                cut = [both.cut(t, tried) for t in some]
                 known.learn({s for own in cut if own for s in own})
                 numbers, digests, links = [], [], []
                 for own in cut:
@@ -408,7 +417,7 @@ def token_links(
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for doc, text in zip(ids, (t for some in slices(batch.column("text")) for t in some)):
-                own = both.good(text, tried)
+                own = both.cut(text, tried)
                 if own is None:
                     continue
                 met = both.align(both.encode(own))
