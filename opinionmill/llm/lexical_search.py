@@ -358,7 +358,7 @@ def search(
         for item in block.items:
             single = [times * low.get((t, None), 0) for t, times in item.terms.items()]
             joint = [min(item.terms[a], item.terms[b]) * low.get((a, b), 0) for a, b in item.pairs]
-            item.reach = max(1, *single, *joint)
+            item.reach = max([1, *single, *joint])
         names = spark.createDataFrame([(i, item.item_id) for i, item in enumerate(block.items)], "item int, item_id long")
         ranked = _ranked(postings, pairs, block).withColumn(
             "rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
