@@ -483,6 +483,7 @@ ORACLES: dict[str, str] = {
             as attention_mask,
         {text_of("list_concat(o.ids, list_transform(range(8 - len(o.ids)), lambda k: -100))")} as labels
         from i join o using (doc_id)""",
+    "subword_round_trip": "select doc_id, text from documents",
     "label_mask": "with g as (select doc_id, list_transform(string_split(text, ' '), lambda w: length(w))[1:512] as ids "
                   "from documents) select doc_id, "
                   + text_of("list_concat(list_transform(ids, lambda i: case when i = 0 then -100 else i end), "

@@ -11,6 +11,7 @@ import os
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from opinionmill.functions.entities import decode_entities
 from opinionmill.functions.prompts import component_prompt, quad_prompt, serialise_quad
 from opinionmill.functions.tokens import mask_labels, pad_to
 from opinionmill.operators import aligned, backends, classifier, cleaning, language_model, lexicon, pairs, quad_scores
-from opinionmill.operators import rouge, sentence_scores, set_scores, splitting, vocabulary
+from opinionmill.operators import rouge, sentence_scores, set_scores, splitting, subwords, trainer, vocabulary
 from opinionmill.plans import opinions
 from opinionmill.session import checkpoint_dir, cut_lineage, spread
 from opinionmill.sources import readers, writers
@@ -316,6 +317,29 @@ def token_pad_mask(spark, sf_dir):
     )
 
 
+def _subwords(spark: SparkSession, file: str) -> subwords.Subwords:
+    return subwords.Subwords(spark, public_tokenizers.path(file))
+
+
+@query
+def subword_round_trip(spark, sf_dir):
+    """Every whole text as ids of a byte-level vocabulary, and read back from them."""
+    words = _subwords(spark, "byte_bpe_50k.json")
+    encoded = subwords.encode_subwords(documents(spark, sf_dir), "text", words)
+    return encoded.select("doc_id", words.text(F.col("ids")).alias("text"))
+
+
+@query
+def subword_pairs(spark, sf_dir):
+    """Fixed-length arrays of pieces; beyond SQL, so tests hold them against the library."""
+    pairs = documents(spark, sf_dir).select("doc_id", F.col("text").alias("input_text"), F.col("source").alias("target_text"))
+    encoded = subwords.encode_subword_pairs(pairs, _subwords(spark, "piece_bpe_32k.model"), 512, 16, end_id=2)
+    return encoded.select(
+        "doc_id", joined(F.col("input_ids")).alias("input_ids"), joined(F.col("attention_mask")).alias("attention_mask"),
+        joined(F.col("labels")).alias("labels"),
+    )
+
+
 @query
 def label_mask(spark, sf_dir):
     """Word lengths as ids: padding and empty words have the padding id 0."""
@@ -566,6 +590,21 @@ def classifier_predict(spark, sf_dir):
     )
 
 
+@query
+def classifier_epochs(spark, sf_dir):
+    """Loss and right answers of each epoch on the validation split, and which epoch is kept."""
+    data = labelled_documents(spark, sf_dir).select(
+        F.concat(F.lit("REV"), F.col("doc_id")).alias("review_key"), "doc_id", "text", "aspect"
+    )
+    split = splitting.assign_split(data, mode="hash")
+    train, validation = (split.where(F.col("split") == s) for s in ("train", "validation"))
+    schedule = trainer.Schedule(epochs=4, batches=3, warm_up=3, patience=2)
+    _, history = trainer.train_with_validation(train, validation, "text", "aspect", schedule, _folder(spark, "epochs"))
+    kept = trainer.best_epoch(history)
+    rows = [(h["epoch"], round(h["train_loss"], 6), round(h["validation_loss"], 6), h["validation_right"], h["validation_rows"], h["epoch"] == kept) for h in history]
+    return spark.createDataFrame(rows, "epoch int, train_loss double, validation_loss double, right long, rows long, kept boolean")
+
+
 # ---- scores ---------------------------------------------------------------
 
 
