@@ -4,7 +4,7 @@ An edge is a window of ``window`` consecutive words, a vertex what two following
 are kept and followed:
 
 1. **Pieces.**  Following edges of a text that have the same minimiser (their least hash of ``anchor`` words, at the
-   same place) are one piece, so a text gives a row for about every 14 words, not for every word.  Equal edges have
+   same place) are one piece, so a text gives a row for about every 12 words, not for every word.  Equal edges have
    equal minimisers: an edge whose minimiser stands at one place only is not repeated.
 2. **Repeated paths.**  Of the pieces whose minimiser stands at two places or more, those with equal words are repeated
    as a whole; the others may still hold repeated edges and are opened.
@@ -179,7 +179,7 @@ def _place(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = 35, anchor: int = 8) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = 35, anchor: int = 12) -> DataFrame:
     """``t, at, n``: runs of ``n`` edges from word ``at`` on that stand at two coordinates or more.
 
     ``t`` is the MD5 of the text.  Runs of one text don't overlap but may touch.
@@ -195,12 +195,14 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = 35, an
     met = write_down(met.where("low < high").select("m", "_n"))
     shared = write_down(salted_join(pieces, met.select("m"), "m", counts=met).distinct().withColumn("x", place))
     kinds = write_down(
-        shared.groupBy("m", "c").agg(F.min("x").alias("first"), F.max("x").alias("last"), F.count("*").alias("_n"))
+        shared.groupBy("m", "c").agg(
+            F.min("x").alias("first"), (F.min("x") < F.max("x")).alias("whole"), F.count("*").alias("places")
+        )
     )
-    several = kinds.groupBy("m").agg((F.min("c") < F.max("c")).alias("mixed"))
-    whole = F.col("first") < F.col("last")
-    kinds = salted_join(kinds, several, "m").where(whole | F.col("mixed")).select(
-        F.xxhash64("m", "c").alias("p"), F.col("m").alias("_m"), F.col("c").alias("_c"), whole.alias("whole"), "mixed", "first", "_n"
+    several = kinds.groupBy("m").agg((F.min("c") < F.max("c")).alias("mixed"), F.count("*").alias("_n"))
+    kinds = salted_join(kinds, several.drop("_n"), "m", counts=several).where("whole or mixed").select(
+        F.xxhash64("m", "c").alias("p"), F.col("m").alias("_m"), F.col("c").alias("_c"), "whole", "mixed", "first",
+        F.col("places").alias("_n"),
     )
     of_path = salted_join(shared.withColumn("p", F.xxhash64("m", "c")), kinds.drop("_n"), "p", counts=kinds)
     typed = write_down(
@@ -211,12 +213,10 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = 35, an
     # A text's places in order, with the path of the next and of the last piece if they touch.
     along = Window.partitionBy("t").orderBy("at")
     follows = F.lag(F.col("at") + F.col("n")).over(along) == F.col("at")
-    linked = write_down(
-        typed.where("whole").select(
-            "t", "at", "n", "p",
-            F.when(F.lead("at").over(along) == F.col("at") + F.col("n"), F.lead("p").over(along)).alias("after"),
-            F.when(follows, F.lag("p").over(along)).alias("before"),
-        )
+    linked = typed.where("whole").select(
+        "t", "at", "n", "p",
+        F.when(F.lead("at").over(along) == F.col("at") + F.col("n"), F.lead("p").over(along)).alias("after"),
+        F.when(follows, F.lag("p").over(along)).alias("before"),
     )
 
     def sole(column: str) -> Column:
@@ -228,7 +228,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = 35, an
         sole("after").alias("one_after"), sole("before").alias("one_before"), F.count("*").alias("_n")
     )
     joined = F.col("one_before") & F.lag("one_after").over(along) & follows
-    runs = salted_join(linked.select("t", "at", "n", "p"), ends.drop("_n"), "p", counts=ends)
+    runs = salted_join(typed.where("whole").select("t", "at", "n", "p"), ends.drop("_n"), "p", counts=ends)
     numbered = runs.select("t", "at", "n", F.when(joined, 0).otherwise(1).alias("begins")).withColumn(
         "run", F.sum("begins").over(along)
     )
@@ -275,7 +275,7 @@ def removal_column(text: Column, spans: Column, copies: Column, window: int, wit
 
 
 def dedup_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, anchor: int = 8, with_text: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, anchor: int = 12, with_text: bool = True
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept, kept_sha256``.
 
