@@ -31,12 +31,17 @@ BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Rule:
-    """Keywords in lower case; the pattern is anchored at the keyword; ``valid`` judges the match."""
+    """Keywords in lower case; the pattern is anchored at the keyword; ``valid`` judges the match.
+
+    ``run`` is given where a keyword may stand again in the characters that the pattern begins with: what follows this
+    run decides, so when one start in it has failed the others fail too and are not tried.
+    """
 
     kind: str
     keywords: tuple[str, ...]
     pattern: re.Pattern
     valid: Callable[[re.Match], bool] = lambda m: True
+    run: re.Pattern | None = None
 
 
 def base62_crc32(secret: str) -> bool:
@@ -79,8 +84,9 @@ RULES = (
     Rule(
         "jwt",
         ("eyj",),
-        re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+        re.compile(r"eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+"),
         lambda m: json_web_token(m[0]),
+        re.compile(r"eyJ[A-Za-z0-9_-]*"),
     ),
     Rule("private_key", ("-----begin ",), re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")),
     Rule("google", ("aiza",), re.compile(r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])")),
@@ -113,10 +119,14 @@ def secret_spans(text: str) -> list[tuple[str, int, int]]:
     for i, starts in hits.items():
         rule, free = RULES[i], 0
         for start in sorted(starts):
-            if start >= free and (m := rule.pattern.match(text, start)):
+            if start < free:
+                continue
+            if m := rule.pattern.match(text, start):
                 free = m.end()
                 if rule.valid(m):
                     spans.append((rule.kind, m.start(), m.end()))
+            elif rule.run and (passed := rule.run.match(text, start)):
+                free = passed.end()
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -138,7 +148,8 @@ def span_column(text: Column) -> Column:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id`` and ``spans``, an array of ``kind, start, end``.
 
-    Null texts are empty, null and repeated ids stay, other columns are ignored.
+    Null texts are empty, null and repeated ids stay, other columns are ignored; an empty table gives no rows.  Very
+    long texts are read whole, in time that grows with their length.
     """
     return docs.select(F.col(id_col).alias("doc_id"), span_column(F.col(text_col)).alias("spans"))
 

@@ -1,8 +1,10 @@
 """Packing, quality, scans, personal data and decontamination against brute force or held-out rows."""
 
+import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import public_tokenizers
@@ -137,6 +139,39 @@ def github(body):
     return f"ghp_{body}{tail}"
 
 
+def web_token(head):
+    return base64.urlsafe_b64encode(head.encode()).decode().rstrip("=") + ".eyJhIjoxfQ.c2ln"
+
+
+def test_added_secrets_are_found():
+    npm = "npm_" + github("a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5")[4:]
+    good = {
+        "npm": npm, "jwt": web_token('{"alg":"none"}'), "private_key": "-----BEGIN RSA PRIVATE KEY-----", "google": "AIza" + "aB3_-" * 7,
+        "stripe": "sk_live_" + "a1B2" * 6, "slack": "xoxb-12345678-abcdEFGH",
+    }
+    for kind, secret in good.items():
+        assert ("x " + secret, [kind]) == ("x " + secret, [k for k, s, e in secret_scan.secret_spans("x " + secret) if (s, e) == (2, 2 + len(secret))])
+    bad = [npm[:-1] + ("a" if npm[-1] != "a" else "b"), web_token('{"no":1}'), "-----BEGIN PUBLIC KEY-----", "AIza" + "a" * 30, "sk_live_abc", "xoxb-12-ab"]
+    for text in bad:
+        assert not [k for k, *_ in secret_scan.secret_spans(text) if k in good]
+
+
+def test_web_tokens_like_a_plain_pattern():
+    rng, good = random.Random(5), web_token('{"alg":"none"}')
+    for _ in range(400):
+        text = "".join(rng.choices(["eyJ", "eyj", ".", "a", "-", " ", good, "EYJ"], k=rng.randint(1, 14)))
+        plain = [m.span() for m in re.finditer(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", text) if secret_scan.json_web_token(m[0])]
+        assert [(s, e) for k, s, e in secret_scan.secret_spans(text) if k == "jwt"] == plain
+
+
+def test_secrets_of_very_long_texts_take_linear_time():
+    good = web_token('{"alg":"none"}')
+    for text in ("eyJ" * 400_000, "eyJ." * 300_000, "eyJa.eyJb." * 100_000 + " ", "token " * 200_000, "AKIA" * 250_000, "-----BEGIN " * 90_000, "xoxb-" * 200_000):
+        begun = time.time()
+        spans = secret_scan.secret_spans(text + " " + good)
+        assert ("jwt", len(text) + 1, len(text) + 1 + len(good)) in spans and time.time() - begun < 10
+
+
 def test_secrets_match_brute_force(spark, documents):
     good = github("a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5")
     rng = random.Random(2)
