@@ -7,6 +7,7 @@ are and never trained here.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 
@@ -21,6 +22,9 @@ from ..functions.tokens import attention_mask, mask_labels, pad_to
 #: A vocabulary travels to every task once.
 MAX_BYTES = 64 * 1024 * 1024
 
+# Fixed value: how byte-level vocabularies split a text before their merges.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 Codec = tuple[Callable[[list[str]], list[list[int]]], Callable[[list[list[int]]], list[str]]]
 
 _CODECS: dict[bytes, Codec] = {}
@@ -35,9 +39,15 @@ def _codec(raw: bytes, kind: str) -> Codec:
 
             own = Tokenizer.from_str(raw.decode())
             own.encode_special_tokens = True
+            table = _byte_table(own)
+            ranked = _ranked(json.loads(raw), own, table)
             _CODECS[raw] = (
-                lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)],
-                lambda ids: [own.decode(i, skip_special_tokens=False) for i in ids],
+                (lambda texts: [ranked.encode_ordinary(t) for t in texts])
+                if ranked
+                else (lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]),
+                (lambda ids: [b"".join([table[i] for i in own_ids]).decode("utf-8", "replace") for own_ids in ids])
+                if table
+                else (lambda ids: [own.decode(i, skip_special_tokens=False) for i in ids]),
             )
         else:
             import sentencepiece
@@ -50,6 +60,44 @@ def _codec(raw: bytes, kind: str) -> Codec:
     return _CODECS[raw]
 
 
+def _byte_table(own) -> list[bytes] | None:
+    """The bytes of each id of a byte-level vocabulary, where decoding is to join them; None for others."""
+    from tokenizers.decoders import ByteLevel
+
+    if not isinstance(own.decoder, ByteLevel):
+        return None
+    # Byte-level vocabularies write printable bytes as themselves and the others as characters from 256 on.
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spelled = {chr(b): b for b in plain}
+    spelled |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in spelled.values())}
+    special = {t.content for t in own.get_added_tokens_decoder().values()}
+    table = [b""] * own.get_vocab_size()
+    for token, i in own.get_vocab().items():
+        table[i] = token.encode() if token in special else bytes(spelled[c] for c in token)
+    return table
+
+
+def _ranked(about: dict, own, table: list[bytes] | None):
+    """A faster encoder with the same ids, for byte-level vocabularies whose ids follow the order of their merges."""
+    import tiktoken
+
+    split = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    before = about.get("pre_tokenizer") or {}
+    if not table or about.get("normalizer") or {k: before.get(k) for k in split} != split or about["model"]["type"] != "BPE":
+        return None
+    merges = [m if isinstance(m, list) else m.split(" ") for m in about["model"]["merges"]]
+    made = [about["model"]["vocab"]["".join(m)] for m in merges]
+    special = {i for i, t in own.get_added_tokens_decoder().items()}
+    if any(a >= b for a, b in zip(made, made[1:])) or len(made) + 256 + len(special) != len(table):
+        return None
+    ranks = {token: i for i, token in enumerate(table) if i not in special}
+    return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+#: Texts that are held at once as lists of ids.
+SLICE_ROWS = 64
+
+
 class Subwords:
     """A vocabulary file, ready to be used in the tasks of a session."""
 
@@ -70,8 +118,8 @@ class Subwords:
         def encoded(column: pa.Array) -> pa.Array:
             encode, _ = _codec(shared.value, kind)
             parts = [
-                pa.array(encode([t or "" for t in column.slice(at, 64).to_pylist()]), pa.list_(pa.int32()))
-                for at in range(0, len(column), 64)
+                pa.array(encode([t or "" for t in column.slice(at, SLICE_ROWS).to_pylist()]), pa.list_(pa.int32()))
+                for at in range(0, len(column), SLICE_ROWS)
             ]
             return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
@@ -84,9 +132,12 @@ class Subwords:
         @F.arrow_udf("string")
         def decoded(column: pa.Array) -> pa.Array:
             _, decode = _codec(shared.value, kind)
-            values = column.to_pylist()
-            texts = iter(decode([v for v in values if v is not None]))
-            return pa.array([None if v is None else next(texts) for v in values], pa.string())
+            out: list[str | None] = []
+            for at in range(0, len(column), SLICE_ROWS):
+                values = column.slice(at, SLICE_ROWS).to_pylist()
+                texts = iter(decode([v for v in values if v is not None]))
+                out += [None if v is None else next(texts) for v in values]
+            return pa.array(out, pa.string())
 
         return decoded.asNondeterministic()(ids)
 
