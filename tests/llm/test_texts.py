@@ -279,6 +279,32 @@ def test_personal_data_finds_local_phones_and_accounts(spark):
         assert set(planted[r["doc_id"]]) <= spans and len(spans) == 6, (texts[r["doc_id"]], spans)
 
 
+def test_personal_data_leaves_dates_amounts_versions_and_codes(spark):
+    rng, texts = random.Random(10), []
+    for i in range(300):
+        plain = [f"2024-{i % 12 + 1:02d}-{i % 28 + 1:02d}", f"{i % 28 + 1}.{i % 12 + 1}.19{i % 90 + 10}", f"1.{rng.randrange(100, 999)}.{rng.randrange(100, 999)},00", f"v 3.{i}.1",
+                 f"AB-{rng.randrange(10**6, 10**9)}", f"{rng.randrange(16**40):040x}"]
+        rng.shuffle(plain)
+        texts.append(f"write to x{i}@y.org or +44 20 7946 {rng.randrange(1000, 9999)}; " + "; ".join(plain))
+    rows = pii.find_personal_data(docs_of(spark, texts)).collect()
+    base = {r["doc_id"]: {s for s in slow_pii(texts[r["doc_id"]])} for r in rows}
+    extra = sum(len({tuple(s) for s in r["spans"]} - base[r["doc_id"]]) for r in rows)
+    assert extra <= 0.02 * sum(len(r["spans"]) for r in rows)
+
+
+def test_personal_data_of_very_long_texts_takes_linear_time(spark):
+    lists, mixed = "12, " * 250_000, "a@b.cc, +49 30 1234 5678; 030 1234 5678 / " * 12_000
+    frame = docs_of(spark, [lists, mixed])
+    begun = time.time()
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(frame).collect()}
+    assert rows[0] == [] and [tuple(s) for s in rows[1] if s["kind"] in pii.BASE_KINDS] == slow_pii(mixed)
+    spans = F.array(*[F.struct(F.lit("x").alias("kind"), F.lit(k).alias("start"), F.lit(e).alias("end")) for k, e in ((0, 2), (4, 9), (6, 10), (7, 8), (10, 12))])
+    assert frame.where("doc_id = 0").select(pii.redacted(F.col("text"), spans).alias("r")).first()["r"] == "[x], [x][x]" + lists[12:]
+    every = F.transform(F.sequence(F.lit(0), F.lit(249_999)), lambda i: F.struct(F.lit("n").alias("kind"), (i * 4).alias("start"), (i * 4 + 2).alias("end")))
+    assert frame.where("doc_id = 0").select(pii.redacted(F.col("text"), every).alias("r")).first()["r"] == "[n], " * 250_000
+    assert time.time() - begun < 90
+
+
 def test_personal_data_edges_and_redaction(spark):
     assert pii.find_personal_data(wide(spark, ODD)).count() == len(ODD) + 2
     assert pii.find_personal_data(wide(spark, ODD).limit(0)).count() == 0
