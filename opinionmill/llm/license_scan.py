@@ -3,9 +3,14 @@
 A block is any stretch of as many consecutive words as the template has, across lines too.  It meets the template
 if it contains at least ``threshold`` of the template's different words.  Words are ordered by their frequency in
 all documents, rarest first.  If a block holds ``need`` of a template's m words, it holds one of the m - need + 1
-rarest (prefix filter), so only blocks around those are looked at; a text needs ``need`` words (length filter); and
-when the rarest word it shares is the template's word number i, the words from i on must still suffice (position
-filter).  Blocks that pass are compared word by word, so the result is exact.
+rarest (prefix filter), so only blocks around those are looked at.  A stretch around them must have ``need`` words
+(length filter).  Inside it, a block that has met k words can only reach the threshold if k and the places left in it
+come to ``need``, and if the words rarer than its rarest shared one leave ``need`` (position filter).  Blocks that pass
+are compared word by word, so the result is exact.
+
+Templates may be alike but for single words.  Of the templates of one family that blocks at overlapping places meet,
+the one that holds best counts; each place is decided for itself.  Short templates need every word, next to each
+other and in order, as "CC BY-NC" is another license than "CC BY" and its words may stand anywhere.
 
 The templates are few and given by the caller, so the join's small side is an index in the task; the frequencies
 are counted over the whole corpus for the words of the templates only.
@@ -14,9 +19,10 @@ are counted over the whole corpus for the words of the templates only.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,7 +32,7 @@ from .texts import slices
 
 # Base phrases with their labels, and notices of public licenses with theirs.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-TEMPLATES = (
+NOTICES = (
     ("Released under the MIT License", "mit"),
     ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
      "documentation files (the Software), to deal in the Software without restriction", "mit"),
@@ -36,11 +42,19 @@ TEMPLATES = (
     ("This work is licensed under the GNU General Public License, version 3", "gpl"),
     ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
      "Public License as published by the Free Software Foundation", "gpl"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+     "General Public License as published by the Free Software Foundation", "agpl"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+     "General Public License as published by the Free Software Foundation", "lgpl"),
     ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
      "the following conditions are met", "bsd"),
     ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl"),
     ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
      "hereby granted", "isc"),
+    ("This is free and unencumbered software released into the public domain", "unlicense"),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+     "and accompanying documentation covered by this license", "boost"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License", "epl"),
     ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
     ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
     ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
@@ -49,26 +63,62 @@ TEMPLATES = (
     ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "cc-by-nc-nd"),
     ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this "
      "work", "cc0"),
-    # So short that every word is needed.
-    ("CC BY 4.0", "cc-by"),
-    ("CC BY-SA", "cc-by-sa"),
-    ("CC BY-NC", "cc-by-nc"),
-    ("CC BY-NC-SA", "cc-by-nc-sa"),
-    ("CC BY-ND", "cc-by-nd"),
-    ("CC BY-NC-ND", "cc-by-nc-nd"),
-    ("CC0 1.0", "cc0"),
 )
-
-# The Creative Commons licenses differ by single words, which a containment below 1 may miss, so codes and names that
-# are spelled out are read word by word.
-CC_LABELS = frozenset(("cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nc-sa", "cc-by-nd", "cc-by-nc-nd", "cc0"))
-CC_STARTS = frozenset((b"cc", b"cc0", b"commons", b"creativecommons"))
-CC_ELEMENTS = {
-    (b"nc",): "nc", (b"noncommercial",): "nc", (b"non", b"commercial"): "nc",
-    (b"sa",): "sa", (b"sharealike",): "sa", (b"share", b"alike"): "sa",
-    (b"nd",): "nd", (b"noderivatives",): "nd", (b"noderivs",): "nd", (b"no", b"derivatives"): "nd", (b"no", b"derivs"): "nd",
-}
-CC_CONTEXT = frozenset((b"under", b"license", b"licence", b"licensed", b"licenced", b"licenses", b"licences"))
+# Names that stand for a license wherever their words stand next to each other.
+NAMES = (
+    ("GNU Affero General Public License", "agpl"), ("GNU Lesser General Public License", "lgpl"), ("Mozilla Public License", "mpl"),
+    ("Eclipse Public License", "epl"), ("Boost Software License", "boost"), ("BSD License", "bsd"), ("ISC License", "isc"),
+    ("The Unlicense", "unlicense"), ("creativecommons org publicdomain zero", "cc0"), ("Creative Commons Zero", "cc0"),
+    ("CC0", "cc0"), ("CC 0 1.0", "cc0"),
+)
+# Identifiers of the SPDX list, a label each; after "SPDX-License-Identifier:" all of them count, and
+# anywhere those with a version.
+IDENTIFIERS = (
+    ("MIT", "mit"), ("Apache-2.0", "apache"), ("GPL-2.0", "gpl"), ("GPL-3.0", "gpl"), ("LGPL-2.1", "lgpl"), ("LGPL-3.0", "lgpl"),
+    ("AGPL-3.0", "agpl"), ("BSD-2-Clause", "bsd"), ("BSD-3-Clause", "bsd"), ("MPL-2.0", "mpl"), ("EPL-2.0", "epl"), ("ISC", "isc"),
+    ("BSL-1.0", "boost"), ("Unlicense", "unlicense"), ("CC0-1.0", "cc0"),
+)
+CC_ELEMENTS = (
+    ("nc", ("NC", "NonCommercial", "Non Commercial")),
+    ("sa", ("SA", "ShareAlike", "Share Alike")),
+    ("nd", ("ND", "NoDerivatives", "NoDerivs", "No Derivatives", "No Derivs")),
+)
+CC_LICENSES = ((), ("nc",), ("nc", "sa"), ("nc", "nd"), ("sa",), ("nd",))
+
+
+def short_forms() -> list[tuple[str, str]]:
+    """Creative Commons codes, names and addresses, and identifiers, with all spellings of the elements."""
+    spelled = dict(CC_ELEMENTS)
+    out = list(NAMES)
+    for name, label in IDENTIFIERS:
+        out.append((f"SPDX License Identifier {name}", label))
+        if any(c.isdigit() for c in name):
+            out.append((name, label))
+    for elements in CC_LICENSES:
+        label = "-".join(("cc-by", *elements))
+        for way in product(*(spelled[e] for e in elements)):
+            tail = " ".join(("", *way))
+            out += [(f"Creative Commons {by}{tail}", label) for by in ("Attribution", "BY")]
+            out += [(f"creativecommons org licenses by{tail}", label)]
+            if elements:
+                out.append((f"CC BY{tail}", label))
+            else:
+                # "CC by" alone says little.
+                out += [(f"CC BY {version}", label) for version in range(1, 5)]
+                out += [(f"{word} CC BY", label) for word in LICENSE_WORDS] + [(f"CC BY {word}", label) for word in LICENSE_WORDS]
+                out += [("under a CC BY", label), ("under the CC BY", label)]
+    return list(dict.fromkeys(out))
+
+
+LICENSE_WORDS = ("under", "license", "licence", "licensed", "licenced", "licenses", "licences")
+#: Short forms count word by word; of those at one place the longest does.
+SHORT = frozenset(short_forms())
+TEMPLATES = (*NOTICES, *short_forms())
+#: Labels whose notices are alike but for single words.
+FAMILIES = (
+    frozenset(("cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nc-sa", "cc-by-nd", "cc-by-nc-nd")),
+    frozenset(("gpl", "lgpl", "agpl")),
+)
 
 #: A-Z to a-z; 0-9, a-z and every byte of a character beyond ASCII stay; the rest separates words.
 WORD_BYTES = bytes(
@@ -83,12 +133,23 @@ def words_of(text: str) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Template:
-    """``ranks``: the different words, rarest first, with their place; ``length`` counts repeats."""
+    """``ranks``: the different words, rarest first, with their place; ``words`` are all, of a short form only."""
 
     label: str
     ranks: dict[bytes, int]
     need: int
     length: int
+    words: tuple[bytes, ...] = ()
+
+
+@dataclass(frozen=True)
+class Match:
+    """A stretch of words, end exclusive, that meets a template; of a notice the best of its blocks."""
+
+    start: int
+    end: int
+    template: int
+    share: float
 
 
 @dataclass(frozen=True)
@@ -97,7 +158,6 @@ class Index:
 
     templates: tuple[Template, ...]
     prefixes: dict[bytes, list[int]]
-    labels: frozenset[str]
 
     @staticmethod
     def build(templates, frequency: dict[bytes, int], threshold: float) -> "Index":
@@ -105,51 +165,98 @@ class Index:
         for text, label in templates:
             words = [w for w in words_of(text) if w]
             own = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
-            need = max(1, math.ceil(threshold * len(own) - 1e-9))
+            short = (text, label) in SHORT
+            need = len(own) if short else max(1, math.ceil(threshold * len(own) - 1e-9))
             for word in own[: len(own) - need + 1]:
                 prefixes.setdefault(word, []).append(len(built))
-            built.append(Template(label, {w: i for i, w in enumerate(own)}, need, len(words)))
-        return Index(tuple(built), prefixes, frozenset(t.label for t in built))
+            ranks = {w: i for i, w in enumerate(own)}
+            built.append(Template(label, ranks, need, len(words), tuple(words) if short else ()))
+        return Index(tuple(built), prefixes)
 
-    def matches(self, words: list[bytes]) -> dict[int, float]:
-        """Templates that some block of ``words`` meets, with the best containment."""
+    def matches(self, words: list[bytes]) -> list[Match]:
+        """Of every template and every run of blocks that meet it, the first of the best blocks."""
         places: dict[int, list[int]] = {}
         for at, word in enumerate(words):
             for t in self.prefixes.get(word, ()):
                 places.setdefault(t, []).append(at)
-        found: dict[int, float] = {}
+        found = []
         for t, hits in places.items():
             template = self.templates[t]
-            rarest = min(template.ranks[words[at]] for at in hits)
-            if len(words) < template.need or len(template.ranks) - rarest < template.need:
-                continue
-            best = max(template_overlaps(words, hits, template))
-            if best >= template.need:
-                found[t] = best / len(template.ranks)
+            if template.words:
+                shift = template.words.index(words[hits[0]])
+                for at in hits:
+                    start = at - shift
+                    if start >= 0 and tuple(words[start : start + template.length]) == template.words:
+                        found.append(Match(start, start + template.length, t, 1.0))
+            else:
+                found += [Match(start, end, t, n / len(template.ranks)) for start, end, n in meeting_blocks(words, hits, template)]
         return found
 
-
-def template_overlaps(words: list[bytes], hits: list[int], template: Template) -> Iterator[int]:
-    """The most different words of the template in any block around each run of prefix words."""
+    def rank(self, m: Match) -> tuple:
+        template = self.templates[m.template]
+        return not template.words, -m.share, -template.label.count("-") if template.words else 0, m.start - m.end
+
+    def decided(self, found: list[Match]) -> list[Match]:
+        """The matches without those that a better one of their family, or a longer short form, overlaps."""
+        out = []
+        for family in (*FAMILIES, None):
+            own = [m for m in found if next((f for f in FAMILIES if self.templates[m.template].label in f), None) == family]
+            if family is None:
+                out += own
+                continue
+            # What is spelled out says more than a notice's share; then the better one, then that with more elements
+            # ("under CC BY-NC" is no "CC BY"), then the longer one.
+            own.sort(key=lambda m: (*self.rank(m), m.start, m.template))
+            taken: list[Match] = []
+            ends: list[tuple[int, int]] = []
+            for m in own:
+                at = bisect_right(ends, (m.start, math.inf))
+                over = taken and ((at and ends[at - 1][1] > m.start) or (at < len(ends) and ends[at][0] < m.end))
+                if over:
+                    if (*self.rank(taken[-1]), taken[-1].start) != (*self.rank(m), m.start):
+                        continue
+                else:
+                    ends.insert(at, (m.start, m.end))
+                taken.append(m)
+            out += taken
+        return out
+
+
+def meeting_blocks(words: list[bytes], hits: list[int], template: Template) -> Iterator[tuple[int, int, int]]:
+    """``(start, end, different words)`` of the best block of each run of consecutive blocks that meet the template.
+
+    Blocks of the template's length slide over the stretches around the prefix words.
+    """
     reach, at = template.length - 1, 0
     while at < len(hits):
         low = max(0, hits[at] - reach)
         while at + 1 < len(hits) and hits[at + 1] - reach <= hits[at] + reach:
             at += 1
         high = min(len(words), hits[at] + reach + 1)
-        inside: Counter = Counter()
-        best = 0
+        at += 1
+        # Length filter, and position filter: the words that are in the stretch at all, from the rarest one on.
+        present = template.ranks.keys() & set(words[low:high]) if high - low >= template.need else ()
+        if len(present) < template.need or len(template.ranks) - min(template.ranks[w] for w in present) < template.need:
+            continue
+        inside: dict[bytes, int] = {}
+        best: tuple[int, int, int] | None = None
         for i in range(low, high):
-            if words[i] in template.ranks:
-                inside[words[i]] += 1
+            word = words[i]
+            if word in template.ranks:
+                inside[word] = inside.get(word, 0) + 1
             old = i - template.length
             if old >= low and words[old] in template.ranks:
                 inside[words[old]] -= 1
                 if not inside[words[old]]:
                     del inside[words[old]]
-            best = max(best, len(inside))
-        yield best
-        at += 1
+            if len(inside) >= template.need:
+                if best is None or len(inside) > best[2]:
+                    best = (max(low, old + 1), i + 1, len(inside))
+            elif best is not None:
+                yield best
+                best = None
+        if best is not None:
+            yield best
 
 
 def phrase_places(words: list[bytes], phrases=PHRASES) -> list[tuple[int, str]]:
@@ -166,38 +273,6 @@ def phrase_places(words: list[bytes], phrases=PHRASES) -> list[tuple[int, str]]:
     return sorted(out)
 
 
-def cc_licenses(words: list[bytes]) -> set[str]:
-    """Labels of the Creative Commons licenses that are spelled out, as codes, names or addresses."""
-    if CC_STARTS.isdisjoint(words):
-        return set()
-    out = set()
-    for at in (i for i, w in enumerate(words) if w in CC_STARTS):
-        word, i = words[at], at + 1
-        if word == b"cc0":
-            out.add("cc0")
-            continue
-        if word == b"commons" and (not at or words[at - 1] != b"creative"):
-            continue
-        # "CC by" and "cc 0" alone say little.
-        stated = word != b"cc" or not CC_CONTEXT.isdisjoint(words[max(0, at - 3) : at])
-        while word != b"cc" and i < len(words) and words[i] in (b"org", b"licenses", b"publicdomain"):
-            i += 1
-        kind = words[i] if i < len(words) else b""
-        i += 1
-        if kind == b"zero" or kind == b"0" and (stated or words[i : i + 2] == [b"1", b"0"] or not CC_CONTEXT.isdisjoint(words[i : i + 1])):
-            out.add("cc0")
-        if kind not in (b"by", b"attribution"):
-            continue
-        elements = set()
-        while own := next((k for k in (tuple(words[i : i + 1]), tuple(words[i : i + 2])) if k in CC_ELEMENTS), None):
-            elements.add(CC_ELEMENTS[own])
-            i += len(own)
-        version = i < len(words) and words[i] in (b"1", b"2", b"3", b"4")
-        if elements or kind == b"attribution" or stated or version or not CC_CONTEXT.isdisjoint(words[i : i + 1]):
-            out.add("-".join(["cc-by", *(e for e in ("nc", "sa", "nd") if e in elements)]))
-    return out & CC_LABELS
-
-
 def word_frequencies(docs: DataFrame, text_col: str, templates) -> dict[bytes, int]:
     """In how many documents each word of the templates occurs; as many numbers as the templates have words."""
     wanted = {w for text, _ in templates for w in words_of(text) if w}
@@ -214,15 +289,7 @@ def word_frequencies(docs: DataFrame, text_col: str, templates) -> dict[bytes, i
 def _scan(text: str, index: Index) -> dict:
     words = [w for w in words_of(text) if w]
     places = phrase_places(words)
-    found: dict[int, float] = {}
-    if not index.prefixes.keys().isdisjoint(words):
-        found = index.matches(words)
-    spelled = cc_licenses(words) & index.labels
-    family = {t: share for t, share in found.items() if index.templates[t].label in CC_LABELS}
-    if family:
-        # What is spelled out decides; else the best of the family does.
-        best = max(family.values())
-        found = {t: share for t, share in found.items() if t not in family or (not spelled and share == best)}
+    found = [] if index.prefixes.keys().isdisjoint(words) else index.decided(index.matches(words))
     base = sorted({label for _, label in places})
     starts = [at for at, _ in places]
     return {
@@ -231,8 +298,8 @@ def _scan(text: str, index: Index) -> dict:
         "first_word": min(starts, default=None),
         "last_word": max(starts, default=None),
         "base_labels": base,
-        "labels": sorted({*base, *spelled, *(index.templates[t].label for t in found)}),
-        "score": 1.0 if base or spelled else max(found.values(), default=0.0),
+        "labels": sorted({*base, *(index.templates[m.template].label for m in found)}),
+        "score": 1.0 if base else max((m.share for m in found), default=0.0),
     }
 
 
@@ -259,10 +326,10 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per row of ``docs``: places of the base phrases, labels of both methods, and a score.
 
-    ``labels`` adds those of every template that some block contains to at least ``threshold``, and Creative Commons
-    licenses that are spelled out, as far as ``templates`` have their labels.  ``score`` is the best containment, 1 if
-    a base phrase or such a license stands in the text, and 0 if nothing was met.  Null texts are empty; null
-    and repeated ids stay; other columns are ignored.
+    ``labels`` adds those of every template that some block contains to at least ``threshold``; where blocks of one
+    family overlap, the spelled-out, best, longest one counts, with ties all.  ``score`` is the best containment, 1 if a
+    base phrase or a short form stands in the text, and 0 if nothing was met.  Null texts are empty; null and repeated
+    ids stay; other columns are ignored; an empty table gives no row.  A text is read once, whatever its length.
     """
     index = Index.build(templates, word_frequencies(docs, text_col, templates), threshold)
     return docs.select(F.col(id_col).alias("doc_id"), scan_column(F.col(text_col), index).alias("s")).select("doc_id", "s.*")

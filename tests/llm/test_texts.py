@@ -187,22 +187,63 @@ def test_secrets_match_brute_force(spark, documents):
 
 
 def slow_licenses(text):
+    """Every block of every template word by word, then the decision pair by pair."""
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     places = sorted((i, label) for phrase, label in license_scan.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split())
     labels = {label for _, label in places}
-    met = set()
-    for notice, label in license_scan.TEMPLATES:
+    met = []
+    for number, (notice, label) in enumerate(license_scan.TEMPLATES):
         own = re.findall(r"[a-z0-9]+", notice.lower())
-        for i in range(-len(own) + 1, len(words)):
-            block = set(words[max(0, i) : i + len(own)])
-            if len(block & set(own)) >= 0.8 * len(set(own)) - 1e-9:
-                met.add(label)
-                break
-    return len(words), places, sorted(labels), sorted(labels | met)
+        if (notice, label) in license_scan.SHORT:
+            met += [((0, -1.0, -label.count("-"), -len(own), i), number, label, i, i + len(own)) for i in range(len(words)) if words[i : i + len(own)] == own]
+            continue
+        shares = [0.0] + [len(set(words[max(0, end - len(own)) : end]) & set(own)) / len(set(own)) for end in range(1, len(words) + 1)] + [0.0]
+        end = 1
+        while end < len(shares):
+            run = end
+            while shares[end] >= 0.8 - 1e-9:
+                end += 1
+            if end > run:
+                best = max(range(run, end), key=lambda e: (shares[e], -e))
+                start = max(0, best - len(own))
+                met.append(((1, -shares[best], 0, start - best, start), number, label, start, best))
+            end += 1
+    for family in license_scan.FAMILIES:
+        taken = []
+        for m in sorted(x for x in met if x[2] in family):
+            if all(m[3] >= t[4] or t[3] >= m[4] for t in taken) or taken[-1][0] == m[0]:
+                taken.append(m)
+                labels.add(m[2])
+    labels |= {m[2] for m in met if not any(m[2] in family for family in license_scan.FAMILIES)}
+    return len(words), places, sorted({label for _, label in places}), sorted(labels)
+
+
+def test_license_places_match_brute_force():
+    rng = random.Random(8)
+    frequency = {w: rng.randrange(5) for notice, _ in license_scan.TEMPLATES for w in license_scan.words_of(notice)}
+    index = license_scan.Index.build(license_scan.TEMPLATES, frequency, 0.8)
+    for _ in range(150):
+        words = []
+        for notice, _ in rng.choices(license_scan.TEMPLATES, k=3) + rng.choices(license_scan.NOTICES, k=3):
+            words += [w for w in notice.split() if rng.random() > 0.06] + rng.choices(["x", "license", "by", "cc", "under", "the", "nc"], k=rng.randrange(9))
+        text = " ".join(words)
+        assert license_scan._scan(text, index)["labels"] == slow_licenses(text)[3], text
+
+
+def test_licenses_of_separate_places_all_count():
+    index = license_scan.Index.build(license_scan.TEMPLATES, {}, 0.8)
+    notice = {label: text for text, label in license_scan.NOTICES}
+    labels = lambda text: license_scan._scan(text, index)["labels"]
+    assert labels(notice["cc-by-nc"].replace("Commons", "Common") + " and then " + notice["cc-by-sa"]) == ["cc-by-nc", "cc-by-sa"]
+    assert labels("Licensed under CC BY 4.0. Some text. " + notice["cc-by-nc-sa"]) == ["cc-by", "cc-by-nc-sa"]
+    assert labels(notice["agpl"]) == ["agpl", "gpl"] and labels(notice["lgpl"]) == ["gpl", "lgpl"] and labels(notice["gpl"]) == ["gpl"]
+    for line, label in {"SPDX-License-Identifier: MIT": "mit", "Apache-2.0": "apache", "GPL-2.0-only": "gpl", "the 3-clause BSD License": "bsd", "SPDX-License-Identifier: ISC": "isc",
+                        "Eclipse Public License": "epl", "Mozilla Public License": "mpl", "Boost Software License 1.0": "boost", "The Unlicense": "unlicense"}.items():
+        assert labels(line) == [label]
 
 
 def test_licenses_match_brute_force(spark, documents):
-    notice = license_scan.TEMPLATES[6][0]
+    notice = dict(map(reversed, license_scan.NOTICES))["bsd"]
     cut = " ".join(w for i, w in enumerate(notice.split()) if i not in (3, 9))
     texts = ODD + [r["text"] for r in documents.collect()] + [f"intro\n{cut.upper()}\nend", notice[: len(notice) // 2], "mit mit license license general public license", "released the mit\nunder license x"]
     rows = license_scan.digest(license_scan.scan_licenses(docs_of(spark, texts))).collect()
@@ -224,7 +265,7 @@ def test_creative_commons_family(spark):
         "Sent to Ann, cc by Friday": "", "0.5 cc 0.3 ml": "", "commons by sa": "",
     }
     lines |= {text: label for text, label in license_scan.TEMPLATES if label.startswith("cc")}
-    lines |= {text.replace("Creative", "Creativ"): label for text, label in license_scan.TEMPLATES if label.startswith("cc-by") and "Creative" in text}
+    lines |= {text.replace("Creative", "Creativ"): label for text, label in license_scan.NOTICES if label.startswith("cc-by") and "Creative" in text}
     rows = license_scan.digest(license_scan.scan_licenses(docs_of(spark, list(lines)))).collect()
     assert {list(lines)[r["doc_id"]]: r["labels"] for r in rows} == lines
     assert all((r["score"] > 0) == bool(r["labels"]) for r in rows)
