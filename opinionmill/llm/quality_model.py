@@ -1,7 +1,7 @@
 """Quality classifier with supervised subword embeddings.
 
-A document is the mean of the vectors of its words and character n-grams (hashed into ``buckets`` rows), and a
-softmax layer turns the mean into class probabilities.  Vectors and layer are learned together by stochastic
+A document is the mean of the vectors of its words, word n-grams and character n-grams (hashed into ``buckets`` rows,
+capitals kept apart), and a softmax layer turns the mean into class probabilities.  Vectors and layer are learned together by stochastic
 gradient descent in numpy, on a bounded sample of labelled documents.  As the layer is linear in the mean, a text
 is scored with one number per bucket, the vector's product with the layer.
 """
@@ -25,10 +25,11 @@ POWERS = np.cumprod(np.full(64, 0x100000001B3, dtype=np.uint64))
 class Settings:
     """``sample`` bounds the labelled documents that are learned from; all texts are used whole."""
 
-    buckets: int = 1 << 14
+    buckets: int = 1 << 18
     dimensions: int = 16
     ngrams: tuple[int, ...] = (3, 4)
-    epochs: int = 12
+    word_ngrams: tuple[int, ...] = (2, 3)
+    epochs: int = 20
     rate: float = 0.5
     sample: int = 2000
     seed: int = 7
@@ -50,20 +51,14 @@ class Model:
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    """A bucket from 1; bucket 0 is that of the loops."""
     h = (h ^ (h >> np.uint64(29))) * MULTIPLIER
-    return (1 + (h ^ (h >> np.uint64(32))) % np.uint64(buckets - 1)).astype(np.int32)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(buckets)).astype(np.int32)
 
 
 def features(text: str, settings: Settings) -> np.ndarray:
-    """Buckets of the words, of the n-grams within a word and its two borders, and of the loops; repeats included.
-
-    A word that continues a loop (it and the word before equal those ``lag`` words earlier, ``lag`` up to 8) also
-    gives the loop's own feature, as a word n-gram would whose words are replaced by "same as before".
-    """
+    """Buckets of the words, of n consecutive words, and of the n-grams within a word and its two borders; repeats count."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     points = np.concatenate([[32], points, [32]]).astype(np.uint64)
-    points[(points >= 65) & (points <= 90)] += np.uint64(32)
     blank = (points == 32) | ((points >= 9) & (points <= 13))
     points[blank] = 32
     inner = ~blank
@@ -77,11 +72,14 @@ def features(text: str, settings: Settings) -> np.ndarray:
     mixed = np.where(inner[starts[0] :], points[starts[0] :] * POWERS[at], np.uint64(0))
     words = np.add.reduceat(mixed, starts - starts[0]) + np.uint64(1)
     out.append(_bucket(words, settings.buckets))
-    loop = np.zeros(len(words), dtype=bool)
-    for lag in range(1, min(9, len(words) - 1)):
-        same = words[lag:] == words[:-lag]
-        loop[lag + 1 :] |= same[1:] & same[:-1]
-    out.append(np.zeros(int(loop.sum()), dtype=np.int32))
+    for n in settings.word_ngrams:
+        count = len(words) - n + 1
+        if count < 1:
+            continue
+        h = np.full(count, n, dtype=np.uint64)
+        for k in range(n):
+            h = h * MULTIPLIER + words[k : k + count]
+        out.append(_bucket(h, settings.buckets))
     blanks = np.concatenate([[0], np.cumsum(blank)])
     for n in settings.ngrams:
         count = len(points) - n + 1
@@ -144,8 +142,9 @@ def train(
 ) -> Model:
     """Learn from at most ``settings.sample`` labelled documents, chosen by a hash of their id.
 
-    Labels that are null or that contradict each other for one id are left out, ids repeated in ``docs`` count
-    once; without any label the model says one half.
+    Labels that are null or that contradict each other for one id are left out.  Of an id that ``docs`` repeats, one
+    text is learned from, that of the least hash, chosen before anything is collected.  Without any label the model
+    says one half.
     """
     agreed = (
         labels.where(f"{id_col} is not null and {label_col} is not null")
@@ -155,16 +154,16 @@ def train(
     )
     # Ids and classes only, at most ``sample`` rows: small enough to be sent to every task.
     chosen = agreed.orderBy(F.xxhash64("id"), "id").limit(settings.sample).select("id", F.col("low").alias("label"))
-    found = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    once = (
+        docs.select(F.col(id_col).alias("id"), text.alias("text"))
         .join(F.broadcast(chosen), "id")
-        .select("id", "label", sparse_features(F.col("text"), settings).alias("f"))
-        .toArrow()
+        .groupBy("id", "label")
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     )
-    ids, rows = found["id"].to_pylist(), {}
-    for i, label, f in zip(ids, found["label"].to_pylist(), found["f"]):
-        rows.setdefault(i, (f["index"].values.to_numpy(), f["share"].values.to_numpy(), label))
-    return fit([rows[i] for i in sorted(rows)], settings)
+    found = once.select("id", "label", sparse_features(F.col("text"), settings).alias("f")).toArrow()
+    rows = sorted(zip(found["id"].to_pylist(), found["label"].to_pylist(), found["f"]), key=lambda row: row[0])
+    return fit([(f["index"].values.to_numpy(), f["share"].values.to_numpy(), label) for _, label, f in rows], settings)
 
 
 def score_column(text: Column, model: Model, settings: Settings) -> Column:
@@ -200,8 +199,9 @@ def quality_scores(
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, score, predicted``.
 
-    Only the text is scored; labels are learned from rows that are not held out.  Null and repeated ids stay,
-    null texts are empty, other columns are ignored.
+    Only the text is scored; labels are learned from rows that are not held out.  Null and repeated ids and rows stay,
+    null texts are empty, other columns are ignored, an empty table gives no row, and equal texts have equal scores.  A
+    text is read whole, whatever its length.
     """
     learnable = labels.where(~held_out(F.col(id_col)))
     model = train(docs, learnable, id_col, text_col, label_col, settings)

@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,70 @@ def test_classifier_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
 
+def slow_features(text, settings):
+    """The buckets of every n-gram, one by one, with whole numbers."""
+    mask, prime, golden = (1 << 64) - 1, 0x100000001B3, 0x9E3779B97F4A7C15
+
+    def bucket(h):
+        h = (h ^ h >> 29) * golden & mask
+        return (h ^ h >> 32) % settings.buckets
+
+    blanks = " \t\n\v\f\r"
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    codes = [(sum(ord(c) * pow(prime, i % 64 + 1, 1 << 64) for i, c in enumerate(w)) + 1) & mask for w in words]
+    out = [bucket(c) for c in codes]
+    for n in settings.word_ngrams:
+        for i in range(len(codes) - n + 1):
+            h = n
+            for c in codes[i : i + n]:
+                h = (h * golden + c) & mask
+            out.append(bucket(h))
+    padded = "".join(" " if c in blanks else c for c in f" {text} ")
+    for n in settings.ngrams if words else ():
+        for i in range(len(padded) - n + 1):
+            part = padded[i : i + n]
+            if " " in part[1:-1]:
+                continue
+            h = n
+            for c in part:
+                h = (h * prime + ord(c)) & mask
+            out.append(bucket(h))
+    return sorted(out)
+
+
+def test_classifier_matches_brute_force(spark):
+    settings = quality_model.Settings(buckets=1 << 12, epochs=1)
+    for text in [t or "" for t in ODD[:6]] + ["The the cat  sat.\n on " + "w" * 70, "a b c a b c"]:
+        assert sorted(quality_model.features(text, settings).tolist()) == slow_features(text, settings)
+    # One step: softmax of the mean vector, its gradient to vectors, layer and bias.
+    index, share = np.array([3, 9]), np.array([0.25, 0.75], dtype=np.float32)
+    for label in (0, 1):
+        model = quality_model.fit([(index, share, label)], settings)
+        random_ = np.random.default_rng(settings.seed)
+        start = random_.uniform(-1, 1, (settings.buckets, settings.dimensions)).astype(np.float32) / settings.dimensions
+        bias = np.log([(1 + (label == c)) / 3 for c in (0, 1)])
+        error = np.exp(bias) / np.exp(bias).sum() - np.eye(2)[label]
+        mean = 0.25 * start[3] + 0.75 * start[9]
+        assert np.allclose(model.layer, -settings.rate * np.outer(mean, error), atol=1e-6)
+        assert np.allclose(model.bias, bias - 0.01 * settings.rate * error, atol=1e-6)
+    model = quality_model.fit([(index, share, 1), (np.array([9, 11]), np.array([0.5, 0.5], dtype=np.float32), 0)], settings)
+    texts = ["some words here", "", "x y z x y z"]
+    scored = docs_of(spark, texts).select("doc_id", quality_model.score_column(F.col("text"), model, settings).alias("s")).collect()
+    for r in scored:
+        own = slow_features(texts[r["doc_id"]], settings)
+        z = (model.vectors[own].astype(float).mean(axis=0) if own else np.zeros(16)) @ model.layer + model.bias
+        assert abs(r["s"] - np.exp(z[1]) / np.exp(z).sum()) < 1e-5
+
+
+def test_classifier_learns_one_text_per_id(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rows = [(i, f"{'good' if i % 2 else 'bad'} text {k}") for i in range(40) for k in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    settings = quality_model.Settings(buckets=1 << 10)
+    models = [quality_model.train(f, labels, "doc_id", "text", "quality", settings) for f in (frame, frame.repartition(7).unionByName(frame))]
+    assert np.array_equal(models[0].vectors, models[1].vectors) and np.array_equal(models[0].layer, models[1].layer)
+
+
 def test_classifier_edges(spark):
     labels = spark.createDataFrame([(0, 1), (0, 0), (None, 1), (2, None)], "doc_id long, quality int")
     rows = quality_model.quality_scores(wide(spark, ODD), labels).collect()
