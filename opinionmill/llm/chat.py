@@ -43,7 +43,8 @@ def rotate_perspectives(
 
     Turns are ordered by number, role and text; equal rows stay as often as they stand there.  A null turn number
     comes first, a null role is the speaker ``unknown``, a null text is empty, rows without a dialogue id are one
-    dialogue.  A dialogue of the system alone has no perspective.  Other columns are ignored.
+    dialogue.  A dialogue of the system alone has no perspective.  Other columns are ignored; an empty
+    table gives no row; texts of any length stay whole.
 
     Places are sums over all earlier turns.  They are added up per range of the sorted turns first and then over
     the ranges, so a dialogue with a third of all turns is no task's burden.

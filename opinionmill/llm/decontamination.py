@@ -298,7 +298,8 @@ def find_leaks(
     The benchmark is measured first; beyond ``block_bytes`` it is joined in blocks, each against all documents.
     ``other_slots`` tells a re-parameterised copy from a plain one.  Items with fewer than ``least_words`` plain
     words say too little and are left out.  Null texts are empty; null ids of documents or items stay null;
-    repeated rows give repeated leaks; other columns are ignored.
+    repeated rows give repeated leaks; other columns are ignored; an empty table, or no item, gives no row.  Of equally
+    rare windows of an item the one with the smaller hash leads.  Texts of any length are read whole.
     """
     parts = []
     for rows in blocks_of(benchmark, item_col, item_text_col, block_bytes):

@@ -115,7 +115,7 @@ def pack(
 
     ``longest`` is a power of two.  ``length`` is also the bucket.  ``sequence_id`` is unique: a piece is the only
     one of its sequence, at offset 0.  A null or empty text is the end id alone.  Null and repeated ids stay, each
-    row is a document; other columns are ignored; an empty table gives no piece.
+    row is a document; other columns are ignored; an empty table gives no piece.  A text of any length is encoded whole.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")

@@ -160,6 +160,7 @@ def simhash_groups(
     the smallest fingerprint.  A null or empty text has the fingerprint zero and is linked like any other.  Rows
     with a null id take part and get the component of their fingerprint; if no row of the component has an id, it is
     null.  Repeated rows and ids stay as they are.  Other columns are ignored; an empty table gives an empty result.
+    Texts of any length count whole.
     """
     text = F.col(text_col)
     prints = cut_lineage(

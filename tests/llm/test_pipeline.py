@@ -9,6 +9,18 @@ from .test_texts import slow_rules
 DATA = "/root/testdata/sf0.001"
 
 
+def test_nulls_repeats_and_empty_tables(spark, tmp_path):
+    good = " ".join(f"word{i} and text{i}" for i in range(30))
+    rows = [(1, good, "en", None, None, "x"), (1, good, "en", "s", 5, "x"), (None, good + " more", None, None, None, None), (2, None, None, None, None, "x"), (3, "", "en", "s", 0, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, spans string"
+    for name, kept in (("some", rows), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(kept, schema).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(1, None), (None, "an item that stands in no document at all here")], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        packed = corpus_pipeline.run(spark, str(folder)).collect()
+        assert (len(packed) > 0) == bool(kept) and {r["doc_id"] for r in packed} <= {1, None}
+
+
 def test_stages_work_on_what_their_predecessor_kept(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, seen = docs.columns, []

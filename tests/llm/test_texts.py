@@ -249,6 +249,7 @@ def test_secrets_match_brute_force(spark, documents):
         assert r["n_assign"] == sum(k == "assign" for k, _, _ in base)
     assert f"github:2:{2 + len(good)}" in rows[-1]["spans"] and rows[-1]["spans"].count("github") == 1
     assert secret_scan.scan_secrets(wide(spark, ODD)).count() == len(ODD) + 2
+    assert secret_scan.scan_secrets(wide(spark, ODD).limit(0)).count() == 0
 
 
 def slow_licenses(text):
@@ -435,6 +436,8 @@ def test_leaks(spark):
     kept = decontamination.drop_leaked(docs_of(spark, texts), bench, block_bytes=20)
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5, 6]
     assert decontamination.find_leaks(docs_of(spark, texts), bench.limit(0)).count() == 0
+    assert decontamination.find_leaks(docs_of(spark, texts).limit(0), bench).count() == 0
+    assert decontamination.drop_leaked(wide(spark, ODD).limit(0), bench).count() == 0
     assert decontamination.drop_leaked(wide(spark, ODD), bench).count() == len(ODD) + 2
 
 
