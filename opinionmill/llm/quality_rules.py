@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, write_down
 from .texts import WordCache, slices
 
 SYMBOLS = "#*$%&|<>"
@@ -29,6 +29,8 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens")
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+GROUP = ["band_group", "script", "length_class"]
+ENOUGH = 16
 
 _MODELS: dict[str, "Pieces"] = {}
 
@@ -128,18 +130,20 @@ def measure(texts: list[str], own: Pieces) -> list[dict]:
 
 
 def measures(text: Column, lang: Column, vocabulary: str) -> Column:
-    """A struct with the counts, ``token_entropy`` and ``band_group``."""
+    """A struct with the counts, ``token_entropy``, ``script`` and ``band_group``."""
     kind = pa.struct(
-        [(c, pa.int64()) for c in COUNTS] + [("token_entropy", pa.float64()), ("band_group", pa.string())]
+        [(c, pa.int64()) for c in COUNTS]
+        + [("token_entropy", pa.float64()), ("script", pa.string()), ("band_group", pa.string())]
     )
 
-    @F.arrow_udf(", ".join(f"{c} long" for c in COUNTS) + ", token_entropy double, band_group string")
+    @F.arrow_udf(", ".join(f"{c} long" for c in COUNTS) + ", token_entropy double, script string, band_group string")
     def measured(texts: pa.Array, langs: pa.Array) -> pa.Array:
         own, at, parts = pieces(public_tokenizers.path(vocabulary)), 0, []
         for part in slices(texts):
             rows = measure(part, own)
             for row, t, name in zip(rows, part, langs.slice(at, len(part)).to_pylist()):
-                row["band_group"] = name if name is not None else f"script:{script(t)}"
+                row["script"] = script(t)
+                row["band_group"] = name if name is not None else f"script:{row['script']}"
             parts.append(pa.array(rows, type=kind))
             at += len(part)
         return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
@@ -147,25 +151,58 @@ def measures(text: Column, lang: Column, vocabulary: str) -> Column:
     return measured.asNondeterministic()(text, lang)
 
 
-def bands(measured: DataFrame, fences: float = 2.0) -> DataFrame:
-    """``band_group, length_class`` with the middle and the half width on either side of every measure.
+def bands(measured: DataFrame, fences: float = 2.0, enough: int = ENOUGH) -> DataFrame:
+    """``GROUP`` with the middle, the half width on either side and the number of texts of every measure.
 
-    The middle half of all different texts, widened by ``fences`` times its spread on each side.
+    The middle half of all different texts, widened by ``fences`` times its spread on each side.  A group of fewer
+    than ``enough`` texts takes the band of the first wider group that has them: its language in this and the
+    neighbouring length classes, its script in these, its script as a whole.  Entropy falls with the length, so a
+    whole script has no band for it, and no text is judged by it where the neighbours are too few.
     """
-    once = measured.where("n_tokens > 0").dropDuplicates(["band_group", "length_class", "text_hash"])
-    stats = once.groupBy("band_group", "length_class").agg(
-        F.count("*").alias("n_texts"),
-        *(F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(m) for m in MEASURES)
+    once = measured.where("n_tokens > 0").dropDuplicates([*GROUP, "text_hash"])
+    c, none = F.col("length_class"), F.lit(None).cast("long")
+
+    def level(number: int, name: str, at: Column) -> Column:
+        return F.struct(F.lit(number).alias("level"), F.col(name).alias("name"), at.alias("at"))
+
+    near = [c - 1, c, c + 1]
+    levels = [
+        level(0, "band_group", c),
+        *(level(1, "band_group", at) for at in near),
+        *(level(2, "script", at) for at in near),
+        level(3, "script", none),
+    ]
+    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    stats = (
+        once.select(F.explode(F.array(*levels)).alias("l"), *MEASURES)
+        .select("l.*", *MEASURES)
+        .groupBy("level", "name", "at")
+        .agg(F.count("*").alias("n"), *(F.percentile_approx(m, quarters, 1000).alias(m) for m in MEASURES))
+        .where(F.col("n") >= enough)
     )
-    out = [F.col("band_group"), F.col("length_class"), F.col("n_texts")]
+    # One row per language, script and length class: the levels it may take, the narrowest first.
+    wanted = once.select(*GROUP).distinct().select(
+        *GROUP, F.explode(F.array(levels[0], levels[2], levels[5], levels[7])).alias("l")
+    ).select(*GROUP, "l.*")
+    met = wanted.join(
+        stats.withColumnsRenamed({"level": "_level", "name": "_name", "at": "_at"}),
+        (F.col("level") == F.col("_level")) & (F.col("name") == F.col("_name")) & F.col("at").eqNullSafe(F.col("_at")),
+    )
+    best = met.groupBy(*GROUP).agg(
+        F.min(F.struct("level", "n", "chars_per_token", "byte_share")).alias("any"),
+        F.min(F.when(F.col("level") < 3, F.struct("level", "n", "token_entropy"))).alias("near"),
+    )
+    out = [F.col(g) for g in GROUP]
     for m in MEASURES:
-        low, mid, high = (F.col(m)[i] for i in range(3))
+        side = "near" if m == "token_entropy" else "any"
+        low, mid, high = (F.col(side)[m][i] for i in range(3))
         out += [
+            F.col(side)["n"].alias(f"{m}_texts"),
             mid.alias(f"{m}_mid"),
             (low - fences * (high - low)).alias(f"{m}_low"),
             (high + fences * (high - low)).alias(f"{m}_high"),
         ]
-    return stats.select(*out)
+    return best.select(*out)
 
 
 def _measured(docs: DataFrame, text: Column, lang: Column, vocabulary: str, own: Column) -> DataFrame:
@@ -186,12 +223,12 @@ def _measured(docs: DataFrame, text: Column, lang: Column, vocabulary: str, own:
 
 def _judged(measured: DataFrame, limits: DataFrame, slack: float, few: float) -> DataFrame:
     """Add ``base_failed``, ``reason`` and ``kept``."""
-    # One row per language and length class; sent to every task only if it is as small as that should be.
+    # One row per language, script and length class; sent to every task only if it is as small as that should be.
     limits = cut_lineage(limits)
     limits = F.broadcast(limits) if limits.count() <= 100_000 else limits
 
     def beyond(name: str, low: bool = True, high: bool = True) -> Column:
-        extra = F.col(f"{name}_mid") * (slack + few / F.sqrt(F.col("n_texts")))
+        extra = F.col(f"{name}_mid") * (slack + few / F.sqrt(F.col(f"{name}_texts")))
         out = F.lit(False)
         if low:
             out = out | (F.col(name) < F.col(f"{name}_low") - extra)
@@ -206,7 +243,7 @@ def _judged(measured: DataFrame, limits: DataFrame, slack: float, few: float) ->
         .when(beyond("byte_share", low=False) & (F.col("n_byte_tokens") >= 3), F.lit("byte_share"))
         .when(beyond("token_entropy", high=False), F.lit("token_entropy"))
     )
-    joined = measured.join(limits, ["band_group", "length_class"], "left").withColumn("base_failed", failed)
+    joined = measured.join(limits, GROUP, "left").withColumn("base_failed", failed)
     return joined.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
 
 
@@ -224,7 +261,8 @@ def quality_rules(
 
     ``base_failed``: fewer than 20 words, or over 30 % of the words in repeated windows.  A band is the middle half
     of its group, plus ``fences`` times its spread, plus ``slack`` and ``few`` over the root of the group's texts as
-    shares of the middle value: a small group says less, so its band is wider.  Length classes double.
+    shares of the middle value: a small group says less, so its band is wider.  Length classes double.  Groups of
+    fewer than ``ENOUGH`` different texts take the band of a wider group (see ``bands``).
     ``byte_share`` has an upper bound only and ``token_entropy`` a lower one.
 
     A null or empty text has no word and fails the base.  A null language is judged with its script.  Null and
@@ -249,9 +287,10 @@ def keep_good(
 ) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
 
-    Texts are measured once for the bands and once for the verdict, so that none is shuffled or stored in between.
+    Rows and their measures are written down once: the bands read the measures alone, the verdict both.
     """
-    limits = bands(_measured(docs, F.col(text_col), F.col(lang_col), vocabulary, F.lit(0).alias("doc_id")), fences)
     row = docs.select(F.struct("*").alias("_row"))
-    measured = _measured(row, F.col(f"_row.`{text_col}`"), F.col(f"_row.`{lang_col}`"), vocabulary, F.col("_row"))
-    return _judged(measured, limits, slack, few).where("kept").select("_row.*")
+    measured = write_down(
+        _measured(row, F.col(f"_row.`{text_col}`"), F.col(f"_row.`{lang_col}`"), vocabulary, F.col("_row"))
+    )
+    return _judged(measured, bands(measured, fences), slack, few).where("kept").select("_row.*")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import time
@@ -83,6 +84,60 @@ def test_quality_counts_match_brute_force(spark, documents):
         assert not (r["base_failed"] and r["kept"])
 
 
+def slow_verdicts(rows, texts, langs):
+    """``doc_id`` to reason, by lists: quartiles are the smallest values with a quarter, half, three quarters at or below."""
+    measured = [r.asDict() | {"class": int(math.log2(max(1, r["n_tokens"])))} for r in rows]
+    for r in measured:
+        r["script"] = quality_rules.script(texts[r["doc_id"]] or "")
+        r["lang"] = langs[r["doc_id"]] or f"script:{r['script']}"
+    seen = {(r["lang"], texts[r["doc_id"]]): r for r in measured if r["n_tokens"]}.values()
+
+    def group_of(r, m):
+        near = [x for x in seen if abs(x["class"] - r["class"]) <= 1]
+        levels = [
+            [x for x in seen if (x["lang"], x["class"]) == (r["lang"], r["class"])],
+            [x for x in near if x["lang"] == r["lang"]],
+            [x for x in near if x["script"] == r["script"]],
+            [x for x in seen if x["script"] == r["script"] and m != "token_entropy"],
+        ]
+        return next((sorted(x[m] for x in g) for g in levels if len(g) >= quality_rules.ENOUGH), None)
+
+    out = {}
+    for r in measured:
+        reason = "base" if r["base_failed"] else None
+        for m in quality_rules.MEASURES if reason is None and r["n_tokens"] else ():
+            values = group_of(r, m)
+            if values is None:
+                continue
+            low, mid, high = (values[max(0, math.ceil(q * len(values)) - 1)] for q in (0.25, 0.5, 0.75))
+            extra = mid * (0.01 + 0.15 / math.sqrt(len(values)))
+            below, above = r[m] < low - 2.0 * (high - low) - extra, r[m] > high + 2.0 * (high - low) + extra
+            beyond = {"chars_per_token": below or above, "byte_share": above and r["n_byte_tokens"] >= 3, "token_entropy": below}
+            if beyond[m]:
+                reason = m
+                break
+        out[r["doc_id"]] = reason
+    return out
+
+
+def test_quality_verdicts_match_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400).collect()
+    noise = random.Random(7)
+    junk = [" ".join("".join(noise.choices("bcdfghjklmnpqrstvwxz\u0416\u4e2d\u00e9", k=9)) for _ in range(n)) for n in (60, 61, 900)]
+    texts = ODD + [r["text"] for r in rows] + junk + [rows[0]["text"]] * 3 + ["the same few words again " * 4 + rows[0]["text"]]
+    langs = [None] * len(ODD) + [r["lang"] for r in rows] + ["rare", None, "rare"] + ["en", "rare", None, "en"]
+    frame = spark.createDataFrame(list(zip(range(len(texts)), texts, langs)), "doc_id long, text string, lang string")
+    judged = quality_rules.quality_rules(frame).collect()
+    expected = slow_verdicts(judged, texts, langs)
+    assert {r["doc_id"]: r["reason"] for r in judged} == expected
+    assert all(r["kept"] == (r["reason"] is None) for r in judged)
+    first = len(ODD) + len(rows)
+    # Two junk texts of a language with no other texts are judged with their script.
+    assert expected[first] == expected[first + 2] == "chars_per_token"
+    kept = {r["doc_id"] for r in quality_rules.keep_good(frame).select("doc_id").collect()}
+    assert kept == {i for i, reason in expected.items() if reason is None}
+
+
 def test_quality_keeps_good_and_rejects_junk(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     judged = quality_rules.quality_rules(docs).join(labels, "doc_id").where("not base_failed")
