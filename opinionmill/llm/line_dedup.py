@@ -196,7 +196,7 @@ def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    min_words: int = 8,
+    min_words: int = 5,
     broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """``docs`` with all its columns, ``text`` without the lines that have an earlier equal or near line.
@@ -206,8 +206,8 @@ def dedup_lines(
     empty.  A null text is empty.  Rows with a null id come last.  Rows of one id count as one document, each of
     them keeps its first copy of a line; equal rows stay equal.  Existing columns named like the three are replaced.
 
-    Lines shorter than ``min_words`` are compared for equality only: with so few words, one replaced word makes
-    another line.  Candidate lines are sent to all tasks if they are at most ``broadcast_rows`` (two hashes and a
+    Lines shorter than ``min_words`` are compared for equality only: from five words on, one edit leaves four fifths
+    of the line, with fewer one replaced word makes another line.  Candidate lines are sent to all tasks if they are at most ``broadcast_rows`` (two hashes and a
     place each); beyond that the lines are shuffled to them.
     """
     keyed = docs.select(
