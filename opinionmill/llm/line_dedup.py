@@ -207,8 +207,8 @@ def dedup_lines(
     them keeps its first copy of a line; equal rows stay equal.  Existing columns named like the three are replaced.
 
     Lines shorter than ``min_words`` are compared for equality only: from five words on, one edit leaves four fifths
-    of the line, with fewer one replaced word makes another line.  Candidate lines are sent to all tasks if they are at most ``broadcast_rows`` (two hashes and a
-    place each); beyond that the lines are shuffled to them.
+    of the line, with fewer one replaced word makes another line.  Candidate lines are sent to all tasks if they are
+    at most ``broadcast_rows`` (two hashes and a place each); beyond that the lines are shuffled to them.
     """
     keyed = docs.select(
         F.struct("*").alias("_row"),

@@ -37,7 +37,7 @@ def test_stages_work_on_what_their_predecessor_kept(spark, tmp_path):
         n, *_, repeated = slow_rules(text)
         assert n >= 20 and 100 * repeated <= 30 * n
     assert b.count() < a.count()
-    assert sorted(rows(c), key=str) == slow_dedup(rows(b), 8)
+    assert sorted(rows(c), key=str) == slow_dedup(rows(b), 5)
     groups = slow_groups(rows(c))
     assert sorted(r["doc_id"] for r in d.collect()) == sorted({component for _, _, component in groups})
     leaked = {r["doc_id"] for r in decontamination.find_leaks(d, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
