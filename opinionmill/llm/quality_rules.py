@@ -284,13 +284,20 @@ def keep_good(
     fences: float = 2.0,
     slack: float = 0.01,
     few: float = 0.15,
+    broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
 
-    Rows and their measures are written down once: the bands read the measures alone, the verdict both.
+    Texts are measured once.  Measures are written down without the texts; rows then lose those whose 128-bit hash of
+    language and text is among the rejected, as the verdict depends on nothing else.  Rejected hashes are sent to
+    all tasks if they are at most ``broadcast_rows``; beyond that the rows are shuffled to them.
     """
-    row = docs.select(F.struct("*").alias("_row"))
-    measured = write_down(
-        _measured(row, F.col(f"_row.`{text_col}`"), F.col(f"_row.`{lang_col}`"), vocabulary, F.col("_row"))
-    )
-    return _judged(measured, bands(measured, fences), slack, few).where("kept").select("_row.*")
+    text, lang = F.col(text_col), F.col(lang_col)
+    name = F.coalesce(F.concat(F.lit("="), lang), F.lit(""))
+    keys = [F.xxhash64(name, text).alias("_h1"), F.xxhash64(F.lit(1), name, text).alias("_h2")]
+    measured = write_down(_measured(docs, text, lang, vocabulary, F.struct(*keys).alias("_key")))
+    judged = _judged(measured, bands(measured, fences), slack, few)
+    rejected = cut_lineage(judged.where("not kept").select("_key.*").distinct())
+    if rejected.count() <= broadcast_rows:
+        rejected = F.broadcast(rejected)
+    return docs.select(F.struct("*").alias("_row"), *keys).join(rejected, ["_h1", "_h2"], "left_anti").select("_row.*")

@@ -134,8 +134,9 @@ def test_quality_verdicts_match_brute_force(spark):
     first = len(ODD) + len(rows)
     # Two junk texts of a language with no other texts are judged with their script.
     assert expected[first] == expected[first + 2] == "chars_per_token"
-    kept = {r["doc_id"] for r in quality_rules.keep_good(frame).select("doc_id").collect()}
-    assert kept == {i for i, reason in expected.items() if reason is None}
+    for limit in (500_000, 0):
+        kept = {r["doc_id"] for r in quality_rules.keep_good(frame, broadcast_rows=limit).select("doc_id").collect()}
+        assert kept == {i for i, reason in expected.items() if reason is None}
 
 
 def test_quality_keeps_good_and_rejects_junk(spark):
