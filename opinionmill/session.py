@@ -46,6 +46,22 @@ def write_down(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Parquet stores a value that repeats once per row group, as long as the different values of the column fit this
+#: dictionary; the default of 1 MB is full after a few hundred reviews, and their text is then stored with every row.
+#: Small row groups keep the dictionary of a text column, which holds more than is counted for the group, within it.
+REPEATS = {"parquet.dictionary.page.size": str(64 << 20), "parquet.block.size": str(16 << 20)}
+
+
+def hold_repeats(spark: SparkSession) -> None:
+    """Let Parquet files that this session writes store long texts that repeat once per row group.
+
+    For tables that repeat a text in many rows; settings that the session already has stay.
+    """
+    for key, value in REPEATS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def collect_small(df: DataFrame, max_rows: int, max_bytes: int, *text_columns: str) -> list[Row]:
     """The rows of ``df``; raises if there are more than ``max_rows`` or over ``max_bytes`` of text.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..session import REPEATS
+
 PREDICTION_COLUMNS = ("row_id", "input", "reference", "prediction")
 OPINION_COLUMNS = (
     "review_id", "pos", "full_review", "component", "aspect", "aspect_term", "opinion_term", "sentiment",
@@ -15,11 +17,12 @@ def _csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
+def write_table(df: DataFrame, path: str, fmt: str = "csv", **options: str) -> None:
+    """``options`` are those of the Parquet files."""
     if fmt == "csv":
         _csv(df, path)
     elif fmt == "parquet":
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**options).parquet(path)
     else:
         raise ValueError(f"unknown format: {fmt}")
 
@@ -44,8 +47,8 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def write_opinions(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """The flat opinion table."""
-    write_table(df.select(*OPINION_COLUMNS), path, fmt)
+    """The flat opinion table; Parquet holds the text of a review once per row group, not with each component."""
+    write_table(df.select(*OPINION_COLUMNS), path, fmt, **REPEATS)
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
