@@ -15,7 +15,7 @@ from ..functions.binding import let
 from ..functions.dictionary import Dictionary
 from ..functions.patterns import WORD
 from ..functions.prompts import serialise_quad
-from ..session import collect_small, cut_lineage
+from ..session import collect_small, write_down
 from .skew import salted_join
 
 ASPECT, OPINION = "aspect", "opinion"
@@ -91,7 +91,7 @@ def phrases(words: Column, reach: Column) -> Column:
     return F.when(longest > 0, F.flatten(F.transform(lengths, of_length))).otherwise(none)
 
 
-def _quad_of(aspect: Column, opinion: Column) -> Column:
+def quad_of(aspect: Column, opinion: Column) -> Column:
     """The quadruple of two hits ``struct<phrase, label>``, either of which may be missing."""
     return F.struct(
         F.coalesce(aspect["label"], F.lit(DEFAULT_ASPECT)).alias("aspect"),
@@ -132,7 +132,7 @@ def lexicon_quad(lexicon: DataFrame, in_row_phrases: int = IN_ROW_PHRASES) -> Ca
     # One nested expression: the word and phrase arrays never become columns.
     return lambda component: let(
         let(_words(F.coalesce(component, F.lit(""))), hits),
-        lambda found: _quad_of(first_hit(found, ASPECT), first_hit(found, OPINION)),
+        lambda found: quad_of(first_hit(found, ASPECT), first_hit(found, OPINION)),
     )
 
 
@@ -163,27 +163,44 @@ def predict_by_join(df: DataFrame, lexicon: DataFrame, component_col: str) -> Da
 
     Rows are numbered and written to the checkpoint folder first, so missing and repeated keys stay apart.
     """
-    numbered = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
-    keys = ["_row"]
-    words = numbered.select("_row", _words(F.coalesce(F.col(component_col), F.lit(""))).alias("_words"))
+    numbered = write_down(df.withColumn("_row", F.monotonically_increasing_id()))
+    hits = hits_by_join(numbered, lexicon, component_col, "_row")
+    joined = numbered.join(hits, "_row", "left")
+    return _with_quad(joined, quad_of(F.col("_aspect"), F.col("_opinion"))).drop("_aspect", "_opinion", "_row")
+
+
+def hits_by_join(rows: DataFrame, lexicon: DataFrame, component_col: str, *keys: str) -> DataFrame:
+    """``keys, _aspect, _opinion``: the first hit of each kind in the rows that hold a phrase of the lexicon.
+
+    ``keys`` tell the rows apart and are the same whenever ``rows`` is read.  What a salted join reads is written down
+    with the counts of its keys, so the words are taken from the texts once and no join is computed for its counts.
+    """
+    words = write_down(rows.select(*keys, _words(F.coalesce(F.col(component_col), F.lit(""))).alias("_words")))
     first_words = lexicon.groupBy(F.split("phrase", " ")[0].alias("word")).agg(
         F.max(F.size(F.split("phrase", " "))).alias("far")
     )
+    spoken = words.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count("*").alias("_n"))
+    first_words = write_down(first_words.join(spoken, "word"))
     # Only rows with the first word of a phrase go on, and only sequences that begin with one are built.
     reach = (
-        salted_join(words.select("_row", F.posexplode("_words").alias("at", "word")), first_words, "word")
-        .groupBy("_row")
+        salted_join(
+            words.select(*keys, F.posexplode("_words").alias("at", "word")), first_words.drop("_n"), "word", counts=first_words
+        )
+        .groupBy(*keys)
         .agg(F.map_from_entries(F.collect_list(F.struct("at", "far"))).alias("_far"))
     )
     reached = F.transform(F.sequence(F.lit(0), F.size("_words") - 1), lambda at: F.try_element_at("_far", at))
-    built = words.join(reach, "_row").select(
-        "_row", F.posexplode(let(reached, lambda far: phrases(F.col("_words"), far))).alias("at", "phrase")
+    built = write_down(
+        words.join(reach, [*keys]).select(
+            *keys, F.posexplode(let(reached, lambda far: phrases(F.col("_words"), far))).alias("at", "phrase")
+        )
     )
     labels = F.map_from_entries(F.collect_list(F.struct("kind", "label")))
     # One row per phrase, with its label of each kind; a frequent word is a hot key on the left.
-    entries = lexicon.groupBy("phrase").agg(labels.alias("labels"))
-    found = (
-        salted_join(built, entries, "phrase")
+    said = built.groupBy("phrase").agg(F.count("*").alias("_n"))
+    entries = write_down(lexicon.groupBy("phrase").agg(labels.alias("labels")).join(said, "phrase"))
+    return (
+        salted_join(built, entries.drop("_n"), "phrase", counts=entries)
         .groupBy(*keys)
         .agg(
             *[
@@ -197,8 +214,6 @@ def predict_by_join(df: DataFrame, lexicon: DataFrame, component_col: str) -> Da
             ]
         )
     )
-    joined = numbered.join(found, keys, "left")
-    return _with_quad(joined, _quad_of(F.col("_aspect"), F.col("_opinion"))).drop("_aspect", "_opinion", "_row")
 
 
 def quad_text(df: DataFrame, out: str = "prediction") -> DataFrame:
