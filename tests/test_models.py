@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,8 @@ from opinionmill.functions.components import segment_review
 from opinionmill.operators import backends as B
 from opinionmill.operators import classifier, lexicon
 from opinionmill.plans import opinions
+from opinionmill.session import REPEATS
+from opinionmill.sources import writers
 from opinionmill.sources.writers import OPINION_COLUMNS
 
 from .conftest import executed_plan
@@ -76,6 +80,57 @@ def test_both_methods_agree_on_missing_and_repeated_ids(spark):
     assert found[0] == found[1] and len(found[0]) == 5
 
 
+def test_join_fills_every_position(spark):
+    model = lexicon.train_lexicon(labelled(spark))
+    texts = ["so. the acting. so. so. too slow plot. so", "so. so", "", "plot", "great. so. so. acting", None, "so. the the plot"]
+    reviews = spark.createDataFrame(list(enumerate(texts)), "review_id long, review string")
+    for lexicon_df in (model, model.where("false")):
+        found = [
+            sorted(map(str, opinions.review_opinions(reviews, opinions.segmenter(), opinions.lexicon_backend(lexicon_df, m)).collect()))
+            for m in ("in_row", "join")
+        ]
+        assert found[0] == found[1] and len(found[0]) == 15
+
+
+def test_join_takes_the_words_from_the_texts_once(spark):
+    model = lexicon.train_lexicon(labelled(spark)).localCheckpoint()
+    rows = spark.createDataFrame([(i, "The acting was great") for i in range(20)], "id long, component string")
+    plan = lexicon.predict_with_lexicon(rows, model, method="join")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "posexplode(_words" not in plan
+    reviews = rows.select(F.col("id").alias("review_id"), F.col("component").alias("review"))
+    found = opinions.review_opinions(reviews, opinions.segmenter(), opinions.lexicon_backend(model, "join"))
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_opinions_store_a_review_once(spark, tmp_path):
+    rng = random.Random(1)
+    texts = [". ".join(f"{rng.getrandbits(8000):x}" for _ in range(60)) for _ in range(12)]
+    reviews = spark.createDataFrame(list(enumerate(texts)), "review_id long, review string").coalesce(1)
+    found = opinions.review_opinions(reviews, opinions.segmenter(), opinions.lexicon_backend(lexicon.train_lexicon(labelled(spark))))
+    found.write.parquet(str(tmp_path / "plain"))
+    writers.write_opinions(found, str(tmp_path / "written"), "parquet")
+    for name in ("plain", "written"):
+        assert sum(p.stat().st_size for p in (tmp_path / name).glob("*.parquet")) < 3 * sum(map(len, texts))
+        rows = spark.read.parquet(str(tmp_path / name)).groupBy("review_id").agg(F.count("*"), F.min("full_review"), F.max("full_review"))
+        assert sorted(map(tuple, rows.collect())) == [(i, 60, t, t) for i, t in enumerate(texts)]
+
+
+def test_opinions_written_without_session_settings(spark, tmp_path):
+    kept = {k: spark.conf.get(k, None) for k in REPEATS}
+    for key in kept:
+        spark.conf.unset(key)
+    text = [". ".join(f"{random.Random(i).getrandbits(8000):x}" for _ in range(60)) for i in range(12)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "review_id long, full_review string").coalesce(1)
+    table = rows.select("*", F.posexplode(F.array_repeat(F.lit("c"), 60)).alias("pos", "component")).select(
+        "review_id", "pos", "full_review", "component", *[F.lit("x").alias(c) for c in OPINION_COLUMNS[4:]]
+    )
+    writers.write_opinions(table, str(tmp_path / "o"), "parquet")
+    assert sum(p.stat().st_size for p in (tmp_path / "o").glob("*.parquet")) < 2 * sum(map(len, text))
+    for key, value in kept.items():
+        if value is not None:
+            spark.conf.set(key, value)
+
+
 def test_training_keeps_rows_with_one_side(spark):
     rows = [("plot", "Story", None, "neutral"), (None, "Movie", "superb", "positive"), (None, "Movie", None, "neutral")]
     df = spark.createDataFrame(rows, "term string, aspect string, opinion string, sentiment string")
