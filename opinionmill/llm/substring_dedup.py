@@ -193,7 +193,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = 35, an
     place = _place("t", "at")
     met = pieces.groupBy("m").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("_n"))
     met = write_down(met.where("low < high").select("m", "_n"))
-    shared = write_down(salted_join(pieces, met.select("m"), "m", counts=met).distinct().withColumn("x", place))
+    # The place is not stored: a hash takes as much disk as the rest of a row, and a column of the row gives it.
+    shared = write_down(salted_join(pieces, met.select("m"), "m", counts=met, distinct=True)).withColumn("x", place)
     kinds = write_down(
         shared.groupBy("m", "c").agg(
             F.min("x").alias("first"), (F.min("x") < F.max("x")).alias("whole"), F.count("*").alias("places")
@@ -224,8 +225,11 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = 35, an
         same = (F.min(column) == F.max(column)) & (F.count(column) == F.count("*"))
         return F.coalesce(same, F.lit(False))
 
-    ends = linked.groupBy("p").agg(
-        sole("after").alias("one_after"), sole("before").alias("one_before"), F.count("*").alias("_n")
+    # Counts of a salted join are read for the heavy keys and for the join: stored, they are not computed for each.
+    ends = write_down(
+        linked.groupBy("p").agg(
+            sole("after").alias("one_after"), sole("before").alias("one_before"), F.count("*").alias("_n")
+        )
     )
     joined = F.col("one_before") & F.lag("one_after").over(along) & follows
     runs = salted_join(typed.where("whole").select("t", "at", "n", "p"), ends.drop("_n"), "p", counts=ends)
@@ -244,7 +248,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = 35, an
     # A path is repeated with its whole words; an edge of an opened piece by itself.
     spot = _place("t", "at")
     same = checks.groupBy("s1", "s2").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), F.count("*").alias("_n"))
-    same = same.where("low < high").select("s1", F.col("s2").alias("_2"), "_n")
+    same = write_down(same.where("low < high").select("s1", F.col("s2").alias("_2"), "_n"))
     return salted_join(checks, same.drop("_n"), "s1", counts=same).where("s2 = _2").select("t", "at", "n")
 
 

@@ -10,7 +10,8 @@ SHARE = 1000
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 64, counts: DataFrame | None = None
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 64, counts: DataFrame | None = None,
+    distinct: bool = False,
 ) -> DataFrame:
     """Join on ``key`` with the rows of each heavy left key dealt over ``salts`` tasks.
 
@@ -19,7 +20,8 @@ def salted_join(
     every task.  The salt of a row is a hash of its values, the same when a task is run again.
 
     ``counts`` (the key and ``_n``, its left rows) spares that pass where it is known; keys that are not in ``right``
-    may be left out.
+    may be left out.  ``distinct`` leaves one of equal rows; they share key and salt, so they have met for the join and
+    are not shuffled again.
     """
     if counts is None:
         counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
@@ -34,4 +36,5 @@ def salted_join(
     every = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     dealt = marked(left).withColumn("_salt", salt).drop("_heavy")
     repeated = marked(right).withColumn("_salt", F.explode(every)).drop("_heavy")
-    return dealt.join(repeated, [key, "_salt"], how).drop("_salt")
+    joined = dealt.join(repeated, [key, "_salt"], how)
+    return (joined.distinct() if distinct else joined).drop("_salt")

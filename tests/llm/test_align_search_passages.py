@@ -296,3 +296,11 @@ def test_passage_edges(spark):
         substring_dedup.dedup_passages(wide(spark, ODD), window=3, anchor=4)
     plan = substring_dedup.dedup_passages(wide(spark, ODD)).where(F.col("doc_id") == 1)
     assert plan.collect()[0]["n_words"] == 0
+
+
+def test_repeats_of_checks_are_grouped_once(spark):
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[50:] + ["end"]))], "doc_id long, text string")
+    runs = substring_dedup.repeated_spans(docs)
+    assert sum(r["n"] for r in runs.collect()) == 2 * (150 - 34)
+    assert "min(" not in runs._jdf.queryExecution().optimizedPlan().toString()

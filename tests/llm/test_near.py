@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from opinionmill.llm import components, line_dedup, simhash
+from opinionmill.operators.skew import salted_join
 
 SCHEMA = "doc_id long, text string, label string, fp string, component_id string, _row string"
 BLANK = " \t\n\x0b\x0c\r"
@@ -185,3 +186,17 @@ def test_line_dedup_of_a_very_long_line(spark):
     rows = [(1, " ".join(words)), (2, " ".join(other))]
     got = line_dedup.dedup_lines(table(spark, rows)).select("doc_id", F.length("text").alias("n"), "lines_near").orderBy("doc_id").collect()
     assert got[0]["n"] == len(rows[0][1]) and got[1]["n"] == 0 and got[1]["lines_near"] == 1
+
+
+def test_distinct_rows_of_a_salted_join_meet_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(3000).selectExpr("id % 3 as k", "id % 50 as v").localCheckpoint()
+        right = spark.range(2).selectExpr("id as k").localCheckpoint()
+        plain, once = salted_join(left, right, "k"), salted_join(left, right, "k", distinct=True)
+        count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        assert count(once) == count(plain) < count(plain.distinct())
+        assert sorted(map(tuple, once.collect())) == sorted(map(tuple, plain.distinct().collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
