@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import POWERS, WordValues, slices
+from .texts import POWERS, WordValues, held, slices
 
 # Units of measure and money.
 UNITS = (
@@ -54,8 +54,6 @@ CAPITAL, ENDS, SKIP = 8, 16, 32
 FLAGS = 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
-_CODES: list[WordValues] = []
-
 
 def _code(raw: str) -> int:
     """Hash of the canonical word in the high bits, kind and marks in the low ones."""
@@ -88,9 +86,7 @@ def canonical(texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]
 
     Capitals inside a sentence are names.
     """
-    if not _CODES:
-        _CODES.append(WordValues(_code))
-    known = _CODES[0]
+    known = held("decontamination", lambda: WordValues(_code))
     out = []
     for words in map(str.split, texts):
         codes = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))

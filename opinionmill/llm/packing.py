@@ -18,15 +18,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .texts import WordValues, slices
+from .texts import WordValues, held, slices
 
 # Letters of Latin-1 with ASCII marks after them are two pre-tokens, whatever stands around them.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 ACCENTED = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 
-_ENCODERS: dict[str, "Encoder"] = {}
-
 
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit numbers.
@@ -37,6 +35,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.cut = self.tokenizer.model.tokenize
         # The bytes of accented letters as the vocabulary writes them.
         by_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelled = {ord(c): by_bytes.pre_tokenize_str(c)[0][0] for c in ACCENTED}
@@ -51,9 +50,11 @@ class Encoder:
         if run[0] in MARKS:
             return self._encode(run)
         spelled = run if run.isascii() else run.translate(self.spelled)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled)])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.cut(spelled)])
 
     def _stretch(self, stretch: str) -> bytes:
+        if stretch.isascii() and stretch.isalpha():
+            return self.runs[stretch.lower()]
         bare = stretch.rstrip(MARKS)
         if bare.isalpha() and (bare.isascii() or LETTERS.fullmatch(bare)):
             ids = self.runs[bare.lower()]
@@ -67,10 +68,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The encoder of this Python worker; one is kept."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("packing", path), lambda: Encoder(path))
 
 
 def piece_lengths(tokens: int, longest: int = 4096) -> list[int]:

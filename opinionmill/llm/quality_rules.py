@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, write_down
-from .texts import WordCache, slices
+from .texts import WordCache, held, slices
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -32,8 +32,6 @@ MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 GROUP = ["band_group", "script", "length_class"]
 ENOUGH = 16
 
-_MODELS: dict[str, "Pieces"] = {}
-
 
 class Pieces:
     """Piece ids of words as little-endian 16-bit numbers, each word encoded once."""
@@ -51,10 +49,7 @@ class Pieces:
 
 def pieces(path: str) -> Pieces:
     """The vocabulary of this Python worker; one is kept."""
-    if path not in _MODELS:
-        _MODELS.clear()
-        _MODELS[path] = Pieces(path)
-    return _MODELS[path]
+    return held(("quality rules", path), lambda: Pieces(path))
 
 
 def repeated_words(words: list) -> int:

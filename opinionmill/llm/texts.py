@@ -27,6 +27,20 @@ def lower_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What an operator keeps in this Python worker from batch to batch: vocabularies and values of words.
+
+    The last one asked for only: stages that follow each other run in the same workers, where their caches would add up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class WordCache:
     """Values of words, computed once per Python worker and kept within a bound.
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from opinionmill.llm import chat, decontamination, license_scan, packing, pii, quality_model, quality_rules, queries, secret_scan
+from opinionmill.llm import chat, decontamination, license_scan, packing, pii, quality_model, quality_rules, queries, secret_scan, texts
 from opinionmill.llm.oracles import ORACLES
 
 DATA = "/root/testdata/sf0.001"
@@ -561,3 +561,19 @@ def test_rotation_matches_sql(spark):
 
     con = duck(DATA)
     assert compare(queries.op10(spark, DATA), con, ORACLES["op10_chat_formatting"]) is None
+
+
+def test_a_worker_holds_the_caches_of_one_operator():
+    quality = quality_rules.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    quality.words.learn({b"word"})
+    assert quality_rules.pieces(public_tokenizers.path("piece_bpe_32k.model")) is quality
+    packing.encoder(public_tokenizers.path("word_bpe_49k.json")).ids(["word"])
+    decontamination.canonical(["some words"])
+    assert list(texts._HELD) == ["decontamination"]
+
+
+def test_stretches_are_encoded_like_the_vocabulary():
+    own = packing.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ("Word word WORD wörd Wörd word. word?! (word) ... 1a ı İ ǅ ſ", "ÉCOLE école!", "", " a\t\nb "):
+        want = own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert own.ids([text])[0] == b"".join(i.to_bytes(4, "little") for i in want)
