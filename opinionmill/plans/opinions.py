@@ -84,7 +84,7 @@ def review_opinions(reviews: DataFrame, components: ComponentStage, quads: QuadS
     result as it has components: Parquet files written from this session hold it
     once per row group (``hold_repeats``).
     """
-    hold_repeats(reviews.sparkSession)
+    hold_repeats(reviews.sparkSession, "full_review")
     found = quads(components(fill_reviews(reviews.select("review_id", "review"))))
     paired = F.arrays_zip(F.col("components").alias("component"), F.col("quads").alias("quad"))
     # The filter only turns the array into an expression; see explode_components.

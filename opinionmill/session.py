@@ -48,16 +48,28 @@ def write_down(df: DataFrame) -> DataFrame:
 
 #: Parquet stores a value that repeats once per row group, as long as the different values of the column fit this
 #: dictionary; the default of 1 MB is full after a few hundred reviews, and their text is then stored with every row.
-#: Small row groups keep the dictionary of a text column, which holds more than is counted for the group, within it.
-REPEATS = {"parquet.dictionary.page.size": str(64 << 20), "parquet.block.size": str(16 << 20)}
+#: A writer holds the dictionary of each column, and copies it twice when the group ends: groups end after so many rows
+#: that the texts of most fill a part of it.  Where the dictionary is full, texts are held row by row, and Parquet looks
+#: at their size after up to 10,000 rows if those before were short: here it looks after 100.
+REPEATS = {
+    "parquet.dictionary.page.size": str(16 << 20), "parquet.block.size": str(16 << 20),
+    "parquet.block.row.count.limit": "50000", "parquet.page.size.row.check.max": "100",
+}
+#: Bounds of a repeated text would be compared with it in full for every row; nobody looks for ranges of whole texts.
+NO_BOUNDS = "parquet.column.statistics.enabled#{}"
 
 
-def hold_repeats(spark: SparkSession) -> None:
-    """Let Parquet files that this session writes store long texts that repeat once per row group.
+def repeats_of(*columns: str) -> dict[str, str]:
+    """Settings of Parquet files in which the long texts of ``columns`` stand in many rows."""
+    return REPEATS | {NO_BOUNDS.format(column): "false" for column in columns}
+
+
+def hold_repeats(spark: SparkSession, *columns: str) -> None:
+    """Let Parquet files that this session writes store the long texts of ``columns`` that repeat once per row group.
 
     For tables that repeat a text in many rows; settings that the session already has stay.
     """
-    for key, value in REPEATS.items():
+    for key, value in repeats_of(*columns).items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..session import REPEATS
+from ..session import repeats_of
 
 PREDICTION_COLUMNS = ("row_id", "input", "reference", "prediction")
 OPINION_COLUMNS = (
@@ -48,7 +48,7 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 def write_opinions(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """The flat opinion table; Parquet holds the text of a review once per row group, not with each component."""
-    write_table(df.select(*OPINION_COLUMNS), path, fmt, **REPEATS)
+    write_table(df.select(*OPINION_COLUMNS), path, fmt, **repeats_of("full_review"))
 
 
 def write_metrics(df: DataFrame, path: str) -> None:

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,24 @@ def test_opinions_store_a_review_once(spark, tmp_path):
         assert sorted(map(tuple, rows.collect())) == [(i, 60, t, t) for i, t in enumerate(texts)]
 
 
+def test_long_review_after_short_ones_is_not_held_row_by_row(spark, tmp_path):
+    rng = random.Random(2)
+    short = [f"{rng.getrandbits(200):x}" for _ in range(30000)]
+    long = ". ".join(f"{rng.getrandbits(800):x}" for _ in range(500))
+    reviews = spark.createDataFrame(list(enumerate([*short, long])), "review_id long, review string").coalesce(1)
+    found = opinions.review_opinions(reviews, opinions.segmenter(), opinions.lexicon_backend(lexicon.train_lexicon(labelled(spark))))
+    found.write.parquet(str(tmp_path / "plain"))
+    writers.write_opinions(found, str(tmp_path / "written"), "parquet")
+    for name in ("plain", "written"):
+        groups = [pq.ParquetFile(p).metadata for p in (tmp_path / name).glob("*.parquet")]
+        assert sum(g.num_rows for g in groups) == 30500
+        # Its text 500 times over takes 50 MB; a writer stops at 16 MB and a hundred rows.
+        sizes = [g.row_group(i).column(2) for g in groups for i in range(g.num_row_groups)]
+        assert {c.path_in_schema for c in sizes} == {"full_review"}
+        assert max(c.total_uncompressed_size for c in sizes) < 40 * 2**20
+        assert not any(c.is_stats_set for c in sizes)
+
+
 def test_opinions_written_without_session_settings(spark, tmp_path):
     kept = {k: spark.conf.get(k, None) for k in REPEATS}
     for key in kept:
