@@ -452,15 +452,19 @@ def segment_components(spark, sf_dir):
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The terms are taken from the texts before the join, which shuffles them in their place."""
+    found = let(
+        I.words_of(F.col("text")),
+        lambda words: F.struct(I.terms_of(words).alias("term"), I.opinions_of(words).alias("opinion")),
+    )
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", found.alias("found"))
     labels = table(spark, sf_dir, "labels")
-    words = I.words_of(F.col("text"))
     return docs.join(labels, "doc_id").select(
         "doc_id",
         "text",
-        let(words, I.terms_of).alias("term"),
+        F.col("found.term").alias("term"),
         F.when(F.col("lang") == "en", "Story").when(F.col("lang") == "fr", "Acting").otherwise("Movie").alias("aspect"),
-        I.opinions_of(words).alias("opinion"),
+        F.col("found.opinion").alias("opinion"),
         F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
         .alias("sentiment"),
     )

@@ -23,6 +23,24 @@ def _slots(n_entries: int) -> int:
     return size
 
 
+def slot_of(key: Column, slots: int) -> Column:
+    """The slot of a key, from 0 on."""
+    return F.pmod(F.crc32(key.cast("binary")), F.lit(slots)).cast("int")
+
+
+def in_slots(maps: Column) -> Column:
+    """``array<struct<_slot, _map>>`` with each slot at most once as the column of a dictionary; slots without entries are NULL."""
+    ordered = F.array_sort(maps, lambda x, y: x["_slot"] - y["_slot"])
+
+    def filled(known: Column) -> Column:
+        missing = lambda x, i: F.array_repeat(
+            F.when(F.lit(False), x["_map"]), x["_slot"] - F.coalesce(F.get(known, i - 1)["_slot"], F.lit(-1)) - 1
+        )
+        return F.flatten(F.transform(known, lambda x, i: F.concat(missing(x, i), F.array(x["_map"]))))
+
+    return F.get(F.transform(F.array(ordered), filled), F.lit(0))
+
+
 class Dictionary:
     """A lookup table usable from any column expression."""
 
@@ -46,5 +64,4 @@ class Dictionary:
 
     def get(self, key: Column) -> Column:
         """The value stored for ``key``, or NULL."""
-        slot = F.pmod(F.crc32(key.cast("binary")), F.lit(self._slots)).cast("int") + 1
-        return F.try_element_at(F.element_at(self._column, slot), key)
+        return F.try_element_at(F.get(self._column, slot_of(key, self._slots)), key)

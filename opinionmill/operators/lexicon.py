@@ -6,17 +6,17 @@ are needed.  Its scores are not those of a fine-tuned text-to-text model.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
-from ..functions.dictionary import Dictionary
+from ..functions.dictionary import Dictionary, in_slots, slot_of
 from ..functions.patterns import WORD
 from ..functions.prompts import serialise_quad
 from ..session import collect_small, write_down
-from .skew import salted_join
 
 ASPECT, OPINION = "aspect", "opinion"
 IMPLICIT = "NULL"
@@ -28,6 +28,13 @@ IN_ROW, JOIN = "in_row", "join"
 IN_ROW_PHRASES = 100_000
 IN_ROW_BYTES = 8 * 1024 * 1024
 
+# A join meets the lexicon once per chunk of about so many components; longer texts are chunks of their own.
+CHUNK_COMPONENTS, CHUNK_REVIEWS = 4096, 64
+LONG_CHARS = 1 << 16
+# Slots of the dictionary of a chunk, and bits (512 KB at most) that tell the tasks what may be a phrase.
+SLOTS = 1024
+MARKS_A_PHRASE, MOST_MARKS = 32, 1 << 22
+
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}+"), F.lit(0))
@@ -159,61 +166,110 @@ def predict_with_lexicon(
 
 
 def predict_by_join(df: DataFrame, lexicon: DataFrame, component_col: str) -> DataFrame:
-    """``predict_with_lexicon`` by joins.
-
-    Rows are numbered and written to the checkpoint folder first, so missing and repeated keys stay apart.
-    """
-    numbered = write_down(df.withColumn("_row", F.monotonically_increasing_id()))
-    hits = hits_by_join(numbered, lexicon, component_col, "_row")
-    joined = numbered.join(hits, "_row", "left")
-    return _with_quad(joined, quad_of(F.col("_aspect"), F.col("_opinion"))).drop("_aspect", "_opinion", "_row")
+    """``predict_with_lexicon`` by joins."""
+    found = quads_by_join(df, lexicon, F.array(F.col(component_col)), CHUNK_COMPONENTS, "_quads")
+    return _with_quad(found, F.get("_quads", F.lit(0))).drop("_quads")
 
 
-def hits_by_join(rows: DataFrame, lexicon: DataFrame, component_col: str, *keys: str) -> DataFrame:
-    """``keys, _aspect, _opinion``: the first hit of each kind in the rows that hold a phrase of the lexicon.
+def _marks(entries: DataFrame) -> Callable[..., Column]:
+    """Whether the values may be a phrase of ``entries``, or the first word and the number of words of one.
 
-    ``keys`` tell the rows apart and are the same whenever ``rows`` is read.  What a salted join reads is written down
-    with the counts of its keys, so the words are taken from the texts once and no join is computed for its counts.
+    One bit per hash; a lexicon too large for these bits lets more through, and the join drops that.
     """
-    words = write_down(rows.select(*keys, _words(F.coalesce(F.col(component_col), F.lit(""))).alias("_words")))
-    first_words = lexicon.groupBy(F.split("phrase", " ")[0].alias("word")).agg(
-        F.max(F.size(F.split("phrase", " "))).alias("far")
+    wanted = min(MOST_MARKS, max(1024, MARKS_A_PHRASE * entries.count()))
+    words = 1 << ((wanted - 1) // 64).bit_length()
+    split = F.split("phrase", " ")
+    hashes = F.array(F.xxhash64("phrase"), F.xxhash64(split[0], F.size(split)))
+    at = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(words - 1)).cast("int")
+    bit = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
+    marked = entries.where(F.col("phrase").isNotNull()).select(F.explode(hashes).alias("h")).groupBy(at(F.col("h")).alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h")))).alias("bits")
     )
-    spoken = words.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count("*").alias("_n"))
-    first_words = write_down(first_words.join(spoken, "word"))
-    # Only rows with the first word of a phrase go on, and only sequences that begin with one are built.
-    reach = (
-        salted_join(
-            words.select(*keys, F.posexplode("_words").alias("at", "word")), first_words.drop("_n"), "word", counts=first_words
+    table = [0] * words
+    for row in marked.collect():
+        table[row["at"]] = row["bits"]
+    bits = F.from_json(F.lit(json.dumps(table)), "array<bigint>")
+
+    def may_be(*values: Column) -> Column:
+        h = F.xxhash64(*values)
+        return F.getbit(F.get(bits, at(h)), bit(h)) == 1
+
+    return may_be
+
+
+def _candidates(entries: DataFrame) -> Callable[[Column], Column]:
+    """A function from a text to its word sequences that may be phrases, with commas: longer first, then from left to right."""
+    sizes = entries.where(F.col("phrase").isNotNull()).select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect()
+    if not sizes:
+        return lambda text: F.lit("")
+    lengths = F.from_json(F.lit(json.dumps(sorted((row["n"] for row in sizes), reverse=True))), "array<int>")
+    may_be = _marks(entries)
+
+    def of_length(words: Column, n: Column) -> Column:
+        begun = F.transform(
+            words,
+            lambda word, at: F.when(
+                (at + n <= F.size(words)) & may_be(word, n), F.array_join(F.slice(words, at + 1, n), " ")
+            ),
         )
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("at", "far"))).alias("_far"))
-    )
-    reached = F.transform(F.sequence(F.lit(0), F.size("_words") - 1), lambda at: F.try_element_at("_far", at))
-    built = write_down(
-        words.join(reach, [*keys]).select(
-            *keys, F.posexplode(let(reached, lambda far: phrases(F.col("_words"), far))).alias("at", "phrase")
+        return F.filter(begun, lambda p: p.isNotNull() & may_be(p))
+
+    return lambda text: let(
+        _words(F.coalesce(text, F.lit(""))), lambda words: F.array_join(
+            F.flatten(F.transform(lengths, lambda n: of_length(words, n))), ","
         )
     )
+
+
+def quads_by_join(df: DataFrame, lexicon: DataFrame, components: Column, per_chunk: int, out: str) -> DataFrame:
+    """Add the quadruple of each of ``components``, an array of texts, as the array ``out``.
+
+    Rows are written to the checkpoint folder with a number first, so those with missing or equal keys stay apart, and
+    with their word sequences that may be phrases.  ``per_chunk`` rows next to each other are a chunk, rows of long
+    texts one of their own.  The lexicon is joined with the different sequences of each chunk: a frequent phrase meets
+    it once per chunk and not once per place, so no key is hot.  What is found goes back to the chunk as a dictionary.
+    """
     labels = F.map_from_entries(F.collect_list(F.struct("kind", "label")))
-    # One row per phrase, with its label of each kind; a frequent word is a hot key on the left.
-    said = built.groupBy("phrase").agg(F.count("*").alias("_n"))
-    entries = write_down(lexicon.groupBy("phrase").agg(labels.alias("labels")).join(said, "phrase"))
-    return (
-        salted_join(built, entries.drop("_n"), "phrase", counts=entries)
-        .groupBy(*keys)
-        .agg(
-            *[
-                F.min(
-                    F.when(
-                        F.map_contains_key("labels", kind),
-                        F.struct("at", "phrase", F.try_element_at("labels", F.lit(kind)).alias("label")),
-                    )
-                ).alias(f"_{kind}")
-                for kind in (ASPECT, OPINION)
-            ]
+    entries = write_down(lexicon.groupBy("phrase").agg(labels.alias("labels")))
+    chars = F.aggregate(components, F.lit(0).cast("long"), lambda n, text: n + F.coalesce(F.length(text), F.lit(0)))
+    row = F.monotonically_increasing_id()
+    numbered = write_down(
+        df.select("*", row.alias("_row"), F.transform(components, _candidates(entries)).alias("_said"), chars.alias("_chars")),
+        compression="zstd",
+    )
+    chunk = F.when(F.col("_chars") > LONG_CHARS, -1 - F.col("_row")).otherwise(F.col("_row") - F.pmod("_row", F.lit(per_chunk)))
+    numbered = numbered.withColumn("_chunk", chunk)
+
+    every = F.split(F.array_join("_said", ","), ",")
+    said = numbered.select("_chunk", F.explode(F.array_distinct(every)).alias("phrase")).distinct()
+    known = said.join(entries, "phrase").withColumn("_slot", slot_of(F.col("phrase"), SLOTS))
+    entry = F.struct("phrase", "labels")
+    slots = known.repartition("_chunk").groupBy("_chunk", "_slot").agg(F.map_from_entries(F.collect_list(entry)).alias("_map"))
+    dictionaries = slots.groupBy("_chunk").agg(F.collect_list(F.struct("_slot", "_map")).alias("_maps")).select(
+        "_chunk", in_slots(F.col("_maps")).alias("_known")
+    )
+
+    lookup = Dictionary(F.col("_known"), SLOTS)
+
+    def quad(phrases_said: Column) -> Column:
+        hits = F.filter(
+            F.transform(F.split(phrases_said, ","), lambda p: F.struct(p.alias("phrase"), lookup.get(p).alias("labels"))),
+            lambda h: h["labels"].isNotNull(),
         )
+
+        def first_hit(found: Column, kind: str) -> Column:
+            hit = F.get(F.filter(found, lambda h: F.map_contains_key(h["labels"], kind)), F.lit(0))
+            return F.struct(hit["phrase"].alias("phrase"), F.try_element_at(hit["labels"], F.lit(kind)).alias("label"))
+
+        return let(hits, lambda found: quad_of(first_hit(found, ASPECT), first_hit(found, OPINION)))
+
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    chunks = numbered.groupBy("_chunk").agg(F.collect_list(F.struct(*kept, "_said")).alias("_rows"))
+    with_quads = F.transform(
+        "_rows",
+        lambda r: F.struct(*[r.getField(c).alias(c) for c in df.columns], F.transform(r.getField("_said"), quad).alias(out)),
     )
+    return chunks.join(dictionaries, "_chunk", "left").select(F.explode(with_quads).alias("_item")).select("_item.*")
 
 
 def quad_text(df: DataFrame, out: str = "prediction") -> DataFrame:

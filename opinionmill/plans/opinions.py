@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.components import segment_review
 from ..functions.prompts import quad_prompt
 from ..functions.quads import FIELDS, parse_lenient
-from ..operators.backends import BackendFactory, explode_components, predict_components, text_array_model
-from ..operators.lexicon import IN_ROW, hits_by_join, lexicon_quad, quad_of
-from ..session import hold_repeats, write_down
+from ..operators.backends import BackendFactory, predict_components, text_array_model
+from ..operators.lexicon import CHUNK_REVIEWS, IN_ROW, lexicon_quad, quads_by_join
+from ..session import hold_repeats
 from ..sources.readers import fill_reviews
 from ..sources.writers import OPINION_COLUMNS
 
@@ -21,8 +21,6 @@ ComponentStage = Callable[[DataFrame], DataFrame]
 # ``(review_id, review, components)`` gains ``quads``: one quadruple struct per component.
 QuadStage = Callable[[DataFrame], DataFrame]
 
-_QUAD = f"struct<{', '.join(f'{field}: string' for field in FIELDS)}>"
-
 
 def segmenter() -> ComponentStage:
     """Components by punctuation and clause words."""
@@ -34,32 +32,13 @@ def component_backend(factory: BackendFactory, model_type: str = "t5", batch_siz
     return lambda df: predict_components(df, factory, "review", "components", model_type, batch_size)
 
 
-def _every_quad(found: str, count: Column) -> Column:
-    """One quadruple per component from those of some positions, in order; the others get the quadruple of no phrase."""
-    none = quad_of(*[F.lit(None).cast("struct<phrase: string, label: string>")] * 2)
-    some = F.coalesce(F.col(found), F.array().cast("array<struct<pos: int, quad: " + _QUAD + ">>"))
-    gap = lambda upto, at: F.array_repeat(none, upto - F.coalesce(F.get(some, at - 1)["pos"], F.lit(-1)) - 1)
-    filled = F.transform(some, lambda x, i: F.concat(gap(x["pos"], i), F.array(x["quad"])))
-    return F.concat(F.flatten(filled), gap(count, F.size(some)))
-
-
 def lexicon_backend(lexicon: DataFrame, method: str = IN_ROW) -> QuadStage:
     """Quadruples from a lexicon: inside the rows, or by join for a lexicon of any size; the rows are the same."""
 
     def stage(df: DataFrame) -> DataFrame:
         if method == IN_ROW:
             return df.withColumn("quads", F.transform("components", lexicon_quad(lexicon)))
-        # Numbered rows: reviews without an id or with the same one stay apart.
-        numbered = write_down(df.withColumn("_review", F.monotonically_increasing_id()))
-        rows = explode_components(numbered.select("_review", "components"))
-        quad = quad_of(F.col("_aspect"), F.col("_opinion"))
-        found = (
-            hits_by_join(rows, lexicon, "component", "_review", "pos")
-            .groupBy("_review")
-            .agg(F.array_sort(F.collect_list(F.struct("pos", quad.alias("quad")))).alias("_found"))
-        )
-        joined = numbered.join(found, "_review", "left")
-        return joined.withColumn("quads", _every_quad("_found", F.size("components"))).select(*df.columns, "quads")
+        return quads_by_join(df, lexicon, F.col("components"), CHUNK_REVIEWS, "quads")
 
     return stage
 

@@ -36,13 +36,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_down(df: DataFrame) -> DataFrame:
+def write_down(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as a Parquet table below the shared checkpoint folder and read it from there.
 
-    Compressed and columnar, so it suits large tables that are read several times, column by column.
+    Compressed and columnar, so it suits large tables that are read several times, column by column.  ``options`` are
+    those of the Parquet files.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from opinionmill.functions.components import segment_review
 from opinionmill.operators import backends as B
 from opinionmill.operators import classifier, lexicon
@@ -103,6 +104,55 @@ def test_join_takes_the_words_from_the_texts_once(spark):
     assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_join_over_several_chunks(spark, monkeypatch):
+    model = lexicon.train_lexicon(labelled(spark))
+    words = ["the", "acting", "was", "great", "part", "two", "so", "too", "slow", "plot", "a", "ACTING", ";"]
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(200)] + [None, "", "plot " * 300]
+    monkeypatch.setattr(lexicon, "CHUNK_COMPONENTS", 7)
+    monkeypatch.setattr(lexicon, "LONG_CHARS", 1000)
+    rows = spark.createDataFrame([(i % 50, t) for i, t in enumerate(texts)], "id long, component string")
+    found = [sorted(map(str, lexicon.predict_with_lexicon(rows, model, method=m).collect())) for m in ("in_row", "join")]
+    assert found[0] == found[1] and len(found[0]) == len(texts)
+    # Marks that are nearly all set only let more through.
+    monkeypatch.setattr(lexicon, "MOST_MARKS", 64)
+    monkeypatch.setattr(lexicon, "SLOTS", 2)
+    assert sorted(map(str, lexicon.predict_with_lexicon(rows, model, method="join").collect())) == found[0]
+
+
+def test_join_keeps_nothing_per_place(spark, tmp_path):
+    model = lexicon.train_lexicon(labelled(spark)).localCheckpoint()
+    rows = spark.createDataFrame([(i, "great acting, great acting, great acting") for i in range(100)], "id long, component string")
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    found = lexicon.predict_with_lexicon(rows, model, method="join")
+    assert {tuple(r)[2:] for r in found.collect()} == {("Acting", "acting", "great", "positive")}
+    if before:
+        spark.sparkContext.setCheckpointDir(before)
+    tables = [spark.read.parquet(str(p)) for p in tmp_path.glob("*/table-*")]
+    assert tables and max(t.count() for t in tables) == 100
+
+
+def test_join_of_the_lexicon_is_over_different_phrases(spark):
+    model = lexicon.train_lexicon(labelled(spark)).localCheckpoint()
+    rows = spark.createDataFrame([(i, "great acting. so great") for i in range(500)], "id long, component string").coalesce(1)
+    plan = lexicon.predict_with_lexicon(rows, model, method="join")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" in plan and "_heavy" not in plan
+
+
+def test_terms_are_taken_before_labels_are_joined(spark, tmp_path):
+    spark.createDataFrame([("d1", "lorem is alpha ab, follow", "en", "web"), ("d2", None, "fr", "web"), ("d3", "other words", "de", "web")],
+                          "doc_id string, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("d1", 1, 0), ("d2", 0, 1)], "doc_id string, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = queries.labelled_documents(spark, str(tmp_path)).drop("text")
+    assert sorted(map(tuple, found.collect())) == [
+        ("d1", "lorem is, alpha ab", "Story", "follow", "positive"), ("d2", None, "Acting", None, "negative"),
+    ]
+    # The texts are not shuffled for the join, only their terms.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("regexp_extract_all")
+
+
 def test_opinions_store_a_review_once(spark, tmp_path):
     rng = random.Random(1)
     texts = [". ".join(f"{rng.getrandbits(8000):x}" for _ in range(60)) for _ in range(12)]
