@@ -28,9 +28,9 @@ IN_ROW, JOIN = "in_row", "join"
 IN_ROW_PHRASES = 100_000
 IN_ROW_BYTES = 8 * 1024 * 1024
 
-# A join meets the lexicon once per chunk of about so many components; longer texts are chunks of their own.
-CHUNK_COMPONENTS, CHUNK_REVIEWS = 4096, 64
-LONG_CHARS = 1 << 16
+# A join meets the lexicon once per chunk of so many components or reviews, of so many characters at most.
+CHUNK_COMPONENTS, CHUNK_REVIEWS = 8192, 128
+CHUNK_CHARS = 1 << 21
 # Slots of the dictionary of a chunk, and bits (512 KB at most) that tell the tasks what may be a phrase.
 SLOTS = 1024
 MARKS_A_PHRASE, MOST_MARKS = 32, 1 << 22
@@ -221,26 +221,39 @@ def _candidates(entries: DataFrame) -> Callable[[Column], Column]:
     )
 
 
+def _chunk_of(row: Column, chars: Column, per_chunk: int) -> Column:
+    """The chunk of a row: rows near each other and of about the same length, fewer where they are long."""
+    at_most, rows, kind = CHUNK_CHARS // per_chunk, per_chunk, 0
+    chunk = None
+    while rows > 1:
+        numbered = (row - F.pmod(row, F.lit(rows))) * 16 + kind
+        chunk = F.when(chars <= at_most, numbered) if chunk is None else chunk.when(chars <= at_most, numbered)
+        at_most, rows, kind = at_most * 4, rows // 4, kind + 1
+    return row * 16 + kind if chunk is None else chunk.otherwise(row * 16 + kind)
+
+
 def quads_by_join(df: DataFrame, lexicon: DataFrame, components: Column, per_chunk: int, out: str) -> DataFrame:
     """Add the quadruple of each of ``components``, an array of texts, as the array ``out``.
 
     Rows are written to the checkpoint folder with a number first, so those with missing or equal keys stay apart, and
-    with their word sequences that may be phrases.  ``per_chunk`` rows next to each other are a chunk, rows of long
-    texts one of their own.  The lexicon is joined with the different sequences of each chunk: a frequent phrase meets
-    it once per chunk and not once per place, so no key is hot.  What is found goes back to the chunk as a dictionary.
+    with their word sequences that may be phrases.  Up to ``per_chunk`` rows near each other are a chunk.
+    The lexicon is joined with the different sequences of each chunk: a frequent phrase meets it once per chunk and not
+    once per place, so no key is hot.  What is found goes back to the chunk as a dictionary.
     """
     labels = F.map_from_entries(F.collect_list(F.struct("kind", "label")))
     entries = write_down(lexicon.groupBy("phrase").agg(labels.alias("labels")))
     chars = F.aggregate(components, F.lit(0).cast("long"), lambda n, text: n + F.coalesce(F.length(text), F.lit(0)))
     row = F.monotonically_increasing_id()
+    # One text a row, with a line for each component: arrays of small texts take more room than the texts.
+    candidates = _candidates(entries)
+    lines = F.array_join(F.transform(components, lambda text: F.concat(candidates(text), F.lit("\n"))), "")
     numbered = write_down(
-        df.select("*", row.alias("_row"), F.transform(components, _candidates(entries)).alias("_said"), chars.alias("_chars")),
+        df.select("*", row.alias("_row"), lines.alias("_said"), chars.alias("_chars")),
         compression="zstd",
     )
-    chunk = F.when(F.col("_chars") > LONG_CHARS, -1 - F.col("_row")).otherwise(F.col("_row") - F.pmod("_row", F.lit(per_chunk)))
-    numbered = numbered.withColumn("_chunk", chunk)
+    numbered = numbered.withColumn("_chunk", _chunk_of(F.col("_row"), F.col("_chars"), per_chunk))
 
-    every = F.split(F.array_join("_said", ","), ",")
+    every = F.split(F.translate("_said", "\n", ","), ",")
     said = numbered.select("_chunk", F.explode(F.array_distinct(every)).alias("phrase")).distinct()
     known = said.join(entries, "phrase").withColumn("_slot", slot_of(F.col("phrase"), SLOTS))
     entry = F.struct("phrase", "labels")
@@ -263,11 +276,14 @@ def quads_by_join(df: DataFrame, lexicon: DataFrame, components: Column, per_chu
 
         return let(hits, lambda found: quad_of(first_hit(found, ASPECT), first_hit(found, OPINION)))
 
+    def said_of(text: Column) -> Column:
+        return let(F.split(text, "\n"), lambda parts: F.slice(parts, 1, F.size(parts) - 1))
+
     kept = [F.col(f"`{c}`") for c in df.columns]
     chunks = numbered.groupBy("_chunk").agg(F.collect_list(F.struct(*kept, "_said")).alias("_rows"))
     with_quads = F.transform(
         "_rows",
-        lambda r: F.struct(*[r.getField(c).alias(c) for c in df.columns], F.transform(r.getField("_said"), quad).alias(out)),
+        lambda r: F.struct(*[r.getField(c).alias(c) for c in df.columns], F.transform(said_of(r.getField("_said")), quad).alias(out)),
     )
     return chunks.join(dictionaries, "_chunk", "left").select(F.explode(with_quads).alias("_item")).select("_item.*")
 

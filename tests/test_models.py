@@ -110,7 +110,7 @@ def test_join_over_several_chunks(spark, monkeypatch):
     rng = random.Random(4)
     texts = [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(200)] + [None, "", "plot " * 300]
     monkeypatch.setattr(lexicon, "CHUNK_COMPONENTS", 7)
-    monkeypatch.setattr(lexicon, "LONG_CHARS", 1000)
+    monkeypatch.setattr(lexicon, "CHUNK_CHARS", 100)
     rows = spark.createDataFrame([(i % 50, t) for i, t in enumerate(texts)], "id long, component string")
     found = [sorted(map(str, lexicon.predict_with_lexicon(rows, model, method=m).collect())) for m in ("in_row", "join")]
     assert found[0] == found[1] and len(found[0]) == len(texts)
